@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import decontaminate, tokens, urls
 
-MODULES = [tokens]
+MODULES = [tokens, decontaminate, urls]
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
