@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, tokens, urls
+from . import decontaminate, exact_dedup, tokens, urls
 
-MODULES = [tokens, decontaminate, urls]
+MODULES = [tokens, decontaminate, urls, exact_dedup]
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
