@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing, tokens, urls
+from . import chat, decontaminate, exact_dedup, mixing, tokens, toxicity, urls
 
-MODULES = [tokens, decontaminate, urls, exact_dedup, mixing, chat]
+MODULES = [tokens, decontaminate, urls, exact_dedup, mixing, chat, toxicity]
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
