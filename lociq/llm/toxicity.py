@@ -30,7 +30,9 @@ PRIOR = 1000.0
 #: Evidence (likelihood ratio statistic) below which a log-odds counts as 0; above it is shrunk by it.
 SHRINK = 8.0
 DRIFT = 0.15
-FLAT = 6.0
+#: Calibrated values beyond which the curve flattens; the one with
+#: the fewest errors in the calibration rows is taken, of equals the one that fits best.
+FLAT = (4.0, 5.0, 6.0, 8.0, 12.0, 20.0)
 #: Labelled rows that are learnt from: labels are broadcast up to this number, a hash sample beyond.
 MAX_LABELS = 2_000_000
 #: Scored rows that the calibration is fitted on.
@@ -83,6 +85,7 @@ class ToxicityModel:
     weights: np.ndarray
     gumbel: tuple[float, float] = (1.0, 0.0)
     logit: tuple[float, float] = (0.0, 0.0)
+    flat: float = FLAT[-1]
 
     def word_scores(self, data: np.ndarray, offsets: np.ndarray):
         ids, first = features(data, offsets)
@@ -101,9 +104,9 @@ class ToxicityModel:
         return best, scores, first
 
     def calibrated(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """lambda S - ln(K n); beyond FLAT it grows slowly, so that the curve is fitted where texts differ."""
+        """lambda S - ln(K n); beyond `flat` it grows slowly, so that the curve is fitted where texts differ."""
         x = np.maximum(self.gumbel[0] * best - np.log(n + 1.0) - self.gumbel[1], -12)
-        return np.where(x > FLAT, FLAT + 0.1 * np.log1p(np.maximum(x - FLAT, 0)), x)
+        return np.where(x > self.flat, self.flat + 0.1 * np.log1p(np.maximum(x - self.flat, 0)), x)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit[0] + self.logit[1] * x, -30, 30)))
@@ -126,8 +129,8 @@ def fit_gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     return rate, rate * float((best - length / rate).mean()) - 0.5772156649
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton's method; the slope has a weak prior around 1 and stays above 0."""
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Intercept, slope and loss by Newton's method; the slope has a weak prior around 1 and stays above 0."""
     w, middle, prior = np.array([0.0, 1.0]), np.array([0.0, 1.0]), np.diag([1e-3, 1.0])
     design = np.stack([np.ones(len(x)), x], 1)
     loss = lambda w: np.logaddexp(0, design @ w).sum() - y @ (design @ w) + 0.5 * (w - middle) @ prior @ (w - middle)
@@ -137,7 +140,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         while loss(w + step) > loss(w) and abs(step).max() > 1e-9:
             step = step / 2
         w = w + step
-    return float(w[0]), max(float(w[1]), 0.05)
+    w[1] = max(w[1], 0.05)
+    return float(w[0]), float(w[1]), float(loss(w))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_labels: int = MAX_LABELS, max_calibration: int = MAX_CALIBRATION) -> ToxicityModel:
@@ -163,7 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model.logit = (-5.0, 0.0)
         return model
     model.gumbel = fit_gumbel(best[y == 0], n[y == 0])
-    model.logit = fit_logistic(model.calibrated(best, n), y)
+    fits = []
+    for model.flat in FLAT:
+        x = model.calibrated(best, n)
+        a, b, loss = fit_logistic(x, y)
+        fits.append((int(((a + b * x >= 0) != y).sum()), loss, model.flat, (a, b)))
+    *_, model.flat, model.logit = min(fits)
     return model
 
 
