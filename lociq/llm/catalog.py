@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, language, mixing, quality, tokens, toxicity, urls
+from . import chat, decontaminate, exact_dedup, language, mixing, ngram_join, quality, tokens, toxicity, urls
 
-MODULES = [tokens, decontaminate, urls, exact_dedup, mixing, chat, toxicity, language, quality]
+MODULES = [tokens, decontaminate, urls, exact_dedup, mixing, chat, toxicity, language, quality, ngram_join]
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
