@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, exact_dedup, language, mixing, ngram_join, quality, tokens, toxicity, urls
 
 MODULES = [tokens, decontaminate, urls, exact_dedup, mixing, chat, toxicity, language, quality, ngram_join]
-QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
+QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
