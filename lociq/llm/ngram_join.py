@@ -10,10 +10,11 @@ candidates among documents that have other text too.
 1. One pass gives each document's set size and set hash; documents with equal sets are one class.
    Tokens that are common within a task are counted, and the commonest become the tail of the orders.
 2. A second pass emits each class's prefix under the first order: (token, class, size).
-3. Rows are sorted by token. A token of two to COLD classes makes candidate pairs of these. A token of
-   more classes is hot: no pairs are emitted for it. Classes that hot tokens connect form a cell; a
-   cell is cut into blocks by size and hash, and each two blocks that may hold similar sizes are
-   compared in one task of bounded size, which returns a spanning forest of the links it finds.
+3. Rows are sorted by token. A token of two to COLD classes makes candidate pairs of these; pairs are
+   counted, since similar sets share more than one prefix token (see needed()). A token of more
+   classes is hot: no pairs are emitted for it. Classes that hot tokens connect form a cell; a cell is
+   cut into blocks by size and hash, and each two blocks that may hold similar sizes are compared in
+   one task of bounded size, which returns a spanning forest of the links it finds.
 4. Candidate pairs are checked under the other orders and verified by their full sets.
 5. Links of different texts become components.
 
@@ -103,6 +104,16 @@ class Orders:
         return tokens[np.argpartition(self.keys(tokens, order), length - 1)[:length]]
 
 
+def needed(n, m, percent: int):
+    """How many prefix tokens two similar sets of n and m tokens share at least, under any order.
+
+    They have o = ceil(t (n + m) / (1 + t)) common tokens or more. Of those, at most ceil(t n) - 1 lie
+    behind the prefix of the one, and as many of the other; those in the prefixes come first in both.
+    """
+    most = np.maximum(n, m)
+    return np.maximum(1, -(-percent * (n + m) // (100 + percent)) + (-percent * most // 100) + 1)
+
+
 def _first_pass(docs: DataFrame, id_type: str, size: int) -> DataFrame:
     """kind 0: a document's id, text key, set size and set key; kind 1: a token (s1) and how many
     classes of a task have it (n)."""
@@ -161,12 +172,12 @@ def _index(docs: DataFrame, orders, size: int, percent: int) -> DataFrame:
 
 
 def _runs(index: DataFrame, percent: int) -> DataFrame:
-    """Rows sorted by token and class to kind 0: candidate pairs (a, b) of cold tokens, and kind 1: the
-    members (a: token, b: class, n) of hot ones."""
+    """Rows sorted by token and class to kind 0: candidate pairs (a, b) with how many cold tokens they
+    share here (n) and how many they need, and kind 1: the members (a: token, b: class, n) of hot ones."""
 
     def run(batches):
-        def out(kind, a, b, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], names=["kind", "a", "b", "n"])
+        def out(kind, a, b, n, need):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, n, need))], names=["kind", "a", "b", "n", "need"])
 
         def done(token, c, n, hot):
             """Whole runs; the token of a run that began earlier and is hot already is `hot`."""
@@ -178,20 +189,20 @@ def _runs(index: DataFrame, percent: int) -> DataFrame:
             is_hot = (length > COLD) | (token[begins] == hot if hot is not None else False)
             if is_hot.any():
                 rows = np.repeat(is_hot, length)
-                yield out(1, token[rows], c[rows], n[rows])
-            pairs_a, pairs_b = [], []
+                yield out(1, token[rows], c[rows], n[rows], n[rows])
+            found = []
             for k in range(2, COLD + 1):
                 at = begins[(length == k) & ~is_hot]
                 if len(at):
                     i, j = np.triu_indices(k, 1)
                     x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                    near = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64)
-                    pairs_a.append(c[x[near]])
-                    pairs_b.append(c[y[near]])
-            if pairs_a:
-                a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield out(0, pairs[:, 0].copy(), pairs[:, 1].copy(), np.zeros(len(pairs), np.int32))
+                    sizes = n[x].astype(np.int64), n[y].astype(np.int64)
+                    near = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
+                    a, b = c[x[near]], c[y[near]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b), needed(sizes[0][near], sizes[1][near], percent)], 1))
+            if found:
+                pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+                yield out(0, pairs[:, 0], pairs[:, 1], times, pairs[:, 2])
 
         kept, hot = None, None
         for batch in batches:
@@ -214,12 +225,11 @@ def _runs(index: DataFrame, percent: int) -> DataFrame:
         if kept is not None and len(kept[0]):
             yield from done(*kept, hot)
 
-    return index.mapInArrow(run, "kind int, a long, b long, n int")
+    return index.mapInArrow(run, "kind int, a long, b long, n long, need long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, few: bool, orders, size: int, percent: int) -> DataFrame:
-    """(c, n, tokens, p1, p2) of the documents with wanted ids: the set and its prefixes under the
-    second and third order."""
+def _sets(docs: DataFrame, wanted: DataFrame, few: bool, size: int) -> DataFrame:
+    """(c, tokens) of the documents with wanted ids: class and set, once for each task."""
 
     def run(batches):
         seen = set()
@@ -230,12 +240,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, few: bool, orders, size: int, perc
                     key = set_key(s)
                     if len(s) and key not in seen:
                         seen.add(key)
-                        rows.append((key[0], len(s), s.view(np.int64), orders.value.prefix(s, 1, percent).view(np.int64), orders.value.prefix(s, 2, percent).view(np.int64)))
-                kinds = (pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=["c", "n", "tokens", "p1", "p2"])
+                        rows.append((key[0], s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["c", "tokens"])
 
     chosen = docs.join(F.broadcast(wanted) if few else wanted, docs["id"].eqNullSafe(wanted["w"]), "left_semi")
-    return chosen.select("text").mapInArrow(run, "c long, n int, tokens array<long>, p1 array<long>, p2 array<long>").dropDuplicates(["c"])
+    return chosen.select("text").mapInArrow(run, "c long, tokens binary")
 
 
 class _Postings:
@@ -272,9 +281,10 @@ def forest_links(left: list[tuple], right: list[tuple], percent: int) -> list[tu
     for x in left:
         n = len(x[1])
         maybe = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+        need = needed(sizes, n, percent)
         for k, f in zip((2, 3, 4), filters):
             if maybe.any():
-                maybe &= f.shared(x[k]) > 0
+                maybe &= f.shared(x[k]) >= need
         at = [i for i in np.flatnonzero(maybe).tolist() if root(right[i][0]) != root(x[0])]
         if at:
             both = full.shared(x[1])
@@ -297,17 +307,16 @@ def _cell_links(members: DataFrame, sets: DataFrame, orders, percent: int) -> Da
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     mine, other = F.struct(F.col("band").alias("band"), F.col("block").alias("block")), F.struct(F.col("other_band").alias("band"), F.col("other").alias("block"))
     placed = placed.select("cell", "c", F.least(mine, other).alias("one"), F.greatest(mine, other).alias("two"), (mine <= other).alias("is_one"), (mine >= other).alias("is_two"))
-    rows = placed.join(sets.select("c", "tokens", "p1", "p2"), "c")
+    rows = placed.join(sets, "c")
 
     def compare(table: pa.Table) -> pa.Table:
         side = ([], [])
-        as_set = lambda x: np.asarray(x.values).view(np.uint64)
-        for c, tokens, p1, p2, one, two in zip(*(table.column(k) for k in ("c", "tokens", "p1", "p2", "is_one", "is_two"))):
-            s = as_set(tokens)
-            row = (c.as_py(), s, orders.value.prefix(s, 0, percent), as_set(p1), as_set(p2))
-            if one.as_py():
+        for c, tokens, one, two in zip(*(table.column(k).to_pylist() for k in ("c", "tokens", "is_one", "is_two"))):
+            s = np.frombuffer(tokens, np.uint64)
+            row = (c, s, *(orders.value.prefix(s, k, percent) for k in range(3)))
+            if one:
                 side[0].append(row)
-            if two.as_py():
+            if two:
                 side[1].append(row)
         links = forest_links(*side, percent) if side[0] and side[1] else []
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
@@ -315,14 +324,27 @@ def _cell_links(members: DataFrame, sets: DataFrame, orders, percent: int) -> Da
     return rows.groupBy("cell", "one", "two").applyInArrow(compare, "a long, b long")
 
 
-def _pair_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def similar(a: np.ndarray, b: np.ndarray, orders: Orders, percent: int) -> bool:
+    """Whether two sets pass the filters of the other orders and the verification."""
+    need = int(needed(np.int64(len(a)), np.int64(len(b)), percent))
+    for k in (1, 2):
+        if len(np.intersect1d(orders.prefix(a, k, percent), orders.prefix(b, k, percent), assume_unique=True)) < need:
+            return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _pair_links(pairs: DataFrame, sets: DataFrame, orders, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that share prefix tokens under the other orders and are similar."""
-    side = lambda x, *columns: sets.select(F.col("c").alias(x), *(F.col(k).alias(f"{x}_{k}") for k in columns))
-    shared = lambda k: F.arrays_overlap(f"a_{k}", f"b_{k}")
-    left = pairs.join(side("a", "p1", "p2"), "a").join(side("b", "p1", "p2"), "b").where(shared("p1") & shared("p2")).select("a", "b")
-    full = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
-    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return full.where(100 * both >= percent * (F.size("a_tokens") + F.size("b_tokens") - both)).select("a", "b")
+
+    def run(batches):
+        for batch in batches:
+            got = [np.frombuffer(x, np.uint64) for x in batch.column("a_tokens").to_pylist()], [np.frombuffer(x, np.uint64) for x in batch.column("b_tokens").to_pylist()]
+            keep = pa.array([similar(a, b, orders.value, percent) for a, b in zip(*got)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
+
+    side = lambda x: sets.select(F.col("c").alias(x), F.col("tokens").alias(f"{x}_tokens"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -354,15 +376,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = _index(source, orders, size, percent).repartition(partitions, "token").sortWithinPartitions("token", "c")
     runs = stored(_runs(index, percent), "ngram-runs")
-    pairs = stored(runs.where("kind = 0").select("a", "b").distinct(), "ngram-pairs")
+    counted_pairs = runs.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    pairs = stored(counted_pairs.where("n >= need").select("a", "b"), "ngram-pairs")
     hot = runs.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"), "n")
 
     ids = light.where("n > 0").groupBy(F.col("s1").alias("c")).agg(F.min("id").alias("w"))
     asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(hot.select("c")).distinct()
     wanted = stored(ids.join(asked, "c", "left_semi").select("w").distinct(), "ngram-wanted")
-    sets = stored(_sets(source, wanted, wanted.count() <= MAX_SENT_IDS, orders, size, percent), "ngram-sets")
+    sets = stored(_sets(source, wanted, wanted.count() <= MAX_SENT_IDS, size), "ngram-sets")
 
-    links = _pair_links(pairs, sets, percent)
+    links = _pair_links(pairs, sets, orders, percent)
     if not hot.isEmpty():
         centre = hot.groupBy("token").agg(F.min("c").alias("m"))
         cells = components(hot.join(centre, "token").select(F.col("c").alias("a"), F.col("m").alias("b")))
