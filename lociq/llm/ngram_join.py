@@ -12,10 +12,12 @@ candidates among documents that have other text too.
 2. A second pass emits each class's prefix under the first order: (token, class, size).
 3. Rows are sorted by token. A token of two to COLD classes makes candidate pairs of these; pairs are
    counted, since similar sets share more than one prefix token (see needed()). A token of more
-   classes is hot: no pairs are emitted for it. Classes that hot tokens connect form a cell; a cell is
-   cut into blocks by size and hash, and each two blocks that may hold similar sizes are compared in
-   one task of bounded size, which returns a spanning forest of the links it finds.
-4. Candidate pairs are checked under the other orders and verified by their full sets.
+   classes is hot: no pairs are emitted for it, its classes are only connected.
+4. Classes that candidate pairs or hot tokens connect form a cell, to which each class's set is sent
+   once. There, pairs that share enough prefix tokens under every order are verified by their full
+   sets, until the cell's spanning forest of links is known. A cell too large for a task is cut into
+   blocks by size and hash, and each two blocks that may hold similar sizes are compared in one task
+   of bounded size.
 5. Links of different texts become components.
 
 All counts and sets are of 64-bit hashes of shingles; two different shingles of a pair of documents
@@ -295,56 +297,50 @@ def forest_links(left: list[tuple], right: list[tuple], percent: int) -> list[tu
     return links
 
 
-def _cell_links(members: DataFrame, sets: DataFrame, orders, percent: int) -> DataFrame:
-    """Links (a, b) within cells. members: (cell, c, n)."""
+def _placed(members: DataFrame, percent: int) -> DataFrame:
+    """members: (cell, c, n). Where each class goes: (place, c, is_one, is_two); in a place, ones are
+    compared with twos."""
+    total = members.groupBy("cell").agg(F.sum("n").alias("total"))
+    members = members.join(total, "cell")
+    yes = F.lit(True)
+    small = members.where(F.col("total") <= BLOCK_TOKENS).select(F.xxhash64("cell").alias("place"), "c", yes.alias("is_one"), yes.alias("is_two"))
     # Sizes that may be similar are in one band or in neighbouring ones: a band is a little wider.
     band = F.floor(F.log("n") / F.log(F.lit(100.01 / percent))).cast("int")
-    members = members.withColumn("band", band)
-    counts = members.groupBy("cell", "band").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    large = members.where(F.col("total") > BLOCK_TOKENS).withColumn("band", band)
+    counts = large.groupBy("cell", "band").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     near = counts.alias("x").join(counts.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("y.band") - F.col("x.band")).between(-1, 1))
     near = near.select(F.col("x.cell").alias("cell"), F.col("x.band").alias("band"), F.col("x.blocks").alias("own"), F.col("y.band").alias("other_band"), F.col("y.blocks").alias("others"))
-    placed = members.join(near, ["cell", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("own")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    large = large.join(near, ["cell", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("own")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     mine, other = F.struct(F.col("band").alias("band"), F.col("block").alias("block")), F.struct(F.col("other_band").alias("band"), F.col("other").alias("block"))
-    placed = placed.select("cell", "c", F.least(mine, other).alias("one"), F.greatest(mine, other).alias("two"), (mine <= other).alias("is_one"), (mine >= other).alias("is_two"))
-    rows = placed.join(sets, "c")
-
-    def compare(table: pa.Table) -> pa.Table:
-        side = ([], [])
-        for c, tokens, one, two in zip(*(table.column(k).to_pylist() for k in ("c", "tokens", "is_one", "is_two"))):
-            s = np.frombuffer(tokens, np.uint64)
-            row = (c, s, *(orders.value.prefix(s, k, percent) for k in range(3)))
-            if one:
-                side[0].append(row)
-            if two:
-                side[1].append(row)
-        links = forest_links(*side, percent) if side[0] and side[1] else []
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-    return rows.groupBy("cell", "one", "two").applyInArrow(compare, "a long, b long")
-
+    place = F.xxhash64("cell", F.least(mine, other), F.greatest(mine, other))
+    return small.union(large.select(place.alias("place"), "c", (mine <= other).alias("is_one"), (mine >= other).alias("is_two")))
 
-def similar(a: np.ndarray, b: np.ndarray, orders: Orders, percent: int) -> bool:
-    """Whether two sets pass the filters of the other orders and the verification."""
-    need = int(needed(np.int64(len(a)), np.int64(len(b)), percent))
-    for k in (1, 2):
-        if len(np.intersect1d(orders.prefix(a, k, percent), orders.prefix(b, k, percent), assume_unique=True)) < need:
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
 
-
-def _pair_links(pairs: DataFrame, sets: DataFrame, orders, percent: int) -> DataFrame:
-    """The candidate pairs (a, b) that share prefix tokens under the other orders and are similar."""
+def _cell_links(members: DataFrame, sets: DataFrame, orders, percent: int) -> DataFrame:
+    """Links (a, b) within cells, as spanning forests."""
 
     def run(batches):
-        for batch in batches:
-            got = [np.frombuffer(x, np.uint64) for x in batch.column("a_tokens").to_pylist()], [np.frombuffer(x, np.uint64) for x in batch.column("b_tokens").to_pylist()]
-            keep = pa.array([similar(a, b, orders.value, percent) for a, b in zip(*got)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
+        def compared(side):
+            links = forest_links(*side, percent) if side[0] and side[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    side = lambda x: sets.select(F.col("c").alias(x), F.col("tokens").alias(f"{x}_tokens"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+        side, now = ([], []), None
+        for batch in batches:
+            for place, c, tokens, one, two in zip(*(batch.column(k).to_pylist() for k in ("place", "c", "tokens", "is_one", "is_two"))):
+                if place != now:
+                    yield compared(side)
+                    side, now = ([], []), place
+                s = np.frombuffer(tokens, np.uint64)
+                row = (c, s, *(orders.value.prefix(s, k, percent) for k in range(3)))
+                for kept, wanted in zip(side, (one, two)):
+                    if wanted:
+                        kept.append(row)
+        yield compared(side)
+
+    rows = _placed(members, percent).join(sets, "c").select("place", "c", "tokens", "is_one", "is_two")
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, "place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -380,17 +376,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = stored(counted_pairs.where("n >= need").select("a", "b"), "ngram-pairs")
     hot = runs.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"), "n")
 
-    ids = light.where("n > 0").groupBy(F.col("s1").alias("c")).agg(F.min("id").alias("w"))
-    asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(hot.select("c")).distinct()
-    wanted = stored(ids.join(asked, "c", "left_semi").select("w").distinct(), "ngram-wanted")
-    sets = stored(_sets(source, wanted, wanted.count() <= MAX_SENT_IDS, size), "ngram-sets")
-
-    links = _pair_links(pairs, sets, orders, percent)
-    if not hot.isEmpty():
-        centre = hot.groupBy("token").agg(F.min("c").alias("m"))
-        cells = components(hot.join(centre, "token").select(F.col("c").alias("a"), F.col("m").alias("b")))
-        members = hot.groupBy("c").agg(F.first("n").alias("n")).join(cells.withColumnRenamed("node", "c").withColumnRenamed("component", "cell"), "c")
-        links = links.union(_cell_links(members, sets, orders, percent))
+    centre = hot.groupBy("token").agg(F.min("c").alias("m"))
+    near = pairs.union(hot.join(centre, "token").select("c", "m").distinct())
+    cells = stored(components(near), "ngram-cells").select(F.col("node").alias("c"), F.col("component").alias("cell"))
+    classes = light.where("n > 0").groupBy(F.col("s1").alias("c")).agg(F.min("id").alias("w"), F.first("n").alias("n"))
+    members = stored(classes.join(cells, "c"), "ngram-members")
+    wanted = members.select("w").distinct()
+    sets = stored(_sets(source, wanted, members.count() <= MAX_SENT_IDS, size), "ngram-sets")
+    links = _cell_links(members.select("cell", "c", "n"), sets, orders, percent)
     groups = components(stored(links, "ngram-links"))
 
     named = light.join(groups.withColumnRenamed("node", "s1"), "s1", "left").withColumn("g", F.when(F.col("n") > 0, F.coalesce("component", "s1")))
