@@ -9,9 +9,11 @@ candidates among documents that have other text too.
 
 1. One pass gives each document's set size and set hash; documents with equal sets are one class.
    Tokens that are common within a task are counted, and the commonest become the tail of the orders.
-2. A second pass emits each class's prefix under the first order: (token, class, size).
-3. Rows are sorted by token. A token of two to COLD classes makes candidate pairs of these; pairs are
-   counted, since similar sets share more than one prefix token (see needed()). A token of more
+2. A second pass emits each class's prefix under the first order, somewhat longer than it must be:
+   (token, class, size). Then two similar sets share several prefix tokens (see needed()), and so a
+   class that shares fewer with all others together is out, and each class may leave out its most
+   widely shared tokens, as long as two similar ones still share others.
+3. A token of two to COLD classes makes candidate pairs of these; pairs are counted. A token of more
    classes is hot: no pairs are emitted for it, its classes are only connected.
 4. Classes that candidate pairs or hot tokens connect form a cell, to which each class's set is sent
    once. There, pairs that share enough prefix tokens under every order are verified by their full
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, byte_flags, mix64, read_table, shared_dir, slices, span_hashes, stored, text_bytes, word_spans
@@ -39,15 +41,23 @@ SHINGLE, PERCENT = 5, 80
 #: [^\x20\x09-\x0D]+
 WORD_BYTES = 1 - byte_flags([(0x20, 0x20), (0x09, 0x0D)])
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x510E527FADE682D1)
+#: By how much of its size, in hundredths, a set's prefix under the first order is longer than it must
+#: be, and how many of these tokens may be left out. (Two similar sets leave out less than both have
+#: more: 3.2 * (n + m) <= 3.2 * 2.25 * min(n, m) < 8 * min(n, m) hundredths.)
+LONGER, LEFT_OUT = 8, 3.2
 #: Classes of a token that are paired; more are compared in cells.
 COLD = 16
 #: Tokens whose classes are counted together in a task, and the least count that leaves it.
-COUNT_AT_ONCE, LOCAL_COUNT = 4_000_000, 3
+COUNT_AT_ONCE, LOCAL_COUNT = 6_000_000, 2
+#: Rows of one token that are looked at together.
+LONG_RUN = 50_000
 #: A token of so many classes is common; of them, at most MAX_COMMON commonest are broadcast (16 bytes
 #: each). Which tokens are common decides what candidates cost, never which pairs are found.
 COMMON, MAX_COMMON = 12, 2_000_000
-#: Tokens in a block of a cell.
-BLOCK_TOKENS = 1_500_000
+#: Tokens in a block of a cell; a task compares up to three blocks at once.
+BLOCK_TOKENS = 2_000_000
+#: A band holds sizes from BAND ** k up to BAND ** (k + 1).
+BAND = 4
 #: Ids of candidates that are broadcast to the pass that gathers their sets; more are joined.
 MAX_SENT_IDS = 3_000_000
 
@@ -97,23 +107,25 @@ class Orders:
             keys[maybe] = np.uint64(1 << 63) | self.rank[at] << np.uint64(41) | keys[maybe] >> np.uint64(23)
         return keys
 
-    def prefix(self, tokens: np.ndarray, order: int, percent: int) -> np.ndarray:
-        """The tokens of which a similar set must have one."""
+    def prefix(self, tokens: np.ndarray, order: int, percent: int, longer: int = 0) -> np.ndarray:
+        """The tokens of which a similar set must have one, and `longer` hundredths of the size more."""
         n = len(tokens)
-        length = n - (percent * n + 99) // 100 + 1
+        length = n - (percent * n + 99) // 100 + 1 + longer * n // 100
         if length >= n:
             return tokens
         return tokens[np.argpartition(self.keys(tokens, order), length - 1)[:length]]
 
 
-def needed(n, m, percent: int):
+def needed(n, m, percent: int, longer: int = 0):
     """How many prefix tokens two similar sets of n and m tokens share at least, under any order.
 
-    They have o = ceil(t (n + m) / (1 + t)) common tokens or more. Of those, at most ceil(t n) - 1 lie
-    behind the prefix of the one, and as many of the other; those in the prefixes come first in both.
+    They have o = ceil(t (n + m) / (1 + t)) common tokens or more. Of those, at most ceil(t n) - 1 (less
+    what its prefix is longer) lie behind the prefix of the one, and so for the other; those within the
+    prefixes come first in both.
     """
-    most = np.maximum(n, m)
-    return np.maximum(1, -(-percent * (n + m) // (100 + percent)) + (-percent * most // 100) + 1)
+    common = -(-percent * (n + m) // (100 + percent))
+    inside = lambda k: common + (-percent * k // 100) + 1 + longer * k // 100
+    return np.maximum(1, np.minimum(inside(n), inside(m)))
 
 
 def _first_pass(docs: DataFrame, id_type: str, size: int) -> DataFrame:
@@ -163,7 +175,7 @@ def _index(docs: DataFrame, orders, size: int, percent: int) -> DataFrame:
                     key = set_key(s)
                     if len(s) and key not in seen:
                         seen.add(key)
-                        tokens.append(orders.value.prefix(s, 0, percent))
+                        tokens.append(orders.value.prefix(s, 0, percent, LONGER))
                         classes.append(key[0])
                         sizes.append(len(s))
                 if tokens:
@@ -173,61 +185,92 @@ def _index(docs: DataFrame, orders, size: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, c long, n int")
 
 
-def _runs(index: DataFrame, percent: int) -> DataFrame:
+def _whole_runs(batches, names: list[str], key: str, most: int):
+    """The columns of sorted batches as numpy arrays, cut so that rows of one key stay together; a run
+    of more than `most` rows is cut nevertheless, with its last row held back."""
+    kept = None
+    for batch in batches:
+        columns = [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
+        if kept is not None:
+            columns = [np.concatenate(x) for x in zip(kept, columns)]
+        keys = columns[names.index(key)]
+        if not len(keys):
+            continue
+        last = int(np.searchsorted(keys, keys[-1]))
+        if len(keys) - last > most:
+            last = len(keys) - 1
+        if last:
+            yield [x[:last] for x in columns]
+        kept = [x[last:] for x in columns]
+    if kept is not None:
+        yield kept
+
+
+def _shared_tokens(index: DataFrame) -> DataFrame:
+    """Rows sorted by token and class to (token, c, n, classes): without tokens of one class only."""
+    names = ["token", "c", "n"]
+
+    def run(batches):
+        before = None
+        for token, c, n in _whole_runs(batches, names, "token", LONG_RUN):
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
+            token, c, n = token[fresh], c[fresh], n[fresh]
+            begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            length = np.diff(np.append(begins, len(token)))
+            if before == token[0]:  # the rest of a run that was cut
+                length[0] += LONG_RUN
+            classes = np.repeat(length, np.diff(np.append(begins, len(token))))
+            keep, before = classes > 1, token[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(c[keep]), pa.array(n[keep].astype(np.int64)), pa.array(classes[keep].astype(np.int64))], names=[*names, "classes"])
+
+    return index.mapInArrow(run, "token long, c long, n long, classes long")
+
+
+def _fewer_tokens(shared: DataFrame, percent: int) -> DataFrame:
+    """Without classes that share too few tokens, and without the most widely shared of the others."""
+    n = F.col("n")
+    rank = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("classes"), "token"))
+    has = F.count("*").over(Window.partitionBy("c"))
+    rows = shared.withColumns({"rank": rank, "has": has})
+    # What two similar sets share at least if they are as far apart in size as they can be.
+    least = 1 + F.floor(n * F.lit(percent) / 100 * LONGER / 100)
+    return rows.where((F.col("has") >= least) & (F.col("rank") > F.floor(n * LEFT_OUT / 100))).select("token", "c", "n")
+
+
+def _runs(rows: DataFrame, percent: int) -> DataFrame:
     """Rows sorted by token and class to kind 0: candidate pairs (a, b) with how many cold tokens they
-    share here (n) and how many they need, and kind 1: the members (a: token, b: class, n) of hot ones."""
+    share here (n) and how many they need, and kind 1: the members (a: token, b: class) of hot ones."""
 
     def run(batches):
         def out(kind, a, b, n, need):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, n, need))], names=["kind", "a", "b", "n", "need"])
 
-        def done(token, c, n, hot):
-            """Whole runs; the token of a run that began earlier and is hot already is `hot`."""
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
-            token, c, n = token[fresh], c[fresh], n[fresh]
+        hot = None
+        for token, c, n in _whole_runs(batches, ["token", "c", "n"], "token", LONG_RUN):
             begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.append(begins, len(token)))
-            is_hot = (length > COLD) | (token[begins] == hot if hot is not None else False)
+            is_hot = (length > COLD) | ((token[begins] == hot) if hot is not None else False)
+            hot = token[-1] if is_hot[-1] else None
             if is_hot.any():
-                rows = np.repeat(is_hot, length)
-                yield out(1, token[rows], c[rows], n[rows], n[rows])
+                members = np.repeat(is_hot, length)
+                yield out(1, token[members], c[members], n[members], n[members])
             found = []
             for k in range(2, COLD + 1):
                 at = begins[(length == k) & ~is_hot]
                 if len(at):
                     i, j = np.triu_indices(k, 1)
                     x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                    sizes = n[x].astype(np.int64), n[y].astype(np.int64)
-                    near = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
-                    a, b = c[x[near]], c[y[near]]
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b), needed(sizes[0][near], sizes[1][near], percent)], 1))
+                    near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+                    x, y = x[near], y[near]
+                    left_out = np.floor(n[x] * LEFT_OUT / 100) + np.floor(n[y] * LEFT_OUT / 100)
+                    need = np.maximum(1, needed(n[x], n[y], percent, LONGER) - left_out.astype(np.int64))
+                    found.append(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y]), need], 1))
             if found:
                 pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
                 yield out(0, pairs[:, 0], pairs[:, 1], times, pairs[:, 2])
 
-        kept, hot = None, None
-        for batch in batches:
-            columns = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("token", "c", "n")]
-            if kept is not None:
-                columns = [np.concatenate(x) for x in zip(kept, columns)]
-            if not len(columns[0]):
-                continue
-            token = columns[0]
-            last = int(np.searchsorted(token, token[-1]))  # the last run may go on in the next batch
-            if last:
-                yield from done(*(x[:last] for x in columns), hot)
-                hot = None
-            kept = [x[last:] for x in columns]
-            if len(kept[0]) > 50_000:  # a long run leaves at once as hot, but for its last row
-                if len(np.unique(kept[1])) > COLD or hot == token[-1]:
-                    hot = token[-1]
-                    yield from done(*(x[:-1] for x in kept), hot)
-                    kept = [x[-1:] for x in kept]
-        if kept is not None and len(kept[0]):
-            yield from done(*kept, hot)
-
-    return index.mapInArrow(run, "kind int, a long, b long, n long, need long")
+    return rows.mapInArrow(run, "kind int, a long, b long, n long, need long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, few: bool, size: int) -> DataFrame:
@@ -254,7 +297,7 @@ class _Postings:
 
     def __init__(self, sets: list[np.ndarray]):
         lengths = [len(s) for s in sets]
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
         order = np.argsort(tokens, kind="stable")
         self.tokens, self.owner, self.n = tokens[order], owner[order], len(sets)
 
@@ -302,19 +345,28 @@ def _placed(members: DataFrame, percent: int) -> DataFrame:
     compared with twos."""
     total = members.groupBy("cell").agg(F.sum("n").alias("total"))
     members = members.join(total, "cell")
-    yes = F.lit(True)
+    yes, no = F.lit(True), F.lit(False)
     small = members.where(F.col("total") <= BLOCK_TOKENS).select(F.xxhash64("cell").alias("place"), "c", yes.alias("is_one"), yes.alias("is_two"))
-    # Sizes that may be similar are in one band or in neighbouring ones: a band is a little wider.
-    band = F.floor(F.log("n") / F.log(F.lit(100.01 / percent))).cast("int")
-    large = members.where(F.col("total") > BLOCK_TOKENS).withColumn("band", band)
-    counts = large.groupBy("cell", "band").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    near = counts.alias("x").join(counts.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("y.band") - F.col("x.band")).between(-1, 1))
-    near = near.select(F.col("x.cell").alias("cell"), F.col("x.band").alias("band"), F.col("x.blocks").alias("own"), F.col("y.band").alias("other_band"), F.col("y.blocks").alias("others"))
-    large = large.join(near, ["cell", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("own")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    mine, other = F.struct(F.col("band").alias("band"), F.col("block").alias("block")), F.struct(F.col("other_band").alias("band"), F.col("other").alias("block"))
-    place = F.xxhash64("cell", F.least(mine, other), F.greatest(mine, other))
-    return small.union(large.select(place.alias("place"), "c", (mine <= other).alias("is_one"), (mine >= other).alias("is_two")))
+
+    # A large cell goes by bands of sizes. Similar sizes are in one band, or the larger is so near to the
+    # lower bound of the next band that it is also an addition to the band below (with some margin).
+    band = F.floor(F.log("n") / F.log(F.lit(float(BAND)))).cast("int")
+    large = members.where(F.col("total") > BLOCK_TOKENS).withColumn("band", band).withColumn("added", no)
+    near = F.col("n") <= F.pow(F.lit(float(BAND)), F.col("band")) * (100.1 / percent)
+    large = large.union(large.where(near).withColumns({"band": F.col("band") - 1, "added": yes}))
+    blocks = lambda added: F.ceil(F.sum(F.when(F.col("added") == F.lit(added), F.col("n")).otherwise(0)) / BLOCK_TOKENS).cast("int")
+    counts = large.groupBy("cell", "band").agg(blocks(False).alias("own"), blocks(True).alias("more"))
+    large = large.join(counts.where("own > 0"), ["cell", "band"])
+    i, j = F.pmod(F.xxhash64("c"), F.col("own")).cast("int"), F.pmod(F.xxhash64("c"), F.greatest("more", F.lit(1))).cast("int")
+    at = lambda one, two, is_one, is_two: F.struct(one.alias("i"), two.alias("j"), is_one.alias("is_one"), is_two.alias("is_two"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    # Own blocks meet each other at (i, j), i <= j. Additions of one block are twos at each (i, i); more
+    # of them stand in blocks of their own at (i, -1 - j).
+    own = F.transform(upto(F.col("own")), lambda k: at(F.least(i, k), F.greatest(i, k), i <= k, i >= k))
+    own = F.when(F.col("more") > 1, F.concat(own, F.transform(upto(F.col("more")), lambda k: at(i, -1 - k, yes, no)))).otherwise(own)
+    added = F.transform(upto(F.col("own")), lambda k: at(k, F.when(F.col("more") > 1, -1 - j).otherwise(k), no, yes))
+    large = large.select("cell", "band", "c", F.explode(F.when(F.col("added"), added).otherwise(own)).alias("p"))
+    return small.union(large.select(F.xxhash64("cell", "band", "p.i", "p.j").alias("place"), "c", "p.is_one", "p.is_two"))
 
 
 def _cell_links(members: DataFrame, sets: DataFrame, orders, percent: int) -> DataFrame:
@@ -370,12 +422,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     orders = spark.sparkContext.broadcast(Orders(common.column("s1").to_numpy().view(np.uint64), common.column("n").to_numpy()))
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = _index(source, orders, size, percent).repartition(partitions, "token").sortWithinPartitions("token", "c")
-    runs = stored(_runs(index, percent), "ngram-runs")
+    by_token = lambda df: df.repartition(partitions, "token").sortWithinPartitions("token", "c")
+    shared = stored(_shared_tokens(by_token(_index(source, orders, size, percent))), "ngram-shared")
+    runs = stored(_runs(by_token(_fewer_tokens(shared, percent)), percent), "ngram-runs")
     counted_pairs = runs.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     pairs = stored(counted_pairs.where("n >= need").select("a", "b"), "ngram-pairs")
-    hot = runs.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"), "n")
-
+    hot = runs.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"))
     centre = hot.groupBy("token").agg(F.min("c").alias("m"))
     near = pairs.union(hot.join(centre, "token").select("c", "m").distinct())
     cells = stored(components(near), "ngram-cells").select(F.col("node").alias("c"), F.col("component").alias("cell"))
