@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import intervals
+from .plans import aggregates, intervals, sequences
 
-MODULES = [intervals]
+MODULES = [intervals, aggregates, sequences]
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

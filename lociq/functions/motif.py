@@ -35,7 +35,7 @@ def weights(matrix: DataFrame) -> DataFrame:
     """(motif_id, pos, base, score), positions from 0, to a row for each motif: length and w, an array by
     position of maps from base to score; a base that can't occur is missing."""
     by_pos = matrix.groupBy("motif_id", "pos").agg(F.map_from_entries(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("base", "score")))).alias("m"))
-    return by_pos.groupBy("motif_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("w")).withColumn("length", F.size("w"))
+    return by_pos.groupBy("motif_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m")), lambda x, y: x["pos"] - y["pos"]), lambda x: x["m"]).alias("w")).withColumn("length", F.size("w"))
 
 
 def letters_score(letters: Column, w: Column, skip_n: bool = True) -> Column:
@@ -47,3 +47,17 @@ def letters_score(letters: Column, w: Column, skip_n: bool = True) -> Column:
 def window_score(window: Column, w: Column, skip_n: bool = True) -> Column:
     """letters_score() of a text."""
     return letters_score(F.split(window, ""), w, skip_n)
+
+
+def flat_score(window: Column, v: Column, length: Column, longest: int, skip_n: bool = True) -> Column:
+    """window_score() with the matrix as one array, BASES by BASES; written out by position, so that it
+    stays in generated code."""
+    total = F.lit(0.0)
+    for i in range(longest):
+        letter = F.substring(window, i + 1, 1)
+        base = F.instr(F.lit(BASES), letter)
+        term = F.when(base > 0, F.get(v, base + (len(BASES) * i - 1)))
+        if not skip_n:
+            term = F.when(letter == "N", F.lit(0.0)).otherwise(term)
+        total = total + F.when(F.lit(i) < length, term).otherwise(F.lit(0.0))
+    return total

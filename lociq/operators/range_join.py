@@ -63,3 +63,11 @@ def window_join(left: DataFrame, right: DataFrame, low: Column, high: Column, po
 def has_overlap(left: DataFrame, right: DataFrame, *, key: str, kind: str = "closed", by: str = "chrom", start: str = "start", end: str = "end", width: int = 10_000) -> DataFrame:
     """Keys of left rows that meet any right row."""
     return overlap_join(left.select(key, by, start, end), right.select(by, start, end), kind=kind, by=by, start=start, end=end, width=width).select(key).distinct()
+
+
+def contained_in(rows: DataFrame, regions: DataFrame, *, by: str = "chrom", start: str = "start", end: str = "end", width: int = 10_000) -> DataFrame:
+    """Rows that lie within one of the regions; each once, as it is."""
+    r = regions.select(F.col(by).alias("_by"), F.col(start).alias("_from"), F.col(end).alias("_to")).where("_from <= _to")
+    r = r.withColumn("_bin_r", _bins(F.col("_from"), F.col("_to"), width))
+    inside = (F.col(start) >= F.col("_from")) & (F.col(end) <= F.col("_to"))
+    return rows.withColumn("_bin", _bin(F.col(start), width)).join(r, (F.col(by) == F.col("_by")) & (F.col("_bin") == F.col("_bin_r")) & inside, "left_semi").drop("_bin")

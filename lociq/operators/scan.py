@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.motif import letters_score, reverse_complement
-from .range_join import overlap_join
+from ..functions.motif import BASES, flat_score, reverse_complement
+from .range_join import contained_in
 
 #: Letters of a sequence in one row; longer ones are cut into rows that overlap by the longest motif.
-CHUNK = 1_000
+CHUNK = 500
 #: Motif rows that are broadcast; a larger collection is joined by a shuffle.
 MAX_SENT_MOTIFS = 5_000
 
@@ -31,28 +31,24 @@ def scan(sequences: DataFrame, motifs: DataFrame, threshold: float = 0.0, *, ski
     that what isn't a hit is never shuffled or stored.
     """
     longest, n = motifs.agg(F.max("length"), F.count("*")).first()
-    rows = chunked(sequences.select("chrom", F.upper("seq").alias("seq")), (longest or 1) - 1, size).withColumn("_all", F.lit(1))
+    longest = longest or 1
+    rows = chunked(sequences.select("chrom", F.upper("seq").alias("seq")), longest - 1, size).withColumn("_all", F.lit(1))
     # A hit on - is a window of the forward sequence that fits the matrix read backwards on the complement.
-    other = F.reverse(F.transform("w", lambda m: F.transform_keys(m, lambda base, _: F.translate(base, "ACGT", "TGCA"))))
-    sides = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("w").alias("v")), F.struct(F.lit("-").alias("strand"), other.alias("v")))).alias("s")
+    flat = lambda w, bases: F.flatten(F.transform(w, lambda m: F.array(*(F.try_element_at(m, F.lit(b)) for b in bases))))
+    sides = F.explode(F.array(F.struct(F.lit("+").alias("strand"), flat(F.col("w"), BASES).alias("v")), F.struct(F.lit("-").alias("strand"), flat(F.reverse("w"), BASES[::-1]).alias("v")))).alias("s")
     side = motifs.select("motif_id", "length", sides, F.lit(1).alias("_all")).select("motif_id", "length", "s.strand", "s.v", "_all")
-    both = rows.join(F.broadcast(side) if n <= MAX_SENT_MOTIFS else side, "_all").where(F.length("seq") >= F.col("length"))
+    if n <= MAX_SENT_MOTIFS:  # small enough to be made once, on the driver, and sent along
+        side = F.broadcast(motifs.sparkSession.createDataFrame(side.collect(), side.schema))
+    both = rows.join(side, "_all").where(F.length("seq") >= F.col("length"))
     last = F.least(F.length("seq") - F.col("length"), F.col("own") - 1)
-    letters = F.split("seq", "")
-
-    def window(i):
-        return F.struct(i.alias("i"), letters_score(F.slice(letters, i + 1, F.col("length")), F.col("v"), skip_n).alias("score"))
-
-    hits = F.filter(F.transform(F.sequence(F.lit(0), last), window), lambda h: h["score"] >= threshold)
-    found = both.select("motif_id", "length", "chrom", "chunk_start", "seq", "strand", F.explode(hits).alias("h"))
-    forward = F.substring("seq", F.col("h.i") + 1, F.col("length"))
-    start = F.col("chunk_start").cast("long") + F.col("h.i") + 1
-    match = F.when(F.col("strand") == "+", forward).otherwise(reverse_complement(forward))
-    return found.select("motif_id", "chrom", start.alias("start"), (start + F.col("length")).alias("end"), F.col("h.score").alias("score"), "strand", match.alias("match"))
+    texts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("seq"), i + 1, F.col("length")))
+    windows = both.select("motif_id", "length", "chrom", "chunk_start", "strand", "v", F.posexplode(texts).alias("i", "text"))
+    scored = windows.withColumn("score", flat_score(F.col("text"), F.col("v"), F.col("length"), longest, skip_n)).where(F.col("score") >= threshold)
+    start = F.col("chunk_start").cast("long") + F.col("i") + 1
+    match = F.when(F.col("strand") == "+", F.col("text")).otherwise(reverse_complement(F.col("text")))
+    return scored.select("motif_id", "chrom", start.alias("start"), (start + F.col("length")).alias("end"), "score", "strand", match.alias("match"))
 
 
 def in_regions(hits: DataFrame, regions: DataFrame) -> DataFrame:
     """Hits that lie within one of the regions (chrom, start, end)."""
-    keyed = hits.withColumn("hit_id", F.xxhash64("motif_id", "chrom", "start", "strand"))
-    inside = overlap_join(regions.select("chrom", "start", "end"), keyed.select("chrom", "start", "end", "hit_id"), kind="contained").select("hit_id").distinct()
-    return keyed.join(inside, "hit_id", "left_semi").drop("hit_id")
+    return contained_in(hits, regions)

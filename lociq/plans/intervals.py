@@ -8,20 +8,11 @@ from ..functions.regions import downstream, shifted, upstream
 from ..operators import annotate, genes as gene_ops
 from ..operators.range_join import has_overlap, overlap_join, window_join
 from ..operators.ranking import neighbours_in_range
+from .registry import registry
 from .stand_ins import GENES, LOCI, SITES, genes, loci, rounded, sites, table
 
 NEAR = 21_600
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query, QUERIES, ORACLES = registry()
 
 
 def _main_and_hits(spark, sf_dir):
