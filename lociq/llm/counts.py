@@ -34,6 +34,8 @@ def lower_latin(data: np.ndarray) -> np.ndarray:
 def class_counts(docs: DataFrame, classes: int, buckets: int, features: Features) -> np.ndarray:
     """docs: (cls int, text string); rows with a null class are left out. Returns classes x buckets."""
     blocks = -(-buckets // BLOCK)
+    if not classes:
+        return np.zeros((0, buckets), np.int64)
 
     def count(batches):
         local = np.zeros((classes, blocks * BLOCK), np.int64)
