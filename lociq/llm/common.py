@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass of an operator looks at; bounds its working memory.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
+#: Bytes of rows that are sent to a Python worker at once; in memory several times on their way.
+BATCH_BYTES = 8 << 20
 
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTERS_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -39,6 +41,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; from now on the session sends rows to Python workers in batches of BATCH_BYTES at most."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,6 +70,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     edges = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(sizes)]
     for a, b in zip(edges, edges[1:]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

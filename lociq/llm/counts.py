@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, slices, text_bytes
+from .common import ASCII_LOWER, bounded_batches, slices, text_bytes
 
 BLOCK = 8192
 #: features(data, offsets) -> (ids, first): a row of bucket numbers for each place in the texts, and
@@ -60,7 +60,7 @@ def class_counts(docs: DataFrame, classes: int, buckets: int, features: Features
 
     schema = "cls int, block int, counts binary"
     source = docs.where("cls IS NOT NULL AND text IS NOT NULL").select(F.col("cls").cast("int").alias("cls"), "text")
-    parts = source.mapInArrow(count, schema).repartition(min(classes * blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cls", "block")
+    parts = bounded_batches(source).mapInArrow(count, schema).repartition(min(classes * blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cls", "block")
     total = np.zeros((classes, blocks, BLOCK), np.int64)
     for c, b, raw in zip(*(column.to_pylist() for column in parts.mapInArrow(add, schema).toArrow().columns)):
         total[c, b] += np.frombuffer(raw, np.int64)

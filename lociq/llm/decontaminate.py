@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, byte_flags, mix64, read_table, slices, span_hashes, text_bytes, word_spans
+from .common import ASCII_LOWER, bounded_batches, byte_flags, mix64, read_table, slices, span_hashes, text_bytes, word_spans
 
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ on lower-cased text: digits, a-z and everything beyond ASCII.
 WORD_BYTES = byte_flags([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
@@ -119,7 +119,7 @@ def _searched(docs: DataFrame, text_at: int, blocks: list[WindowSet], mode: str,
     of = lambda schema, extra: ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in schema), *([extra] if extra else [])])
     report = [f for f in columns if f.name != text]
     item_arrow = spark.createDataFrame([], f"x array<{item_type}>").toArrow().schema.field(0).type
-    out = docs
+    out = bounded_batches(docs)
     for number, block in enumerate(blocks):
         sent = spark.sparkContext.broadcast(block)
         first, last = number == 0, number == len(blocks) - 1

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir, slices, stored
+from .common import bounded_batches, read_table, shared_dir, slices, stored
 
 DROPPED = b" \t\n\x0b\x0c\r"
 #: Entries in a bucket before it is split, and the most bits that the directory uses. Buckets that
@@ -97,7 +97,7 @@ def _entries(docs: DataFrame, id_type: str) -> DataFrame:
                     names=["id", "key", "points", "digest", "row"],
                 )
 
-    return docs.mapInArrow(run, f"id {id_type}, key long, points long, digest binary, row long")
+    return bounded_batches(docs).mapInArrow(run, f"id {id_type}, key long, points long, digest binary, row long")
 
 
 def _better(a: tuple, b: tuple) -> tuple:
@@ -276,7 +276,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op6_exact_dedup": op6_exact_dedup}
 ORACLES = {
     "op6_exact_dedup": r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS norm FROM documents),
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[ 	-
+]', '', 'g') AS norm FROM documents),
 g AS (
   SELECT doc_id, norm, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
   FROM t WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST)

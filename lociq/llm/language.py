@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_flags, id_mod, read_table, slices, text_bytes
+from .common import bounded_batches, byte_flags, id_mod, read_table, slices, text_bytes
 from .counts import class_counts, lower_latin
 
 BUCKETS = 1 << 16
@@ -159,7 +159,7 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names[top], pa.string()), pa.array(sure), pa.ListArray.from_arrays(ends, items)], names=[id_col, "lang_pred", "score", "proportions"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, proportions array<struct<lang:string,share:double>>")
+    return bounded_batches(source).mapInArrow(run, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, proportions array<struct<lang:string,share:double>>")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, byte_flags, mix64, read_table, shared_dir, slices, span_hashes, stored, text_bytes, word_spans
+from .common import ASCII_LOWER, bounded_batches, byte_flags, mix64, read_table, shared_dir, slices, span_hashes, stored, text_bytes, word_spans
 from .decontaminate import window_hashes
 from .graph import components
 
@@ -48,7 +48,7 @@ LONGER, LEFT_OUT = 8, 3.2
 #: Classes of a token that are paired; more are compared in cells.
 COLD = 16
 #: Tokens whose classes are counted together in a task, and the least count that leaves it.
-COUNT_AT_ONCE, LOCAL_COUNT = 6_000_000, 2
+COUNT_AT_ONCE, LOCAL_COUNT = 4_000_000, 2
 #: Rows of one token that are looked at together.
 LONG_RUN = 50_000
 #: A token of so many classes is common; of them, at most MAX_COMMON commonest are broadcast (16 bytes
@@ -160,7 +160,7 @@ def _first_pass(docs: DataFrame, id_type: str, size: int) -> DataFrame:
         if pool:
             yield common()
 
-    return docs.mapInArrow(run, f"kind int, id {id_type}, key long, n long, s1 long, s2 long")
+    return bounded_batches(docs).mapInArrow(run, f"kind int, id {id_type}, key long, n long, s1 long, s2 long")
 
 
 def _index(docs: DataFrame, orders, size: int, percent: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_flags, mix64, id_mod, read_table, slices, span_hashes, stored, text_bytes
+from .common import bounded_batches, byte_flags, id_mod, mix64, read_table, slices, span_hashes, stored, text_bytes
 from .counts import class_counts, labelled, lower_latin
 
 BITS = 18
@@ -95,7 +95,7 @@ def importance(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int64)), pa.array(weight)], names=[id_col, "n_tokens", "log_weight"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, n_tokens long, log_weight double")
+    return bounded_batches(source).mapInArrow(run, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, n_tokens long, log_weight double")
 
 
 def gumbel(key: Column, seed: str) -> Column:

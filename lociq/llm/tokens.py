@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import bounded_batches, read_table, slices
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -226,7 +226,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("id"), size, pa.array(counts), pa.array(counts > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded_batches(source).mapInArrow(run, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

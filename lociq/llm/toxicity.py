@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_flags, id_mod, mix64, read_table, slices, span_hashes, text_bytes, word_spans
+from .common import bounded_batches, byte_flags, id_mod, mix64, read_table, slices, span_hashes, text_bytes, word_spans
 from .counts import class_counts, labelled, lower_latin
 
 BITS = 20
@@ -186,7 +186,7 @@ def _scored(docs: DataFrame, text: str, model: ToxicityModel, finish, schema: st
                 best, scores, first = model.best_segments(*text_bytes(part.column(text)))
                 yield finish(model, part, model.probability(model.calibrated(best, np.diff(first))), scores, first)
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, read_table, text_bytes
+from .common import bounded_batches, lower_ascii, read_table, text_bytes
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     host, path = url_parts(url_col)
     source = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    return source.mapInArrow(run, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string")
+    return bounded_batches(source).mapInArrow(run, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
