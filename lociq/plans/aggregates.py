@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.predicates import confirmed, confirmed_at_least, eligible, enriched, relevant, shows_enrichment
+from ..functions.predicates import confirmed, confirmed_at_least, displayable, eligible, enriched, present, relevant, shows_enrichment
+from ..functions.regions import promoter
 from ..functions.text import log_difference, log_plus_one, log_ratio, significant
 from ..operators import enrichment as E
 from ..operators import statistics as S
@@ -329,3 +330,32 @@ def g11_joined_regions(spark, sf_dir):
 @query(f"""WITH {SITES} SELECT chrom, name, count(*) AS n, min(s) AS first FROM sites GROUP BY ALL""")
 def g1_o1_all_chromosomes(spark, sf_dir):
     return sites(spark, sf_dir).groupBy("chrom", "name").agg(F.count("*").alias("n"), F.min("start").alias("first")).orderBy("chrom", "first", "name")
+
+
+@query("""SELECT s_suppkey, s_acctbal > 5000 AS strong, count_signals AS n_signals FROM (SELECT *, CAST(s_nationkey % 4 > 0 AS INTEGER) + CAST(s_acctbal > 0 AS INTEGER) AS count_signals FROM supplier)""")
+def f19_f27_column_group(spark, sf_dir):
+    """Columns of a group are found by their names' ending."""
+    rows = table(spark, sf_dir, "supplier").withColumns({"a_NumInWindow": F.col("s_nationkey") % 4, "b_NumInWindow": F.col("s_acctbal"), "b_Score": F.lit(1.0)})
+    group = rows.select(rows.colRegex("`.*_NumInWindow$`")).columns
+    n = F.lit(0)
+    for c in group:
+        n = n + present(F.col(c))
+    return rows.select("s_suppkey", (F.col("s_acctbal") > 5000).alias("strong"), n.alias("n_signals"))
+
+
+@query(f"""WITH m AS ({ORACLES["a18_group_means"]}) SELECT motif, ratio FROM m WHERE mean_a + mean_b > 0.0005 ORDER BY ratio DESC, motif LIMIT 7""")
+def f32_l3_displayable(spark, sf_dir):
+    m = a18_group_means(spark, sf_dir)
+    return m.where(displayable(F.col("mean_a"), F.col("mean_b"))).orderBy(F.desc("ratio"), "motif").limit(7).select("motif", "ratio")
+
+
+@query(f"""WITH {GENES} SELECT transcript, CASE WHEN strand = '-' THEN e - 50 ELSE s - 300 END AS ps, CASE WHEN strand = '-' THEN e + 300 ELSE s + 50 END AS pe, CASE WHEN strand = '-' THEN s ELSE s - 300 END AS ws, CASE WHEN strand = '-' THEN e + 300 ELSE e END AS we FROM genes""")
+def f15_promoter_regions(spark, sf_dir):
+    args = (F.col("start"), F.col("end"), F.col("strand"), F.lit(300))
+    rows = genes(spark, sf_dir).select("transcript", promoter(*args, F.lit(50)).alias("p"), promoter(*args, F.lit(None).cast("long")).alias("w"))
+    return rows.select("transcript", *(F.col(f"{a}.{b}").alias(f"{a}{b[0]}") for a in "pw" for b in ("start", "end")))
+
+
+@query("""SELECT l_suppkey % 24 AS chrom, count(*) AS n FROM lineitem GROUP BY 1""")
+def src8_chromosome_partitions(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 24).alias("chrom")).agg(F.count("*").alias("n"))
