@@ -25,7 +25,7 @@ PRIOR = 5.0
 EFFECTIVE_LENGTH = 40.0
 #: Share of the documents that the query draws.
 KEPT_SHARE = 0.8
-MAX_LABELS = 2_000_000
+MAX_LABELS = 500_000
 _WORD = byte_flags([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
 _SPACE = byte_flags([(0x09, 0x0D), (0x20, 0x20)])
 

@@ -30,7 +30,7 @@ SPACE = "▁"
 #: Characters in a chunk; chunks of one pass are stepped side by side.
 CHUNK_CHARS = 384
 #: Compiled transitions kept by a worker; beyond that it starts again from none (results stay the same).
-MAX_TRANSITIONS = 4_000_000
+MAX_TRANSITIONS = 800_000
 
 
 class CountingTransducer:

@@ -4,9 +4,9 @@ Words and their beginnings get the log-odds of toxic against other training text
 informative Dirichlet prior, shrunk by their own uncertainty, less a small constant so that ordinary
 text scores below zero. Ruzzo and Tompa's scan finds all maximal scoring segments of a text in linear
 time. How high the best segment of n harmless words comes follows an extreme-value (Gumbel)
-distribution, P(S >= s) = 1 - exp(-K n exp(-lambda s)); its parameters, and the logistic curve from
-the calibrated value lambda S - ln(K n) to a probability, are fitted on training texts that the
-log-odds haven't seen.
+distribution, P(S >= s) = 1 - exp(-K n exp(-lambda s)); its parameters, and the rising curve from the
+calibrated value lambda S - ln(K n) to a probability (isotonic regression), are fitted on training
+texts that the log-odds haven't seen.
 """
 
 from __future__ import annotations
@@ -30,11 +30,8 @@ PRIOR = 1000.0
 #: Evidence (likelihood ratio statistic) below which a log-odds counts as 0; above it is shrunk by it.
 SHRINK = 8.0
 DRIFT = 0.15
-#: Calibrated values beyond which the curve flattens; the one with
-#: the fewest errors in the calibration rows is taken, of equals the one that fits best.
-FLAT = (4.0, 5.0, 6.0, 8.0, 12.0, 20.0)
 #: Labelled rows that are learnt from: labels are broadcast up to this number, a hash sample beyond.
-MAX_LABELS = 2_000_000
+MAX_LABELS = 500_000
 #: Scored rows that the calibration is fitted on.
 MAX_CALIBRATION = 50_000
 #: A passage counts if chance gives one as good in a text of its length less often than this.
@@ -80,12 +77,11 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class ToxicityModel:
-    """weights: score of each bucket; gumbel: (lambda, ln K); logit: probability's (intercept, slope)."""
+    """weights: score of each bucket; gumbel: (lambda, ln K); curve: calibrated values, probabilities."""
 
     weights: np.ndarray
     gumbel: tuple[float, float] = (1.0, 0.0)
-    logit: tuple[float, float] = (0.0, 0.0)
-    flat: float = FLAT[-1]
+    curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
     def word_scores(self, data: np.ndarray, offsets: np.ndarray):
         ids, first = features(data, offsets)
@@ -104,12 +100,12 @@ class ToxicityModel:
         return best, scores, first
 
     def calibrated(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """lambda S - ln(K n); beyond `flat` it grows slowly, so that the curve is fitted where texts differ."""
-        x = np.maximum(self.gumbel[0] * best - np.log(n + 1.0) - self.gumbel[1], -12)
-        return np.where(x > self.flat, self.flat + 0.1 * np.log1p(np.maximum(x - self.flat, 0)), x)
+        """lambda S - ln(K n)."""
+        return self.gumbel[0] * best - np.log(n + 1.0) - self.gumbel[1]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit[0] + self.logit[1] * x, -30, 30)))
+        """From the curve; a thousandth is left to tell values on a flat part apart."""
+        return 0.999 * np.interp(x, *self.curve) + 0.001 / (1 + np.exp(-np.clip(x / 20, -30, 30)))
 
     def passages(self, scores: np.ndarray) -> list[tuple[int, int, float, float]]:
         """Significant maximal segments of one text: first word, end word, score, expected number."""
@@ -119,29 +115,32 @@ class ToxicityModel:
 
 
 def fit_gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """lambda and ln K from the best segments of harmless texts: the spread of S - ln(n) / lambda is
-    that of a Gumbel distribution, pi / (sqrt(6) lambda)."""
-    if len(best) < 5 or best.std() == 0:
+    """lambda and ln K from the best segments of harmless texts: S - ln(n) / lambda has the quantiles
+    (ln K - ln(-ln p)) / lambda of a Gumbel distribution. The median and the ninth decile are matched,
+    so that some wrongly labelled texts don't matter."""
+    if len(best) < 20 or np.quantile(best, 0.9) <= 0:
         return 1.0, 0.0
     length, rate = np.log(n + 1.0), 1.0
+    middle, high = (-np.log(-np.log(p)) for p in (0.5, 0.9))
     for _ in range(100):
-        rate = 0.5 * rate + 0.5 * math.pi / math.sqrt(6) / max(1e-6, float((best - length / rate).std()))
-    return rate, rate * float((best - length / rate).mean()) - 0.5772156649
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Intercept, slope and loss by Newton's method; the slope has a weak prior around 1 and stays above 0."""
-    w, middle, prior = np.array([0.0, 1.0]), np.array([0.0, 1.0]), np.diag([1e-3, 1.0])
-    design = np.stack([np.ones(len(x)), x], 1)
-    loss = lambda w: np.logaddexp(0, design @ w).sum() - y @ (design @ w) + 0.5 * (w - middle) @ prior @ (w - middle)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-design @ w))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + prior, design.T @ (y - p) - prior @ (w - middle))
-        while loss(w + step) > loss(w) and abs(step).max() > 1e-9:
-            step = step / 2
-        w = w + step
-    w[1] = max(w[1], 0.05)
-    return float(w[0]), float(w[1]), float(loss(w))
+        low, top = np.quantile(best - length / rate, [0.5, 0.9])
+        rate = 0.5 * rate + 0.5 * float(np.clip((high - middle) / max(1e-6, top - low), 0.05, 50))
+    return rate, rate * float(np.quantile(best - length / rate, 0.5)) - middle
+
+
+def fit_isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of a rising curve from x to the share of y: neighbouring values are pooled where shares
+    fall; each pool's share is that of its rows and one more of the average share."""
+    pools: list[list[float]] = []  # [ones, rows, mean x]
+    order = np.argsort(x, kind="stable")
+    for value, one in zip(x[order].tolist(), y[order].tolist()):
+        pools.append([one, 1.0, value])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            ones, rows, mean = pools.pop()
+            last = pools[-1]
+            pools[-1] = [last[0] + ones, last[1] + rows, (last[2] * last[1] + mean * rows) / (last[1] + rows)]
+    ones, rows, at = np.array(pools).T
+    return at, (ones + y.mean()) / (rows + 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_labels: int = MAX_LABELS, max_calibration: int = MAX_CALIBRATION) -> ToxicityModel:
@@ -160,19 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 best, _, first = sent.value.best_segments(*text_bytes(part.column("text")))
                 yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(np.diff(first).astype(np.int64)), part.column("label")], names=["best", "n", "label"])
 
-    few = rows.where("fold = 4").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, max_calibration * 5 / max_labels) * (1 << 20)))
+    part = min(1.0, max_calibration * 5 / max(1, min(labels.count(), max_labels)))
+    few = rows.where("fold = 4").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < int(part * (1 << 20)))
     got = few.select("text", "label").mapInArrow(measure, "best double, n long, label int").toArrow()
     best, n, y = (got.column(c).to_numpy() for c in ("best", "n", "label"))
     if counts.sum(1).min() == 0 or not len(y) or y.min() == y.max():
-        model.logit = (-5.0, 0.0)
         return model
     model.gumbel = fit_gumbel(best[y == 0], n[y == 0])
-    fits = []
-    for model.flat in FLAT:
-        x = model.calibrated(best, n)
-        a, b, loss = fit_logistic(x, y)
-        fits.append((int(((a + b * x >= 0) != y).sum()), loss, model.flat, (a, b)))
-    *_, model.flat, model.logit = min(fits)
+    model.curve = fit_isotonic(model.calibrated(best, n), y)
     return model
 
 
