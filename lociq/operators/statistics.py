@@ -25,12 +25,19 @@ def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), p(0.25).alias("q1"), p(0.5).alias("median"), F.avg(value).alias("mean"), p(0.75).alias("q3"), F.max(value).alias("most"), F.stddev_samp(value).alias("sd"))
 
 
+def pearson(a, b):
+    """Correlation over the rows that have both; null where one of them doesn't vary."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson's correlation of each two columns over the rows where both are present, as (a, b, n, r);
     columns that don't vary are left out. One pass: the sums of all pairs are aggregates."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    sums = rows.agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
+    sums = rows.agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), pearson(F.col(a), F.col(b)).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
     return sums.select(F.explode(F.array(*(f"p{i}" for i in range(len(pairs))))).alias("p")).select("p.*").where("r IS NOT NULL")
 
 
@@ -40,16 +47,24 @@ def correlation_difference(one: DataFrame, two: DataFrame) -> DataFrame:
     return d.withColumn("scaled", F.try_divide("difference", F.max(F.abs("difference")).over(Window.partitionBy())))
 
 
-def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """The rank of each row's value among those of its group, ties with their average rank.
-
-    Ranks are made from the counts of distinct values: only those are ordered, in one window for each
-    group, however many rows have a value."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.select(*(F.col(b).alias(f"_{b}") for b in by), "_v", (F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2).alias(name), "_n")
+def average_ranks(rows: DataFrame, by: list[str], value: str, name: str, *, slices: int = 64) -> DataFrame:
+    """The rank of each row's value among those of its group, ties with their average rank; null for null.
+
+    Ranks are made from the counts of distinct values, so that ties don't weigh. These are cut into
+    slices at approximate quantiles; each slice is ordered by itself and starts at the count of those
+    below it, so that a group of any size is ordered by many tasks."""
+    cuts = sorted(set(rows.approxQuantile(value, [i / slices for i in range(1, slices)], 0.002))) if slices > 1 else []
+    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_piece", piece)
+    totals = counts.groupBy(*by, "_piece").agg(F.sum("_n").alias("_total"))
+    below = F.coalesce(F.sum("_total").over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select(*(F.col(b).alias(f"_s{k}") for k, b in enumerate(by)), F.col("_piece").alias("_start_piece"), below.alias("_start"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("_inside", inside)
+    placed = placed.join(starts, [F.col("_piece") == F.col("_start_piece"), *(F.col(b).eqNullSafe(F.col(f"_s{k}")) for k, b in enumerate(by))])
+    ranked = placed.select(*(F.col(b).alias(f"_{b}") for b in by), "_v", (F.col("_start") + F.col("_inside") + (F.col("_n") + 1) / 2).alias(name))
     same = [F.col(value) == F.col("_v"), *(F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by)]
-    return rows.join(ranked, same, "left").drop("_v", "_n", *(f"_{b}" for b in by))
+    return rows.join(ranked, same, "left").drop("_v", *(f"_{b}" for b in by))
 
 
 def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -57,7 +72,7 @@ def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     usual approximation."""
     both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = average_ranks(average_ranks(both, by, a, "rank_a"), by, b, "rank_b")
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rank_a", "rank_b").alias("rho"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson(F.col("rank_a"), F.col("rank_b")).alias("rho"))
     return out.withColumn("t", F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2.0), F.sqrt(1 - F.col("rho") * F.col("rho"))))
 
 
