@@ -36,11 +36,16 @@ w AS (SELECT motif_id, pos, base, value / CAST(total AS DOUBLE) AS share, log2(n
 _SEQ = "seqs AS (SELECT CAST(doc_id AS VARCHAR) AS chrom, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM documents)"
 
 
-@query(f"WITH {_W}, t AS (SELECT n_name, motif_id, pos, base, share, score FROM nation, w WHERE n_nationkey % 2 = 0 AND motif_id = 'M1') SELECT n_name, motif_id, pos, base, round(share, 6) AS share, round(score, 6) AS score FROM t")
+@query(f"""WITH letters AS (SELECT lang, unnest(range(0, length(seq))) AS i, seq FROM (SELECT lang, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM documents)),
+c AS (SELECT lang AS motif_id, CAST(i % 10 AS INTEGER) AS pos, substr(seq, i + 1, 1) AS base, count(*) AS value FROM letters WHERE substr(seq, i + 1, 1) <> 'N' GROUP BY ALL),
+t AS (SELECT *, CAST(sum(value) OVER (PARTITION BY motif_id, pos) AS BIGINT) AS total FROM c)
+SELECT *, round(value / CAST(total AS DOUBLE), 6) AS share, round(log2(value / CAST(total AS DOUBLE) / 0.25), 6) AS score FROM t""")
 def f5_f8_f9_normalised_matrix(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_name", F.lit("M1").alias("m"))
-    w = M.normalised(matrices(spark))
-    return rounded(names.join(w, names.m == w.motif_id).select("n_name", "motif_id", "pos", "base", "share", "score"))
+    """A matrix for each language, counted from the letters of all its documents by place modulo ten."""
+    letters = F.upper(F.regexp_replace("text", "[^ACGTNacgtn]", ""))
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("motif_id"), F.posexplode(F.split(letters, "")).alias("i", "base"))
+    counts = rows.where(F.col("base").isin(*M.BASES)).groupBy("motif_id", (F.col("i") % 10).alias("pos"), "base").agg(F.count("*").alias("value"))
+    return rounded(M.normalised(counts))
 
 
 @query("SELECT l_orderkey AS k, l_linenumber AS i, l_quantity AS q, count(*) AS n, round(log2(CASE WHEN l_quantity > 0 THEN l_quantity / 50 / 0.3 END), 6) AS risk, round(log2(CASE WHEN l_quantity > 0 AND l_quantity < 50 THEN l_quantity / (50 - l_quantity) END) + log2(3.0), 6) AS odds FROM lineitem GROUP BY ALL")
