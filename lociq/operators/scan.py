@@ -9,7 +9,7 @@ from ..functions.motif import BASES, flat_score, reverse_complement
 from .range_join import contained_in
 
 #: Letters of a sequence in one row; longer ones are cut into rows that overlap by the longest motif.
-CHUNK = 500
+CHUNK = 2_000
 #: Motif rows that are broadcast; a larger collection is joined by a shuffle.
 MAX_SENT_MOTIFS = 5_000
 
@@ -30,20 +30,21 @@ def scan(sequences: DataFrame, motifs: DataFrame, threshold: float = 0.0, *, ski
     a letter that can't occur at its place has no score. Windows are filtered where they are made, so
     that what isn't a hit is never shuffled or stored.
     """
-    longest, n = motifs.agg(F.max("length"), F.count("*")).first()
+    longest, n, lengths = motifs.agg(F.max("length"), F.count("*"), F.collect_set("length")).first()
     longest = longest or 1
-    rows = chunked(sequences.select("chrom", F.upper("seq").alias("seq")), longest - 1, size).withColumn("_all", F.lit(1))
+    rows = chunked(sequences.select("chrom", F.upper("seq").alias("seq")), longest - 1, size)
+    # All windows of a length are made once, by a look-ahead, and meet the motifs of that length.
+    rows = rows.withColumn("length", F.explode(F.array(*map(F.lit, sorted(lengths))).cast("array<int>")))
+    every = F.regexp_extract_all("seq", F.concat(F.lit("(?s)(?=(.{"), F.col("length").cast("string"), F.lit("}))")), F.lit(1))
+    windows = rows.select("chrom", "chunk_start", "own", "length", F.posexplode(every).alias("i", "text")).where("i < own")
     # A hit on - is a window of the forward sequence that fits the matrix read backwards on the complement.
     flat = lambda w, bases: F.flatten(F.transform(w, lambda m: F.array(*(F.try_element_at(m, F.lit(b)) for b in bases))))
     sides = F.explode(F.array(F.struct(F.lit("+").alias("strand"), flat(F.col("w"), BASES).alias("v")), F.struct(F.lit("-").alias("strand"), flat(F.reverse("w"), BASES[::-1]).alias("v")))).alias("s")
-    side = motifs.select("motif_id", "length", sides, F.lit(1).alias("_all")).select("motif_id", "length", "s.strand", "s.v", "_all")
+    side = motifs.select("motif_id", "length", sides).select("motif_id", "length", "s.strand", "s.v")
     if n <= MAX_SENT_MOTIFS:  # small enough to be made once, on the driver, and sent along
         side = F.broadcast(motifs.sparkSession.createDataFrame(side.collect(), side.schema))
-    both = rows.join(side, "_all").where(F.length("seq") >= F.col("length"))
-    last = F.least(F.length("seq") - F.col("length"), F.col("own") - 1)
-    texts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("seq"), i + 1, F.col("length")))
-    windows = both.select("motif_id", "length", "chrom", "chunk_start", "strand", "v", F.posexplode(texts).alias("i", "text"))
-    scored = windows.withColumn("score", flat_score(F.col("text"), F.col("v"), F.col("length"), longest, skip_n)).where(F.col("score") >= threshold)
+    both = windows.join(side, "length")
+    scored = both.withColumn("score", flat_score(F.col("text"), F.col("v"), F.col("length"), longest, skip_n)).where(F.col("score") >= threshold)
     start = F.col("chunk_start").cast("long") + F.col("i") + 1
     match = F.when(F.col("strand") == "+", F.col("text")).otherwise(reverse_complement(F.col("text")))
     return scored.select("motif_id", "chrom", start.alias("start"), (start + F.col("length")).alias("end"), "score", "strand", match.alias("match"))
