@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -61,6 +62,15 @@ def id_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the machine: a Python worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     """Cut a batch into runs of rows whose texts hold about `limit` bytes (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -70,7 +80,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     edges = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(sizes)]
     for a, b in zip(edges, edges[1:]):
         yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # a worker lives on after its task
+    release_memory()
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -136,7 +136,11 @@ def _first_pass(docs: DataFrame, id_type: str, size: int) -> DataFrame:
         seen, pool, pooled = set(), [], 0
 
         def common():
-            tokens, counts = np.unique(np.concatenate(pool), return_counts=True)
+            tokens = np.concatenate(pool)
+            pool.clear()
+            tokens.sort()
+            tokens, counts = np.unique(tokens[1:][tokens[1:] == tokens[:-1]], return_counts=True)
+            counts += 1
             keep = counts >= LOCAL_COUNT
             k = int(keep.sum())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, id_arrow), pa.nulls(k, pa.int64()), pa.array(counts[keep]), pa.array(tokens[keep].view(np.int64)), pa.nulls(k, pa.int64())], names=names)
@@ -155,7 +159,7 @@ def _first_pass(docs: DataFrame, id_type: str, size: int) -> DataFrame:
                         pooled += len(tokens)
                 if pooled > COUNT_AT_ONCE:
                     yield common()
-                    pool, pooled = [], 0
+                    pooled = 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=names)
         if pool:
             yield common()
