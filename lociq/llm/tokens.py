@@ -17,6 +17,8 @@ agree for good. The scan ends when no chunk gets another state than the one it w
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +32,7 @@ SPACE = "▁"
 #: Characters in a chunk; chunks of one pass are stepped side by side.
 CHUNK_CHARS = 384
 #: Compiled transitions kept by a worker; beyond that it starts again from none (results stay the same).
-MAX_TRANSITIONS = 800_000
+MAX_TRANSITIONS = 1_200_000
 
 
 class CountingTransducer:
@@ -76,8 +78,8 @@ class CountingTransducer:
             return 0, len(char.encode("utf-8", "surrogatepass"))
         found = next((since + char, n) for since, last, n in alive if since + char in self.pieces and self.may_follow(last, since + char))
         change = found[1] + 1
-        after = [(since + char, last, n - change) for since, last, n in alive if since + char in self.prefixes]
-        after = tuple([*after, ("", found[0], 0)])
+        after = [(sys.intern(since + char), last, n - change) for since, last, n in alive if since + char in self.prefixes]
+        after = tuple([*after, ("", sys.intern(found[0]), 0)])
         number = self.known.get(after)
         if number is None:
             number = self.known[after] = len(self.states)
