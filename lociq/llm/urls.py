@@ -6,7 +6,8 @@ to word, mask by the character's bits, keep the bits that stand before a `*`. Th
 through the automaton side by side, a numpy row each.
 
 A glob is matched against the whole canonical URL, host + path: the host is lower-cased, and query
-and fragment are left out. `*` stands for any run of characters, `?` for any one byte.
+and fragment are left out. `*` stands for any run of characters, `?` for any one byte. In the globs of
+a rule, stars before the first `/` stand for a part of the host: they don't pass a `/`.
 """
 
 from __future__ import annotations
@@ -53,25 +54,28 @@ BLOCKED_GLOBS = ["*casino*.*/*", "*free-bets*.*/*", "*spam-farm*.*/*", "*cheap-p
 
 class GlobAutomaton:
     """Shift-And masks of all globs. Each glob takes a bit for each of its characters but stars, and
-    one before them that stands for "nothing read yet"."""
+    one before them that stands for "nothing read yet". In the first `hosts` globs, stars before the
+    first `/` don't pass a `/`."""
 
-    def __init__(self, globs: list[str]):
-        place, initial, final, stay, on = 0, [], [], [], []
-        for glob in globs:
+    def __init__(self, globs: list[str], hosts: int = 0):
+        place, initial, final, stay, within, on = 0, [], [], [], [], []
+        for k, glob in enumerate(globs):
             initial.append(place)
-            if glob.startswith("*"):
-                stay.append(place)
+            host = k < hosts
             for c in glob.encode():
                 if c == ord("*"):
-                    stay.append(place)
+                    (within if host else stay).append(place)
                 else:
                     place += 1
                     on.append((place, c))
+                    host &= c != ord("/")
             final.append(place)
             place += 1
         self.words = -(-max(place, 1) // 64)
         self.final = final
-        self.initial, self.stay = self._bits(initial), self._bits(stay)
+        self.initial = self._bits(initial)
+        self.stay = np.tile(self._bits(stay + within), (256, 1))
+        self.stay[ord("/")] = self._bits(stay)
         self.by_char = np.zeros((256, self.words), np.uint64)
         for p, c in on:
             for row in range(256) if c == ord("?") else [c]:
@@ -95,7 +99,8 @@ class GlobAutomaton:
             now = state[:n]
             moved = now << np.uint64(1)
             moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
-            state[:n] = (moved & self.by_char[data[begin[:n] + i]]) | (now & self.stay)
+            read = data[begin[:n] + i]
+            state[:n] = (moved & self.by_char[read]) | (now & self.stay[read])
         flags = np.empty((len(lengths), len(self.final)), bool)
         flags[order] = np.stack([(state[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1) for p in self.final], axis=1).astype(bool) if self.final else False
         return flags
@@ -111,7 +116,8 @@ def url_parts(url: str = "url"):
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: list[HostRule] = RULES, blocked: list[str] = BLOCKED_GLOBS) -> DataFrame:
     """id, host, path, rule and verdict of each row of pages; no shuffle.
 
-    Of the rules that fit, the one with the longest host + path counts (of equals, the first); where
+    A rule's host is looked for in the host alone, the blocked globs in host + path. Of the rules that
+    fit, the one with the longest host + path counts (of equals, the first); where
     none fits, rule is null and the URL is blocked if one of the `blocked` globs matches it, else
     allowed. The host runs from the first :// to /, ?, # or the end, the path from there to ?, # or
     the end. Null and text without :// have an empty host and path and are allowed unless a glob
@@ -121,7 +127,7 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     ranked = [rules[i] for i in ranked]
 
     def run(batches):
-        machine = GlobAutomaton([g for r in ranked for g in r.globs] + blocked)
+        machine = GlobAutomaton([g for r in ranked for g in r.globs] + blocked, 2 * len(ranked))
         names = np.array([r.name for r in ranked] + [""], object)
         verdicts = np.array([r.verdict for r in ranked] + ["allow", "block"], object)
         n = len(ranked)
