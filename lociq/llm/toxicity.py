@@ -4,15 +4,17 @@ Words and their beginnings get the log-odds of toxic against other training text
 informative Dirichlet prior, shrunk by their own uncertainty, less a small constant so that ordinary
 text scores below zero. Ruzzo and Tompa's scan finds all maximal scoring segments of a text in linear
 time. How high the best segment of n harmless words comes follows an extreme-value (Gumbel)
-distribution, P(S >= s) = 1 - exp(-K n exp(-lambda s)); its parameters, and the rising curve from the
-calibrated value lambda S - ln(K n) to a probability (isotonic regression), are fitted on training
-texts that the log-odds haven't seen.
+distribution, P(S >= s) = 1 - exp(-K n exp(-lambda s)); chance gives a segment of score S or more
+K n exp(-lambda S) times. A text's calibrated value is lambda S - ln(K n) of its best segment or, where
+segments are expected less than once, the sum of -ln(expected number) over all of these. The parameters,
+and then the rising curve from calibrated values to a probability (isotonic regression), are fitted on
+training texts that the log-odds haven't seen.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -60,19 +62,22 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), by Ruzzo and Tompa's stack; linear time."""
-    sums, stack = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)]), []  # [start, end, sum before, sum after]
-    for i in np.flatnonzero(scores > 0).tolist():
-        seg = [i, i + 1, sums[i], sums[i + 1]]
+    places = np.flatnonzero(scores > 0)
+    sums = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
+    # start, end, sum before, sum after, and the place of the last one below with a smaller sum before
+    stack: list[tuple[int, int, float, float, int]] = []
+    for i, before, after in zip(places.tolist(), sums[places].tolist(), sums[places + 1].tolist()):
+        start, j = i, len(stack) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= seg[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= seg[3]:
-                stack.append(seg)
+            while j >= 0 and stack[j][2] >= before:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= after:
+                stack.append((start, i + 1, before, after, j))
                 break
-            seg = [stack[j][0], seg[1], stack[j][2], seg[3]]
+            start, _, before, _, below = stack[j]
             del stack[j:]
-    return [(a, b, after - before) for a, b, before, after in stack]
+            j = below
+    return [(a, b, after - before) for a, b, before, after, _ in stack]
 
 
 @dataclass
@@ -99,20 +104,23 @@ class ToxicityModel:
         np.maximum.at(best, text, sums - lowest)
         return best, scores, first
 
-    def calibrated(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """lambda S - ln(K n)."""
-        return self.gumbel[0] * best - np.log(n + 1.0) - self.gumbel[1]
+    def calibrated(self, best: np.ndarray, scores: np.ndarray, first: np.ndarray):
+        """The calibrated value of each text, and its maximal segments that are expected less than
+        once: first word, end word, score, -ln(expected number)."""
+        rate, ln_k = self.gumbel
+        value = rate * best - np.log(np.diff(first) + 1.0) - ln_k
+        found: list[list[tuple[int, int, float, float]]] = [[] for _ in value]
+        for i in np.flatnonzero(value > 0).tolist():
+            a, b = int(first[i]), int(first[i + 1])
+            chance = math.log(b - a + 1.0) + ln_k
+            found[i] = [(start, stop, s, rate * s - chance) for start, stop, s in maximal_segments(scores[a:b]) if rate * s > chance]
+            value[i] = sum(x for *_, x in found[i])
+        return value, found
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """From the curve; a thousandth is left to tell values on a flat part apart."""
         return 0.999 * np.interp(x, *self.curve) + 0.001 / (1 + np.exp(-np.clip(x / 20, -30, 30)))
 
-    def passages(self, scores: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """Significant maximal segments of one text: first word, end word, score, expected number."""
-        n, (rate, ln_k) = len(scores), self.gumbel
-        segments = ((a, b, s, math.exp(min(60.0, math.log(n + 1.0) + ln_k - rate * s))) for a, b, s in maximal_segments(scores))
-        return [x for x in segments if x[3] < SIGNIFICANT]
-
 
 def fit_gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """lambda and ln K from the best segments of harmless texts: S - ln(n) / lambda has the quantiles
@@ -159,15 +167,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 best, _, first = sent.value.best_segments(*text_bytes(part.column("text")))
                 yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(np.diff(first).astype(np.int64)), part.column("label")], names=["best", "n", "label"])
 
+    def values(batches):
+        model = replace(sent.value, gumbel=gumbel)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                value, _ = model.calibrated(*model.best_segments(*text_bytes(part.column("text"))))
+                yield pa.RecordBatch.from_arrays([pa.array(value), part.column("label")], names=["value", "label"])
+
     part = min(1.0, max_calibration * 5 / max(1, min(labels.count(), max_labels)))
     few = rows.where("fold = 4").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < int(part * (1 << 20)))
-    got = few.select("text", "label").mapInArrow(measure, "best double, n long, label int").toArrow()
+    few = few.select("text", "label")
+    got = few.mapInArrow(measure, "best double, n long, label int").toArrow()
     best, n, y = (got.column(c).to_numpy() for c in ("best", "n", "label"))
     if counts.sum(1).min() == 0 or not len(y) or y.min() == y.max():
         return model
-    model.gumbel = fit_gumbel(best[y == 0], n[y == 0])
-    model.curve = fit_isotonic(model.calibrated(best, n), y)
-    return model
+    gumbel = fit_gumbel(best[y == 0], n[y == 0])
+    got = few.mapInArrow(values, "value double, label int").toArrow()
+    return replace(model, gumbel=gumbel, curve=fit_isotonic(*(got.column(c).to_numpy() for c in ("value", "label"))))
 
 
 def _scored(docs: DataFrame, text: str, model: ToxicityModel, finish, schema: str) -> DataFrame:
@@ -177,15 +193,15 @@ def _scored(docs: DataFrame, text: str, model: ToxicityModel, finish, schema: st
         model = sent.value
         for batch in batches:
             for part in slices(batch, text):
-                best, scores, first = model.best_segments(*text_bytes(part.column(text)))
-                yield finish(model, part, model.probability(model.calibrated(best, np.diff(first))), scores, first)
+                value, found = model.calibrated(*model.best_segments(*text_bytes(part.column(text))))
+                yield finish(part, model.probability(value), found)
 
     return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score (0 to 1) and passages (start, stop: words; score; expected: how many such by chance)
-    of each row of docs; no shuffle.
+    """id, score (0 to 1) and significant passages (start, stop: words; score; expected: how many such by
+    chance) of each row of docs; no shuffle. The score is of all passages expected less than once.
 
     Words are runs of letters a-z and characters beyond ASCII, in lower case. Null and empty texts
     have no words and get the score of a text without any toxic word. Rows with the same text have the
@@ -194,9 +210,9 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
-    def finish(model, part, score, scores, first):
-        found = [[dict(zip(("start", "stop", "score", "expected"), p)) for p in model.passages(scores[a:b])] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(score), pa.array(found, kind)], names=[id_col, "score", "passages"])
+    def finish(part, score, found):
+        passages = [[{"start": a, "stop": b, "score": s, "expected": math.exp(-x)} for a, b, s, x in row if math.exp(-x) < SIGNIFICANT] for row in found]
+        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(score), pa.array(passages, kind)], names=[id_col, "score", "passages"])
 
     return _scored(source, "text", model, finish, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, score double, passages array<struct<start:int,stop:int,score:double,expected:double>>")
 
@@ -207,7 +223,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    return _scored(plain, f"c{names.index(text_col)}", model, lambda model, part, score, *_: part.filter(pa.array(score < threshold)), schema).toDF(*names)
+    return _scored(plain, f"c{names.index(text_col)}", model, lambda part, score, _: part.filter(pa.array(score < threshold)), schema).toDF(*names)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
