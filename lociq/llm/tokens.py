@@ -8,11 +8,14 @@ past the present one, the last piece there and how many pieces more or fewer it
 finite state; each transition (state, character) is annotated with the change in the number of
 tokens. Transitions are compiled when first met and stay compiled in the Python worker.
 
-Texts are cut into chunks of one size, and all chunks step through the transducer side by side as
-numpy vectors. A chunk starts in a guessed state; its map (state in -> state out, tokens) is then
-composed with those before it by a prefix scan: where the state that comes in differs from the
-guess, the head of the chunk is stepped again until both runs are in the same state, from where they
-agree for good. The scan ends when no chunk gets another state than the one it was run from.
+A space after another character leads to the start state whatever the state before, so texts are
+cut there: the state map of such a piece of text, a word, is constant, and its count is kept once it
+has been composed. Words that aren't known yet step through the transducer side by side as numpy
+vectors. A word longer than LONG_WORD (text without spaces) is cut into chunks of one size. A chunk's
+state map takes each state that may enter it (those that runs begun at each of several places before
+the chunk lead to) to a state and a number of tokens; maps are composed by a parallel scan (pointer
+doubling). Where a state leaves a chunk that the next map doesn't have, the map gets it, and the scan
+is repeated, so that the count is exact for any text.
 """
 
 from __future__ import annotations
@@ -25,14 +28,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read_table, slices
+from .common import bounded_batches, mix64, read_table, slices, span_hashes
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters in a chunk; chunks of one pass are stepped side by side.
-CHUNK_CHARS = 384
-#: Compiled transitions kept by a worker; beyond that it starts again from none (results stay the same).
-MAX_TRANSITIONS = 1_200_000
+#: Characters of a word that is stepped as a whole, and in a chunk of a longer one.
+LONG_WORD, CHUNK_CHARS = 96, 384
+#: How far before a chunk the runs begin that guess the states that enter it.
+WARM = range(17, 33)
+#: Characters whose words are looked up and stepped side by side.
+BLOCK_CHARS = 1_000_000
+#: Compiled transitions kept by a worker; beyond that it starts again from none. Words whose counts
+#: are kept; beyond that, those not met lately are forgotten. Results stay the same.
+MAX_TRANSITIONS, MAX_WORDS = 1_200_000, 2_000_000
 
 
 class CountingTransducer:
@@ -42,6 +50,8 @@ class CountingTransducer:
         self.pieces = pieces
         self.prefixes = {p[:n] for p in pieces for n in range(1, len(p))}
         self.follows: dict[tuple[str, str], bool] = {}
+        self.histories: dict[str, list[tuple[str, str, float]] | None] = {}
+        self.words = WordCounts()
         self.reset()
 
     def reset(self) -> None:
@@ -52,24 +62,50 @@ class CountingTransducer:
         self.table = np.full((1 << self.bits, 2), -1, np.int64)
         self.filled = 0
 
-    def merge(self, text: str) -> list[str]:
-        """The encoding of a short text, by its definition: best neighbours first, leftmost of equals."""
-        parts = list(text)
-        while True:
-            best = max(((self.pieces.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(-np.inf, 0))
-            if best[0] == -np.inf:
-                return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    def history(self, piece: str) -> list[tuple[str, str, float]] | None:
+        """How merging a piece by itself goes, best neighbours first, leftmost of equals: its first and
+        last symbol and the score of the next merge, before each merge and at the end. None if
+        something else comes out."""
+        if piece not in self.histories:
+            parts, steps = list(piece), []
+            while True:
+                best = max(((self.pieces.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(-np.inf, 0))
+                steps.append((parts[0], parts[-1], best[0]))
+                if best[0] == -np.inf:
+                    break
+                i = -best[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.histories[piece] = steps if len(parts) == 1 else None
+        return self.histories[piece]
 
     def may_follow(self, last: str, piece: str) -> bool:
+        """Whether merging last + piece gives these two: both are merged as if alone, the better merge
+        first, unless a merge across the border is better than both at some time."""
         key = (last, piece)
         if key not in self.follows:
             if len(self.follows) > MAX_TRANSITIONS:
                 self.follows.clear()
-            self.follows[key] = self.merge(last + piece) == ([last, piece] if last else [piece])
+            self.follows[key] = self._stay_apart(last, piece)
         return self.follows[key]
 
+    def _stay_apart(self, last: str, piece: str) -> bool:
+        right = self.history(piece)
+        left = self.history(last) if last else [("", "", -np.inf)]
+        if right is None or left is None:
+            return False
+        i = j = 0
+        while True:
+            (_, a, next_a), (b, _, next_b) = left[i], right[j]
+            across = self.pieces.get(a + b, -np.inf) if a else -np.inf
+            if across > next_a and across >= next_b:
+                return False
+            if next_a == next_b == -np.inf:
+                return True
+            if next_a >= next_b:
+                i += 1
+            else:
+                j += 1
+
     def step(self, state: int, char: str) -> tuple[int, int]:
         alive = self.states[state]
         if char == SPACE and alive[0][0] and not alive[0][0].startswith(SPACE * len(alive[0][0])):
@@ -129,55 +165,133 @@ class CountingTransducer:
                     slots[todo] = (slots[todo] + 1) & mask
         return got[:, 1] >> 8, (got[:, 1] & 255) - 128
 
+    def run(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Steps codes[start : start + size] from a state each, side by side: states and tokens."""
+        order = np.argsort(-size, kind="stable")
+        start, state = start[order], state[order].astype(np.int64)
+        longest = int(size.max(initial=0))
+        alive = np.searchsorted(-size[order], -np.arange(longest), side="left")  # runs longer than i
+        tokens = np.zeros(len(start), np.int64)
+        for i in range(longest):
+            n = alive[i]
+            state[:n], change = self.step_all(state[:n], codes[start[:n] + i])
+            tokens[:n] += change
+        out = np.empty((2, len(start)), np.int64)
+        out[:, order] = state, tokens
+        return out[0], out[1]
+
+    def composed(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Tokens of long words, by composing the state maps of their chunks."""
+        per = -(-size // CHUNK_CHARS)
+        word = np.repeat(np.arange(len(size)), per)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(per) - per, per)
+        begin = start[word] + nth * CHUNK_CHARS
+        length = np.minimum(size[word] - nth * CHUNK_CHARS, CHUNK_CHARS)
+        # Which states may enter a chunk: 0 at a word's first; else where runs from places before it lead.
+        later = np.flatnonzero(nth > 0)
+        chunk = np.repeat(later, len(WARM))
+        back = np.tile(np.array(WARM, np.int64), len(later))
+        guess, _ = self.run(codes, begin[chunk] - back, back, np.zeros(len(chunk), np.int64))
+        first = np.flatnonzero(nth == 0)
+        todo = np.unique(np.stack([np.concatenate([first, chunk]), np.concatenate([np.zeros(len(first), np.int64), guess])], 1), axis=0)
+        nodes, made = np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)  # (chunk, state in), (state out, tokens)
+        while len(todo):
+            done = np.stack(self.run(codes, begin[todo[:, 0]], length[todo[:, 0]], todo[:, 1]), 1)
+            nodes, made = np.concatenate([nodes, todo]), np.concatenate([made, done])
+            order = np.lexsort((nodes[:, 1], nodes[:, 0]))
+            nodes, made = nodes[order], made[order]
+            goes_on = np.flatnonzero(np.append(nth[1:] > 0, False)[nodes[:, 0]])  # not the last chunk of a word
+            wanted = np.stack([nodes[goes_on, 0] + 1, made[goes_on, 0]], 1)
+            place, asked = _places(nodes, wanted)
+            todo = np.unique(wanted[~asked], axis=0)
+        # The scan: each node points to the one that its state goes into; the length of a pointer doubles.
+        total = np.append(made[:, 1], 0)
+        to = np.full(len(nodes) + 1, len(nodes))
+        to[goes_on] = place
+        while (to != len(nodes)).any():
+            total, to = total + total[to], to[to]
+        return total[_places(nodes, np.stack([first, np.zeros(len(first), np.int64)], 1))[0]]
+
     def count(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text; codes holds their code points one after the other."""
-        lengths = np.diff(offsets)
-        per = -(-lengths // CHUNK_CHARS)
-        total = int(per.sum())
-        if not total:
-            return np.zeros(len(lengths), np.int64)
+        n = len(codes)
+        if not n:
+            return np.zeros(len(offsets) - 1, np.int64)
+        space = codes == ord(SPACE)
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(np.append(start, n))
+        tokens = np.empty(len(start), np.int64)
+        block = (np.cumsum(size) - size) // BLOCK_CHARS
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(start)]
+        for a, b in zip(edges, edges[1:]):
+            tokens[a:b] = self._block(codes[start[a] : start[b - 1] + size[b - 1]], start[a:b] - start[a], size[a:b])
+        sums = np.concatenate([[0], np.cumsum(tokens)])
+        at = np.searchsorted(start, offsets)
+        return sums[at[1:]] - sums[at[:-1]]
+
+    def _block(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         if self.filled > MAX_TRANSITIONS:
             self.reset()
-        text = np.repeat(np.arange(len(lengths)), per)
-        first = np.cumsum(per) - per
-        nth = np.arange(total) - first[text]
-        start = offsets[:-1][text] + nth * CHUNK_CHARS
-        size = np.minimum(lengths[text] - nth * CHUNK_CHARS, CHUNK_CHARS)
-        order = np.argsort(-size, kind="stable")
-        alive = np.searchsorted(-size[order], -np.arange(CHUNK_CHARS), side="left")  # runs longer than i
-        start_o = start[order]
-        state = np.zeros(total, np.int64)
-        trace = np.zeros((CHUNK_CHARS, total), np.int32)
-        moves = np.zeros((CHUNK_CHARS, total), np.int16)
-        for i in range(int(size.max())):
-            n = alive[i]
-            state[:n], change = self.step_all(state[:n], codes[start_o[:n] + i])
-            trace[i, :n], moves[i, :n] = state[:n], change
-        column = np.empty(total, np.int64)
-        column[order] = np.arange(total)
-        out = np.empty(total, np.int64)
-        out[order] = state
-        tokens = np.empty(total, np.int64)
-        tokens[order] = moves.sum(0, dtype=np.int64)
-        entered = np.zeros(total, np.int64)  # the state from which each chunk was run
-        while True:
-            wanted = np.where(nth > 0, np.concatenate([[0], out[:-1]]), 0)
-            redo = np.flatnonzero(wanted != entered)
-            if not len(redo):
-                break
-            entered[redo] = state_now = wanted[redo]
-            run, state_now, i = redo, state_now.copy(), 0
-            while len(run):
-                state_now, change = self.step_all(state_now, codes[start[run] + i])
-                col = column[run]
-                tokens[run] += change - moves[i, col]
-                same = trace[i, col] == state_now
-                trace[i, col], moves[i, col] = state_now, change
-                ended = size[run] == i + 1
-                out[run[ended]] = state_now[ended]
-                go = ~same & ~ended
-                run, state_now, i = run[go], state_now[go], i + 1
-        return np.bincount(text, weights=tokens, minlength=len(lengths)).astype(np.int64)
+        tokens = np.empty(len(start), np.int64)
+        long = size > LONG_WORD
+        if long.any():
+            tokens[long] = self.composed(codes, start[long], size[long])
+        start, size = start[~long], size[~long]
+        mixed = codes.astype(np.uint64)
+        one = span_hashes(mixed, start, start + size)
+        two = span_hashes(mix64(mixed), start, start + size)
+        _, some, which = np.unique(one, return_index=True, return_inverse=True)
+        one_word = two == two[some][which]  # two words with one hash: never seen, but they are told apart
+        known, counts = self.words.find(one[some], two[some])
+        new = some[~known]
+        counts[~known] = self.run(codes, start[new], size[new], np.zeros(len(new), np.int64))[1]
+        self.words.add(one[new], two[new], counts[~known])
+        got = counts[which]
+        if not one_word.all():
+            odd = np.flatnonzero(~one_word)
+            got[odd] = self.run(codes, start[odd], size[odd], np.zeros(len(odd), np.int64))[1]
+        tokens[~long] = got
+        return tokens
+
+
+def _places(nodes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in nodes (sorted rows of two numbers) the wanted rows are, and whether they are there."""
+    both = lambda x: (x[:, 0].astype(np.int64) << 31) | x[:, 1]
+    keys, want = both(nodes), both(wanted)
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return at, keys[at] == want
+
+
+class WordCounts:
+    """Tokens of words by two 64-bit hashes."""
+
+    def __init__(self):
+        self.one, self.two, self.n, self.met = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are known, and their counts."""
+        if not len(self.one):
+            return np.zeros(len(one), bool), np.zeros(len(one), np.int64)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        known = (self.one[at] == one) & (self.two[at] == two)
+        self.met[at[known]] = True
+        return known, self.n[at].astype(np.int64)
+
+    def add(self, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> None:
+        if len(self.one) + len(one) > MAX_WORDS:
+            keep = self.met if self.met.sum() < MAX_WORDS // 2 else np.zeros(len(self.met), bool)
+            self.one, self.two, self.n = self.one[keep], self.two[keep], self.n[keep]
+            self.met = np.zeros(len(self.one), bool)
+        at = np.searchsorted(self.one, one)
+        fresh = np.ones(len(one), bool)
+        if len(self.one):
+            fresh = self.one[np.minimum(at, len(self.one) - 1)] != one
+        at = at[fresh]
+        self.one, self.two = np.insert(self.one, at, one[fresh]), np.insert(self.two, at, two[fresh])
+        self.n, self.met = np.insert(self.n, at, n[fresh]), np.insert(self.met, at, True)
 
 
 _COMPILED: dict[str, CountingTransducer] = {}
