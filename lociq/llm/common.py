@@ -16,6 +16,8 @@ CHUNK_BYTES = 1_000_000
 #: Bytes of rows that are sent to a Python worker at once; in memory several times on their way.
 BATCH_BYTES = 8 << 20
 
+_FOLDERS: list[str] = []
+
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTERS_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,17 +25,35 @@ LETTERS_LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for one intermediate table, below the folder that all executors share.
 
-    It is removed when the driver's JVM ends. Where spark.checkpoint.dir is unset (tests on one
-    machine), a folder below the warehouse is taken.
+    It is removed when the driver's JVM ends, or by release(). Where spark.checkpoint.dir is unset, a folder
+    below the warehouse is taken, but only on one machine: elsewhere executors might not share it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/_stages"
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_stages"
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    _FOLDERS.append(path)
     return path
 
 
+def folders() -> list[str]:
+    """The folders made so far and not released."""
+    return list(_FOLDERS)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders of shared_dir() that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _FOLDERS.remove(path)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -43,8 +63,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df; from now on the session sends rows to Python workers in batches of BATCH_BYTES at most."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """df; from now on the session sends rows to Python workers in batches of BATCH_BYTES at most (it is
+    a setting of the session, looked at when the rows are read; a smaller one that is set stays)."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(name).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return df
 
 
@@ -85,9 +109,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after the other, and their len+1 offsets; null is empty."""
+    if not pa.types.is_large_binary(array.type):
+        array = array.cast(pa.large_string())
     if array.null_count:
         array = pc.fill_null(array, "")
-    array = array.cast(pa.large_string())
     offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset : array.offset + len(array) + 1]
     data = array.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -5,9 +5,9 @@ step on one character moves every state of every glob at once: shift by one bit
 to word, mask by the character's bits, keep the bits that stand before a `*`. The URLs of a batch go
 through the automaton side by side, a numpy row each.
 
-A glob is matched against the whole canonical URL, host + path: the host is lower-cased, and query
-and fragment are left out. `*` stands for any run of characters, `?` for any one byte. In the globs of
-a rule, stars before the first `/` stand for a part of the host: they don't pass a `/`.
+A glob is matched against the whole canonical URL: the host in lower case, a mark that no text has, and
+the path; query and fragment are left out. `*` stands for any run of characters and `?` for any one
+byte, but neither stands for the mark, so that a host in a path (archives, redirects) is no host.
 """
 
 from __future__ import annotations
@@ -23,6 +23,14 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, lower_ascii, read_table, text_bytes
 
 
+#: Stands between host and path: a byte that UTF-8 text never has.
+MARK = b"\xff"
+
+
+def glob(host: str, path: str = "*") -> bytes:
+    return host.encode() + MARK + path.encode()
+
+
 @dataclass(frozen=True)
 class HostRule:
     """Fits a host and its subdomains where the path starts with `path`."""
@@ -36,8 +44,8 @@ class HostRule:
         return self.host + self.path
 
     @property
-    def globs(self) -> list[str]:
-        return [f"{self.host}{self.path}*", f"*.{self.host}{self.path}*"]
+    def globs(self) -> list[bytes]:
+        return [glob(self.host, self.path + "*"), glob("*." + self.host, self.path + "*")]
 
 
 # The rules of the query.
@@ -48,38 +56,39 @@ RULES = [
     HostRule("block", "example.net", "/de/8"),
     HostRule("block", "org", "/es/"),
 ]
-# Hosts that are blocked where no rule fits.
-BLOCKED_GLOBS = ["*casino*.*/*", "*free-bets*.*/*", "*spam-farm*.*/*", "*cheap-pills*.*/*", "*adult-x*.*/*"]
+# Fixed values: (host, path) globs of what is blocked where no rule fits.
+BLOCKED = [
+    *((h, "*") for h in ("*casino*", "*free-bets*", "*spam-farm*", "*cheap-pills*", "*adult-x*", "*payday-loan*", "*replica-watch*", "*link-farm*", "doubleclick.*", "*.doubleclick.*", "adserver.*", "tracking.*")),
+    *(("*", p) for p in ("/wp-login.php*", "/wp-admin/*", "/xmlrpc.php*", "/cgi-bin/*", "*/ads/click/*", "*.exe", "*.apk", "*.torrent", "*.zip", "*/feed/rss.xml")),
+]
 
 
 class GlobAutomaton:
-    """Shift-And masks of all globs. Each glob takes a bit for each of its characters but stars, and
-    one before them that stands for "nothing read yet". In the first `hosts` globs, stars before the
-    first `/` don't pass a `/`."""
+    """Shift-And masks of all globs. Each glob takes a bit for each of its bytes but stars, and one
+    before them that stands for "nothing read yet"."""
 
-    def __init__(self, globs: list[str], hosts: int = 0):
-        place, initial, final, stay, within, on = 0, [], [], [], [], []
-        for k, glob in enumerate(globs):
+    def __init__(self, globs: list[bytes]):
+        place, initial, final, stay, on = 0, [], [], [], []
+        for glob in globs:
             initial.append(place)
-            host = k < hosts
-            for c in glob.encode():
+            for c in glob:
                 if c == ord("*"):
-                    (within if host else stay).append(place)
+                    stay.append(place)
                 else:
                     place += 1
                     on.append((place, c))
-                    host &= c != ord("/")
             final.append(place)
             place += 1
         self.words = -(-max(place, 1) // 64)
         self.final = final
         self.initial = self._bits(initial)
-        self.stay = np.tile(self._bits(stay + within), (256, 1))
-        self.stay[ord("/")] = self._bits(stay)
+        self.stay = np.tile(self._bits(stay), (256, 1))
+        self.stay[MARK[0]] = 0
         self.by_char = np.zeros((256, self.words), np.uint64)
         for p, c in on:
             for row in range(256) if c == ord("?") else [c]:
-                self.by_char[row, p // 64] |= np.uint64(1 << p % 64)
+                if row != MARK[0] or c == MARK[0]:
+                    self.by_char[row, p // 64] |= np.uint64(1 << p % 64)
 
     def _bits(self, places: list[int]) -> np.ndarray:
         out = np.zeros(self.words, np.uint64)
@@ -113,27 +122,26 @@ def url_parts(url: str = "url"):
     return lower_ascii(F.regexp_extract(rest, r"(?s)^([^/]*)", 1)), F.regexp_extract(rest, r"(?s)^[^/]*(.*)$", 1)
 
 
-def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: list[HostRule] = RULES, blocked: list[str] = BLOCKED_GLOBS) -> DataFrame:
+def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: list[HostRule] = RULES, blocked: list[tuple[str, str]] = BLOCKED) -> DataFrame:
     """id, host, path, rule and verdict of each row of pages; no shuffle.
 
-    A rule's host is looked for in the host alone, the blocked globs in host + path. Of the rules that
-    fit, the one with the longest host + path counts (of equals, the first); where
-    none fits, rule is null and the URL is blocked if one of the `blocked` globs matches it, else
-    allowed. The host runs from the first :// to /, ?, # or the end, the path from there to ?, # or
-    the end. Null and text without :// have an empty host and path and are allowed unless a glob
-    matches the empty text. Repeated rows come back repeated; other columns are left out; any length.
+    Of the rules that fit, the one with the longest host + path counts (of equals, the first); where none
+    fits, rule is null and the URL is blocked if one of the `blocked` pairs of globs matches host and
+    path, else allowed. The host runs from the first :// to /, ?, # or the end, the path from there to ?, # or
+    the end. Null and text without :// have an empty host and path and are allowed unless globs
+    match these. Repeated rows come back repeated; other columns are left out; any length.
     """
     ranked = sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), i))
     ranked = [rules[i] for i in ranked]
 
     def run(batches):
-        machine = GlobAutomaton([g for r in ranked for g in r.globs] + blocked, 2 * len(ranked))
+        machine = GlobAutomaton([g for r in ranked for g in r.globs] + [glob(*pair) for pair in blocked])
         names = np.array([r.name for r in ranked] + [""], object)
         verdicts = np.array([r.verdict for r in ranked] + ["allow", "block"], object)
         n = len(ranked)
         for batch in batches:
-            host, path = (batch.column(c).cast(pa.large_string()) for c in ("host", "path"))
-            flags = machine.match(*text_bytes(pc.binary_join_element_wise(host, path, pa.scalar("", pa.large_string()))))
+            host, path = (batch.column(c).cast(pa.large_binary()) for c in ("host", "path"))
+            flags = machine.match(*text_bytes(pc.binary_join_element_wise(host, path, pa.scalar(MARK, pa.large_binary()))))
             fits = flags[:, : 2 * n].reshape(len(flags), n, 2).any(2)
             which = np.where(fits.any(1), fits.argmax(1), n) if n else np.zeros(len(flags), np.int64)
             bad = flags[:, 2 * n :].any(1)
@@ -154,6 +162,8 @@ _FITS = " ".join(
     f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in sorted(RULES, key=lambda r: -len(r.name))
 )
 _VERDICT = " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in RULES)
+_LIKE = lambda column, glob: "TRUE" if glob == "*" else f"{column} LIKE '{glob.replace('*', '%')}'"
+_BLOCKED = " OR ".join(f"({_LIKE('host', h)} AND {_LIKE('path', p)})" for h, p in BLOCKED)
 QUERIES = {"op5_url_filters": op5_url_filters}
 ORACLES = {
     "op5_url_filters": f"""
@@ -164,7 +174,7 @@ WITH r AS (
     substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path
   FROM r
 ), f AS (SELECT *, CASE {_FITS} END AS rule FROM p)
-SELECT page_id, host, path, rule, CASE rule {_VERDICT} ELSE CASE WHEN {" OR ".join(f"host || path LIKE '{g.replace('*', '%')}'" for g in BLOCKED_GLOBS)} THEN 'block' ELSE 'allow' END END AS verdict
+SELECT page_id, host, path, rule, CASE rule {_VERDICT} ELSE CASE WHEN {_BLOCKED} THEN 'block' ELSE 'allow' END END AS verdict
 FROM f
 """
 }
