@@ -44,12 +44,13 @@ def poisson_table(mean: Column) -> Column:
 
 def repetition_rates(docs: DataFrame, weights: DataFrame | None, source_col: str, scale: float) -> DataFrame:
     """source, rate, parts and table of each source that is in docs. weights: (source, weight); a source
-    without a weight isn't wanted; weights None: the same weight for each source."""
+    without a weight isn't wanted, weights of a repeated source are added up; weights None: the same
+    weight for each source."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("size"))
     if weights is None:
         sizes = sizes.withColumn("weight", F.lit(1.0))
     else:
-        wanted = weights.select(F.col("source").alias("w_source"), F.col("weight").cast("double").alias("weight"))
+        wanted = weights.groupBy(F.col("source").alias("w_source")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
         sizes = sizes.join(wanted, F.col("source").eqNullSafe(F.col("w_source")), "left").select("source", "size", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"))
     rows, weight = sizes.agg(F.sum("size"), F.sum("weight")).first()
     rates = sizes.select("source", F.coalesce(F.try_divide(F.col("weight") * F.lit(float(rows or 0)) * F.lit(float(scale)), F.col("size") * F.lit(float(weight or 0))), F.lit(0.0)).alias("rate"))
@@ -58,9 +59,10 @@ def repetition_rates(docs: DataFrame, weights: DataFrame | None, source_col: str
 
 
 def copies(table: Column, parts: Column, seed: str, *key: Column) -> Column:
-    """The inverse of the distribution at hashes of the key: how many sums lie below."""
-    one = lambda part: F.size(F.filter(table, lambda p: p < uniform(seed, part, *key)))
-    return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, part: acc + one(part))
+    """The inverse of the distribution at hashes of the key, added up over all parts: how many sums lie
+    below each hash."""
+    drawn = F.transform(F.sequence(F.lit(1), parts), lambda part: uniform(seed, part, *key))
+    return F.aggregate(drawn, F.lit(0), lambda total, u: total + F.size(F.filter(table, lambda p: p < u)))
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", *, scale: float = 1.0, seed: str = "mix") -> DataFrame:
@@ -68,8 +70,8 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_
     source's rate and its hash say, in a global random order.
 
     Shares are counted in documents; the mix has about scale * (documents in docs) rows. weights: a
-    table (source, weight), None for equal weights. Null is a source like others. A source with no
-    weight, or one of 0 or less, gives no rows; if no weight is above 0 there are none at all. Null
+    table (source, weight), None for equal weights. Null is a source like others; weights of a repeated
+    source are added up. A source with no weight, or one of 0 or less, gives no rows; if no weight is above 0 there are none at all. Null
     ids are hashed like the empty text; repeated rows have the same hash and are repeated alike. Texts
     aren't looked at, so null and long ones are as good as others. An empty table gives no rows. If
     docs has columns _copy or _order already, they are replaced.
@@ -101,17 +103,19 @@ def _sql_uniform(seed: str, *parts: str) -> str:
 
 
 def mixing_sql(table: str, seed: str = "mix") -> str:
-    """mixed() with equal weights, for rates up to STEP (one part) as they are in the given tables."""
+    """mixed() with equal weights."""
     return f"""
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS size FROM {table} GROUP BY source),
 rates AS (SELECT source, 1.0::DOUBLE * (SELECT sum(size) FROM sizes)::DOUBLE * 1.0 / (size * (SELECT count(*) FROM sizes))::DOUBLE AS rate FROM sizes),
+parted AS (SELECT source, greatest(CAST(ceil(rate / {STEP}) AS INTEGER), 1) AS parts, rate / greatest(ceil(rate / {STEP}), 1) AS mean FROM rates),
 terms AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS total FROM rates
-  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) FROM terms WHERE k < {TERMS - 1}
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS total FROM parted
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), total + p * mean / (k + 1) FROM terms WHERE k < {TERMS - 1}
 ),
-u AS (SELECT *, {_sql_uniform(seed, "1", "doc_id")} AS u FROM {table}),
-n AS (SELECT u.*, (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM u.source AND t.total < u.u) AS n FROM u),
-c AS (SELECT * EXCLUDE (u, n), CAST(unnest(range(0, n)) AS INTEGER) AS _copy FROM n)
+d AS (SELECT row_number() OVER () AS row_no, * FROM {table}),
+u AS (SELECT row_no, source, {_sql_uniform(seed, "part", "doc_id")} AS u FROM (SELECT d.row_no, d.doc_id, d.source, unnest(range(1, parts + 1)) AS part FROM d JOIN parted ON d.source IS NOT DISTINCT FROM parted.source)),
+n AS (SELECT row_no, CAST(sum((SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM u.source AND t.total < u.u)) AS BIGINT) AS n FROM u GROUP BY row_no),
+c AS (SELECT d.* EXCLUDE (row_no), CAST(unnest(range(0, n)) AS INTEGER) AS _copy FROM d JOIN n USING (row_no))
 SELECT *, {_sql_uniform(seed + "-order", "doc_id", "_copy")} AS _order FROM c
 """
 
