@@ -3,14 +3,15 @@
 Each learned language is a distribution over hashed byte trigrams. A word's likelihood under a
 language is the product over its trigrams; a document is a mixture of languages that draws a language
 for each word. Expectation-maximisation estimates the proportions, for the documents of a batch side
-by side. Which languages a document has is chosen among its strongest 1, 2, ... by likelihood less
-the penalty of the Bayesian information criterion for each further language; its language is the
-largest of that set.
+by side. Which languages a document has: its strongest language, then the next strongest as long as the
+likelihood, less the penalty of the Bayesian information criterion for each further language, goes
+on rising; its language is the largest of that set.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,13 @@ LETTER_BYTES = byte_flags([(0x61, 0x7A), (0x80, 0xFF)])
 ASCII_LETTERS = byte_flags([(0x41, 0x5A), (0x61, 0x7A)])
 SMOOTHING = 0.5
 ROUNDS = 12
-#: Languages that one document may be found to have, and that a model may have.
-MAX_SET, MAX_LANGUAGES = 4, 500
+#: Numbers in a model at most: with more languages than MODEL_SIZE / BUCKETS, trigrams share buckets.
+MODEL_SIZE, LEAST_BUCKETS = 1 << 25, 1 << 8
 UNKNOWN = "und"
 CHUNK = 1_000_000
 
 
-def _word_trigrams(data: np.ndarray, offsets: np.ndarray):
+def _word_trigrams(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
     """Buckets of the trigrams of all words, where each word's begin, and words before each text.
     Words are runs of letters; a word of n bytes has n + 1 trigrams, with a space before and after."""
     n = len(offsets) - 1
@@ -41,7 +42,7 @@ def _word_trigrams(data: np.ndarray, offsets: np.ndarray):
     letter = LETTER_BYTES[spread].astype(bool)
     spread[~letter] = 0x20
     code = spread.astype(np.uint32)
-    tri = ((code[:-2] << 16 | code[1:-1] << 8 | code[2:]) * np.uint32(2654435761) >> np.uint32(16)).astype(np.int32)
+    tri = ((code[:-2] << 16 | code[1:-1] << 8 | code[2:]) * np.uint32(2654435761) >> np.uint32(33 - int(buckets).bit_length())).astype(np.int32)
     inside = letter[2:] | letter[1:-1]  # a letter, or the space after a word
     first_letter = letter[2:] & ~letter[1:-1]
     ids = tri[inside]
@@ -51,8 +52,8 @@ def _word_trigrams(data: np.ndarray, offsets: np.ndarray):
     return ids, begins, first
 
 
-def features(data: np.ndarray, offsets: np.ndarray):
-    ids, begins, first = _word_trigrams(data, offsets)
+def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
+    ids, begins, first = _word_trigrams(data, offsets, buckets)
     return ids[:, None], np.append(begins, len(ids))[first]
 
 
@@ -63,7 +64,7 @@ class LanguageModel:
 
     def word_likelihoods(self, data: np.ndarray, offsets: np.ndarray):
         """Log-likelihood of each word under each language, and words before each text."""
-        ids, begins, first = _word_trigrams(data, offsets)
+        ids, begins, first = _word_trigrams(data, offsets, len(self.log_p))
         if not len(begins):
             return np.zeros((0, len(self.names)), np.float32), first
         return np.add.reduceat(self.log_p[ids], begins, axis=0), first
@@ -79,7 +80,7 @@ def _mixture(like: np.ndarray, text: np.ndarray, begins: np.ndarray, n: np.ndarr
     return pi, np.add.reduceat(np.log((like * pi[text]).sum(1)), begins)
 
 
-def infer(loglike: np.ndarray, first: np.ndarray, rounds: int = ROUNDS, most: int = MAX_SET):
+def infer(loglike: np.ndarray, first: np.ndarray, rounds: int = ROUNDS):
     """Language (-1: no words), its proportion, and the chosen proportions of each text."""
     words = np.diff(first)
     out, sure = np.full(len(words), -1), np.zeros(len(words))
@@ -93,17 +94,19 @@ def infer(loglike: np.ndarray, first: np.ndarray, rounds: int = ROUNDS, most: in
     languages = like.shape[1]
     full, _ = _mixture(like, text, begins, n, np.full((len(have), languages), 1 / languages), rounds)
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-    best, best_value = None, None
-    for k in range(1, min(most, languages) + 1):
-        keep = rank < k
-        pi = np.where(keep, np.maximum(full, 1e-3), 0)
-        pi, value = _mixture(like, text, begins, n, pi / pi.sum(1, keepdims=True), 0 if k == 1 else rounds // 2)
-        value = value - 0.5 * (k - 1) * np.log(n + 1)
-        if best is None:
-            best, best_value = pi, value
-        else:
-            better = value > best_value
-            best[better], best_value[better] = pi[better], value[better]
+    best, best_value = np.zeros_like(full), np.full(len(have), -np.inf)
+    on = np.arange(len(have))  # texts whose criterion still rises
+    for k in range(1, languages + 1):
+        mine = like if len(on) == len(have) else like[np.isin(text, on)]
+        sizes = words[have][on]
+        pi = np.where(rank[on] < k, np.maximum(full[on], 1e-3), 0)
+        pi, value = _mixture(mine, np.repeat(np.arange(len(on)), sizes), np.cumsum(sizes) - sizes, n[on], pi / pi.sum(1, keepdims=True), 0 if k == 1 else rounds // 2)
+        value = value - 0.5 * (k - 1) * np.log(n[on] + 1)
+        better = value > best_value[on]
+        on, pi, value = on[better], pi[better], value[better]
+        best[on], best_value[on] = pi, value
+        if not len(on):
+            break
     top = best.argmax(1)
     out[have], chosen[have] = top, best
     share = np.take_along_axis(np.minimum(best, full + 1 / (n[:, None] + 1)), top[:, None], 1)[:, 0]
@@ -111,17 +114,21 @@ def infer(loglike: np.ndarray, first: np.ndarray, rounds: int = ROUNDS, most: in
     return out, sure, chosen
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, model_size: int = MODEL_SIZE) -> LanguageModel:
     """One distribution for each non-null value of lang, from all its texts. Rows whose text or lang is
-    null aren't learnt from. Without any, the model has no language and calls every text unknown."""
+    null aren't learnt from. Without any, the model has no language and calls every text unknown.
+
+    A model has BUCKETS numbers for each language, or half, a quarter, ... of that where there are so many
+    languages that they would be more than `model_size` together (down to LEAST_BUCKETS)."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    names = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    number = F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1 if names else F.lit(None)
-    counts = class_counts(rows.select(number.cast("int").alias("cls"), "text"), len(names), BUCKETS, features)
+    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    buckets = BUCKETS
+    while buckets > LEAST_BUCKETS and buckets * len(names) > model_size:
+        buckets //= 2
+    numbers = docs.sparkSession.createDataFrame([(name, i) for i, name in enumerate(names)], "name string, cls int")
+    counts = class_counts(rows.join(F.broadcast(numbers), F.col("lang").cast("string") == F.col("name")).select("cls", "text"), len(names), buckets, partial(features, buckets=buckets))
     total = counts.sum(1, keepdims=True)
-    return LanguageModel(names, np.ascontiguousarray(np.log((counts + SMOOTHING) / (total + SMOOTHING * BUCKETS)).T.astype(np.float32)))
+    return LanguageModel(names, np.ascontiguousarray(np.log((counts + SMOOTHING) / (total + SMOOTHING * buckets)).T.astype(np.float32)))
 
 
 def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
