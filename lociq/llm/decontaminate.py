@@ -2,25 +2,34 @@
 
 The windows of all items become a hash set that every executor gets; each task rolls over the word
 windows of its texts as numpy vectors, looks their 64-bit hashes up, verifies every hit by its words
-and marks the words hit. Texts are not shuffled. The set is broadcast only up to MAX_WINDOWS
-windows; a larger benchmark is dealt into blocks of that size, each searched in turn, and what the
-blocks found is joined per document.
+and marks the words hit. Texts are not shuffled.
+
+A set is broadcast only if the items have at most BLOCK_BYTES of text. A larger benchmark is cut into
+pieces that overlap by a window and dealt into blocks of that size. One block at a time is brought to
+the driver, broadcast, searched for and released; what it hit is written to the shared folder. In the
+end the hits of all blocks meet their texts in a join. So driver and executors hold one block at most,
+however large the benchmark is.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, byte_flags, mix64, read_table, slices, span_hashes, text_bytes, word_spans
+from .common import ASCII_LOWER, bounded_batches, byte_flags, mix64, read_table, shared_dir, slices, span_hashes, stored, text_bytes, word_spans
 
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ on lower-cased text: digits, a-z and everything beyond ASCII.
 WORD_BYTES = byte_flags([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
 SIZE = 10
-#: Windows in one broadcast set; about 200 bytes each.
-MAX_WINDOWS = 500_000
+#: Bytes of item texts in one broadcast set. A set takes the words, 32 bytes for each window and SLOTS to
+#: twice as many for its filter: about 60 bytes a window, 120 MB if all words had one letter.
+BLOCK_BYTES, SLOTS = 4 << 20, 8
+#: Windows of an item in one piece, where there are several blocks.
+PIECE_WINDOWS = 2_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -40,27 +49,37 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 class WindowSet:
-    """Windows of benchmark items by length and hash, with their words and items."""
+    """Windows of benchmark items by number of words and hash, with their words and items."""
 
     def __init__(self, items: list[tuple], size: int):
-        self.windows: dict[int, dict[int, dict[bytes, set]]] = {}
-        for item, text in items:
-            words = words_of(text or "")
-            n = min(size, len(words))
-            if not n:
-                continue
-            raw = b"".join(words)
-            ends = np.cumsum([len(w) for w in words])
-            hashes = window_hashes(span_hashes(np.frombuffer(raw, np.uint8), ends - [len(w) for w in words], ends), n)
-            for i, h in enumerate(hashes.tolist()):
-                self.windows.setdefault(n, {}).setdefault(h, {}).setdefault(b" ".join(words[i : i + n]), set()).add(item)
-        self.sorted = {n: np.array(sorted(by), np.uint64) for n, by in self.windows.items()}
-        self.filters = {}
-        for n, hashes in self.sorted.items():
-            bits = max(16, int(len(hashes) * 64).bit_length())
+        self.items = [item for item, _ in items]
+        parts = [b" ".join(words_of(text or "")) for _, text in items]
+        offsets = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]).astype(np.int64)
+        self.raw = b"".join(p + b" " for p in parts)
+        data = np.frombuffer(self.raw, np.uint8)
+        starts, ends, first = word_spans(data, offsets, WORD_BYTES)
+        words = span_hashes(data, starts, ends)
+        counts = np.diff(first)
+        #: By number of words: hashes (sorted), filter, begin and end in raw, and where its items are in `owners`.
+        self.windows: dict[int, tuple] = {}
+        for n in np.unique(np.minimum(counts[counts > 0], size)).tolist():
+            rolled = window_hashes(words, n)
+            owner = np.repeat(np.arange(len(items)), counts)[: len(rolled)]
+            at = np.flatnonzero((np.arange(len(rolled)) + n <= first[owner + 1]) & (np.minimum(counts[owner], size) == n))
+            hashes, begin, end, owner = rolled[at], starts[at], ends[at + n - 1], owner[at].astype(np.int32)
+            same = span_hashes(data, begin, end)  # tells windows of one hash apart
+            order = np.lexsort((owner, same, hashes))
+            hashes, begin, end, owner, same = (x[order] for x in (hashes, begin, end, owner, same))
+            fresh = np.ones(len(hashes), bool)
+            fresh[1:] = (hashes[1:] != hashes[:-1]) | (same[1:] != same[:-1])
+            twice = ~fresh
+            twice[1:] &= owner[1:] == owner[:-1]
+            fresh, owner = fresh[~twice], owner[~twice]
+            begin, end, hashes = begin[~twice][fresh], end[~twice][fresh], hashes[~twice][fresh]
+            bits = max(10, int(len(hashes) * SLOTS).bit_length())
             seen = np.zeros(1 << bits, bool)
             seen[hashes >> np.uint64(64 - bits)] = True
-            self.filters[n] = (np.uint64(64 - bits), seen)
+            self.windows[n] = (hashes, (np.uint64(64 - bits), seen), begin, end, np.append(np.flatnonzero(fresh), len(owner)), owner)
 
     def search(self, data: np.ndarray, offsets: np.ndarray):
         """How many words each text has, {text: (hit words, items)} for those with verified hits, and
@@ -69,34 +88,57 @@ class WindowSet:
         starts, ends, first = word_spans(data, offsets, WORD_BYTES)
         hashes = span_hashes(data, starts, ends)
         raw = data.tobytes()
-        hits: dict[int, tuple[set, set]] = {}
-        for n, (shift, seen) in self.filters.items():
+        cover = np.zeros(len(hashes) + 1, np.int32)
+        found: dict[int, set] = {}
+        for n, (known, (shift, seen), begin, end, lists, owners) in self.windows.items():
             if len(hashes) < n:
                 continue
             rolled = window_hashes(hashes, n)
             at = np.flatnonzero(seen[rolled >> shift])
-            at = at[np.isin(rolled[at], self.sorted[n])]
+            place = np.searchsorted(known, rolled[at])
+            hit = known[np.minimum(place, len(known) - 1)] == rolled[at]
+            at, place = at[hit], place[hit]
             text = np.searchsorted(first, at, side="right") - 1
             inside = at + n <= first[text + 1]
-            for i, t in zip(at[inside].tolist(), text[inside].tolist()):
-                found = self.windows[n][int(rolled[i])].get(b" ".join([raw[a:b] for a, b in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist())]))
-                if found:
-                    words, items = hits.setdefault(t, (set(), set()))
-                    words.update(range(i, i + n))
-                    items.update(found)
-        hits = {t: ([int(x - first[t]) for x in w], items) for t, (w, items) in hits.items()}
+            for i, p, t in zip(at[inside].tolist(), place[inside].tolist(), text[inside].tolist()):
+                words = b" ".join([raw[a:b] for a, b in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist())])
+                while p < len(known) and known[p] == rolled[i]:
+                    if self.raw[begin[p] : end[p]] == words:
+                        cover[i] += 1
+                        cover[i + n] -= 1
+                        found.setdefault(t, set()).update(owners[lists[p] : lists[p + 1]].tolist())
+                    p += 1
+        covered = np.cumsum(cover) > 0
+        hits = {t: (np.flatnonzero(covered[first[t] : first[t + 1]]).tolist(), [self.items[o] for o in owners]) for t, owners in found.items()}
         return np.diff(first), hits, starts, ends, first, offsets
 
 
-def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, most: int):
-    """The benchmark as WindowSets of about `most` windows at most each. Items are fetched only after
-    their total length, which bounds their windows, is known and dealt into blocks."""
+def _pieces(items: DataFrame, size: int) -> DataFrame:
+    """(item, text) cut into pieces of PIECE_WINDOWS windows; each window is in one piece."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item"), batch.column("text").to_pylist()):
+                words = words_of(text)
+                for k in range(0, max(1, len(words) - size + 1), PIECE_WINDOWS):
+                    rows.append((item.as_py(), b" ".join(words[k : k + PIECE_WINDOWS + size - 1]).decode()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field("item").type), pa.array([r[1] for r in rows], pa.string())], names=["item", "text"])
+
+    return bounded_batches(items).mapInArrow(run, f"item {items.schema['item'].dataType.simpleString()}, text string")
+
+
+def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int):
+    """The number of blocks, and a function from a block's number to its WindowSet, which fetches its items.
+    Their total length is known before any is fetched."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
     letters = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(letters // (2 * most)) + 1  # a window starts with a word: a letter and a gap at least
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        yield WindowSet([tuple(r) for r in rows.collect()], size)
+    if letters <= block_bytes:
+        return 1, lambda _: WindowSet([tuple(r) for r in items.collect()], size)
+    blocks = 2 * letters // block_bytes + 1  # about half full, so that none is too full
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+    pieces = stored(_pieces(items, size).distinct().withColumn("block", block), "leak-items")
+    return blocks, lambda number: WindowSet([tuple(r) for r in pieces.where(F.col("block") == number).select("item", "text").collect()], size)
 
 
 def _cut(text: str, starts: np.ndarray, ends: np.ndarray, words: list[int]) -> str:
@@ -110,52 +152,92 @@ def _cut(text: str, starts: np.ndarray, ends: np.ndarray, words: list[int]) -> s
     return b"".join([*kept, raw[last:]]).decode()
 
 
-def _searched(docs: DataFrame, text_at: int, blocks: list[WindowSet], mode: str, item_type: str) -> DataFrame:
-    """docs (columns c0, c1, ...) through all blocks. mode "report": with n_words, words, items and
-    without the text; "documents": rows without hits; "spans": texts without the hit runs."""
+def _schema(schema, extra: str = "", without: str = "") -> str:
+    return ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name != without), *([extra] if extra else [])])
+
+
+def _searched(docs: DataFrame, text_at: int, benchmark: DataFrame, item_col: str, item_text_col: str, size: int, block_bytes: int, mode: str) -> DataFrame:
+    """docs (columns c0, c1, ...) searched for the windows of the benchmark. mode "report": with n_words,
+    words, items and without the text; "documents": rows without hits; "spans": texts without the hit runs."""
     spark, text = docs.sparkSession, f"c{text_at}"
-    columns = docs.schema
-    found = f"n_words long, words array<int>, items array<{item_type}>"
-    of = lambda schema, extra: ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in schema), *([extra] if extra else [])])
-    report = [f for f in columns if f.name != text]
+    blocks, block = window_blocks(benchmark, item_col, item_text_col, size, block_bytes)
+    item_type = benchmark.schema[item_col].dataType.simpleString()
     item_arrow = spark.createDataFrame([], f"x array<{item_type}>").toArrow().schema.field(0).type
-    out = bounded_batches(docs)
-    for number, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(block)
-        first, last = number == 0, number == len(blocks) - 1
-        schema = of(report, found) if last and mode == "report" else of(columns, "" if last else found)
+    found = f"words array<int>, items array<{item_type}>"
+    report = _schema(docs.schema, f"n_words long, {found}", text)
+    columns = docs.columns
+    if blocks == 1:
+        sent = spark.sparkContext.broadcast(block(0))
 
-        def run(batches, sent=sent, first=first, last=last):
+        def run(batches):
             for batch in batches:
                 for part in slices(batch, text):
                     n_words, hits, starts, ends, begins, base = sent.value.search(*text_bytes(part.column(text)))
-                    words = [sorted(hits[i][0]) if i in hits else [] for i in range(len(part))]
-                    items = [list(hits[i][1]) if i in hits else [] for i in range(len(part))]
-                    if not first:
-                        words = [sorted({*a, *b}) for a, b in zip(words, part.column("words").to_pylist())]
-                        items = [list({*a, *b}) for a, b in zip(items, part.column("items").to_pylist())]
-                    arrays = {f.name: part.column(f.name) for f in columns}
-                    if last and mode == "documents":
-                        keep = pa.array([not w for w in words])
-                        arrays = {k: v.filter(keep) for k, v in arrays.items()}
-                    elif last and mode == "spans":
+                    if mode == "documents":
+                        yield part.filter(pa.array([i not in hits for i in range(len(part))], pa.bool_()))
+                        continue
+                    arrays = {c: part.column(c) for c in columns}
+                    if mode == "spans":
                         texts = arrays[text].to_pylist()
-                        for i, w in enumerate(words):
-                            if w:
-                                a, b = begins[i], begins[i + 1]
-                                texts[i] = _cut(texts[i], starts[a:b] - base[i], ends[a:b] - base[i], w)
+                        for i, (words, _) in hits.items():
+                            a, b = begins[i], begins[i + 1]
+                            texts[i] = _cut(texts[i], starts[a:b] - base[i], ends[a:b] - base[i], words)
                         arrays[text] = pa.array(texts, arrays[text].type)
                     else:
-                        if last:
-                            del arrays[text]
-                        arrays |= {"n_words": pa.array(n_words), "words": pa.array(words, pa.list_(pa.int32())), "items": pa.array(items, item_arrow)}
+                        del arrays[text]
+                        rows = [hits.get(i, ([], [])) for i in range(len(part))]
+                        arrays |= {"n_words": pa.array(n_words), "words": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "items": pa.array([r[1] for r in rows], item_arrow)}
                     yield pa.RecordBatch.from_arrays([*arrays.values()], names=[*arrays])
 
-        out = out.mapInArrow(run, schema)
-    return out
+        return bounded_batches(docs).mapInArrow(run, report if mode == "report" else _schema(docs.schema))
+
+    path, texts = shared_dir(spark, "leak-hits"), docs.select(F.col(text).alias("text"))
+    for number in range(blocks):
+        sent = spark.sparkContext.broadcast(block(number))
+
+        def search(batches, sent=sent):
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    _, hits, *_ = sent.value.search(*text_bytes(part.column("text")))
+                    rows = {hashlib.sha256(part.column("text")[i].as_py().encode()).digest(): hit for i, hit in hits.items()}
+                    yield pa.RecordBatch.from_arrays([pa.array([*rows], pa.binary()), pa.array([r[0] for r in rows.values()], pa.list_(pa.int32())), pa.array([r[1] for r in rows.values()], item_arrow)], names=["key", "words", "items"])
+
+        bounded_batches(texts).mapInArrow(search, f"key binary, {found}").write.parquet(f"{path}/block={number}")
+        sent.destroy()
+    hits = spark.read.schema(f"key binary, {found}, block int").parquet(path)
+    once = hits.groupBy("key", "block").agg(F.first("words").alias("words"), F.first("items").alias("items"))
+    whole = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    hits = once.groupBy(F.col("key").alias("_hit")).agg(F.array_sort(whole("words")).alias("words"), whole("items").alias("items"))
+    keyed = docs.withColumn("_key", F.unhex(F.sha2(text, 256)))
+    if mode == "documents":
+        return keyed.join(hits, F.col("_key") == F.col("_hit"), "left_anti").drop("_key")
 
+    def counted(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                _, _, first = word_spans(ASCII_LOWER[(raw := text_bytes(part.column(text)))[0]], raw[1], WORD_BYTES)
+                arrays = {c: part.column(c) for c in part.schema.names if c != text} | {"n_words": pa.array(np.diff(first))}
+                yield pa.RecordBatch.from_arrays([*arrays.values()], names=[*arrays])
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, size: int = SIZE, most: int = MAX_WINDOWS) -> DataFrame:
+    def without(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                texts = part.column(text).to_pylist()
+                for i, words in enumerate(part.column("words").to_pylist()):
+                    if words:
+                        data = np.frombuffer(texts[i].encode(), np.uint8)
+                        starts, ends, _ = word_spans(ASCII_LOWER[data], np.array([0, len(data)]), WORD_BYTES)
+                        texts[i] = _cut(texts[i], starts, ends, words)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(c).type) if c == text else part.column(c) for c in columns], names=columns)
+
+    if mode == "spans":
+        return keyed.join(hits, F.col("_key") == F.col("_hit"), "left").select(*columns, "words").mapInArrow(without, _schema(docs.schema))
+    counts = bounded_batches(keyed).mapInArrow(counted, _schema(keyed.schema, "n_words long", text))
+    none = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c)
+    return counts.join(hits, F.col("_key") == F.col("_hit"), "left").select(*(c for c in columns if c != text), "n_words", none("words"), none("items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of docs: id, n_words, words (positions of hit words) and items (ids whose
     windows occur).
 
@@ -165,22 +247,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     listed. Repeated rows and repeated items change nothing; without items nothing is hit. Texts are
     read whole.
     """
-    blocks = list(window_blocks(benchmark, item_col, item_text_col, size, most))
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    found = _searched(docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1")), 1, blocks, "report", item_type)
+    source = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1"))
+    found = _searched(source, 1, benchmark, item_col, item_text_col, size, block_bytes, "report")
     return found.select(F.col("c0").alias(id_col), "n_words", "words", F.array_compact("items").alias("items"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, mode: str = "documents", size: int = SIZE, most: int = MAX_WINDOWS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, mode: str = "documents", size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, all columns as they are, without contaminated documents (mode "documents") or with the
     runs of hit words cut out of their texts (mode "spans"). Cases as in contamination(). """
     if mode not in ("documents", "spans"):
         raise ValueError(mode)
-    blocks = list(window_blocks(benchmark, item_col, item_text_col, size, most))
-    item_type = benchmark.schema[item_col].dataType.simpleString()
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    return _searched(plain, names.index(text_col), blocks, mode, item_type).toDF(*names)
+    return _searched(plain, names.index(text_col), benchmark, item_col, item_text_col, size, block_bytes, mode).toDF(*names)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
