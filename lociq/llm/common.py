@@ -62,6 +62,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be sent to all tasks in a join if it has at most `most` bytes: 16 a row and column, and what
+    texts have. For tables that are read from files; their rows are counted for this."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    size = F.lit(16 * len(df.columns) + 16)
+    for n in texts:
+        size = size + n
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df; from now on the session sends rows to Python workers in batches of BATCH_BYTES at most (it is
     a setting of the session, looked at when the rows are read; a smaller one that is set stays)."""

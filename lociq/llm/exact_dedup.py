@@ -1,15 +1,18 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
-1. Each text is normalised and hashed (64 bits); the index entries (id, key, length, sha-256) are
-   written to Parquet files in the shared folder. No text is moved.
+1. Each text is normalised and hashed (64 bits) by built-in functions; the index entries (id, key,
+   code points, sha-256) are written to Parquet files in the shared folder. No text is moved.
 2. The directory starts with one bucket of all keys. While a bucket has more entries than its
    capacity it is split on one more leading bit of the key; where that bucket already used all bits
    of the directory, the directory doubles. Only counts by key prefix are looked at for this.
-3. Texts whose key occurs twice or more are chained and compared byte by byte: first among the rows
-   of a task, so that thousands of copies leave it as one row, then by the owner task of the bucket's
-   key range, which reads its buckets sorted by key and so holds one key's chain at a time. Texts
-   with one key and different bytes form different chains.
-4. Entries meet their chain's head in a join on key and digest.
+   Neighbouring buckets, so ranges of keys, are dealt to owners of about equal size.
+3. Tasks count the keys of their own entries and send them to the owners. An owner sorts its buckets
+   by key, writes them to its file, and so finds the keys that occur twice or more.
+4. Texts of these keys are chained and compared byte by byte: first among the rows of a task, so that
+   thousands of copies leave it as one row, then by the key's owner, which reads its buckets sorted by
+   key and so holds one key's chain at a time. Texts with one key and different bytes form
+   different chains.
+5. Entries meet their chain's head in a join on key and digest.
 
 Every step reads tables on shared files, so a lost executor costs only the tasks it ran.
 """
@@ -22,20 +25,20 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read_table, shared_dir, slices, stored
+from .common import bounded_batches, read_table, sent_if_small, shared_dir, slices, stored
 
 DROPPED = b" \t\n\x0b\x0c\r"
 #: Entries in a bucket before it is split, and the most bits that the directory uses. Buckets that
 #: are still larger then overflow: their owner has more to do, the result is the same.
 CAPACITY = 8_192
 MAX_DEPTH = 16
-#: Keys that occur more than once are sent to the tasks that read texts up to this number (8 bytes
-#: each); with more of them, all texts go through the chaining step.
-MAX_SENT_KEYS = 4_000_000
+#: Entries that an owner has, unless one bucket has more.
+OWNED = 2_000_000
+#: Bytes of a table that is sent to all tasks; a larger one is joined by a shuffle.
+SENT_BYTES = 48 << 20
 #: Bytes of distinct texts that a task chains before it hands them on.
 FLUSH_BYTES = 48_000_000
 
@@ -50,12 +53,13 @@ def key_of(text: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def normalised_column(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), DROPPED.decode(), "")
+
+
 def key_column(text: Column) -> Column:
     """key_of(normalised(text)) as a column."""
-    text = F.coalesce(text, F.lit(""))
-    for c in DROPPED.decode():
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return F.xxhash64(text)
+    return F.xxhash64(normalised_column(text))
 
 
 def directory(counts: dict[int, int], bits: int, capacity: int) -> tuple[int, list[int]]:
@@ -84,20 +88,66 @@ def _prefix(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def _entries(docs: DataFrame, id_type: str) -> DataFrame:
+def owners_of(counts: dict[int, int], bits: int, depth: int, table: list[int], most: int) -> np.ndarray:
+    """The owner of each bucket: neighbours share one while they have at most `most` entries together."""
+    sizes = np.zeros(max(table, default=0) + 1, np.int64)
+    for prefix, n in counts.items():
+        sizes[table[prefix >> (bits - depth)]] += n
+    owners, owner, filled = np.zeros(len(sizes), np.int64), 0, 0
+    for bucket, n in enumerate(sizes.tolist()):
+        if filled and filled + n > most:
+            owner, filled = owner + 1, 0
+        owners[bucket], filled = owner, filled + n
+    return owners
+
+
+def _entries(source: DataFrame) -> DataFrame:
+    text, norm = F.col("text"), normalised_column(F.col("text"))
+    points = F.length(F.coalesce(text, F.lit(""))).cast("long")
+    return source.select("id", F.xxhash64(norm).alias("key"), points.alias("points"), F.unhex(F.sha2(norm, 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+
+
+class Directory:
+    """Depth, bucket of each key prefix and owner of each bucket, as the tasks get it."""
+
+    def __init__(self, depth: int, table: list[int], owners: np.ndarray):
+        self.depth, self.table, self.owners = depth, np.array(table, np.int64), owners
+
+    def buckets(self, keys: np.ndarray) -> np.ndarray:
+        return self.table[(keys.view(np.uint64) >> np.uint64(64 - self.depth)).astype(np.int64)] if self.depth else np.zeros(len(keys), np.int64)
+
+
+def _counted_locally(entries: DataFrame, sent) -> DataFrame:
+    """(owner, bucket, key, n): the keys of some thousand entries each, with how many have them."""
+
     def run(batches):
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                row += len(part)
-                norm = [normalised(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([key_of(t) for t in norm], pa.int64()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([hashlib.sha256(t).digest() for t in norm], pa.binary()), pa.array(np.arange(row - len(part), row))],
-                    names=["id", "key", "points", "digest", "row"],
-                )
+            keys, n = np.unique(batch.column("key").to_numpy(), return_counts=True)
+            buckets = sent.value.buckets(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value.owners[buckets].astype(np.int32)), pa.array(buckets), pa.array(keys), pa.array(n)], names=["owner", "bucket", "key", "n"])
+
+    return bounded_batches(entries.select("key")).mapInArrow(run, "owner int, bucket long, key long, n long")
+
+
+def _bucket_rows(counted: DataFrame) -> DataFrame:
+    """The owners' first work: rows sorted by bucket and key become one row for each key."""
 
-    return bounded_batches(docs).mapInArrow(run, f"id {id_type}, key long, points long, digest binary, row long")
+    def run(batches):
+        last = (0, 0, 0)  # bucket, key and count of the key that may go on in the next batch
+        for batch in batches:
+            bucket, key, n = (batch.column(c).to_numpy() for c in ("bucket", "key", "n"))
+            if last[2]:
+                bucket, key, n = np.append(last[0], bucket), np.append(last[1], key), np.append(last[2], n)
+            if not len(key):
+                continue
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sums = np.add.reduceat(n, at)
+            last = (int(bucket[at[-1]]), int(key[at[-1]]), int(sums[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), pa.array(key[at[:-1]]), pa.array(sums[:-1])], names=["bucket", "key", "n"])
+        if last[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last], names=["bucket", "key", "n"])
+
+    return counted.select("bucket", "key", "n").mapInArrow(run, "bucket long, key long, n long")
 
 
 def _better(a: tuple, b: tuple) -> tuple:
@@ -128,35 +178,30 @@ class Chains:
                 yield key, text, points, best, count
 
 
-def _chained_locally(docs: DataFrame, id_type: str, id_arrow: pa.DataType, repeated, depth: int, table) -> DataFrame:
-    """Distinct texts among each task's rows, only of repeated keys, with their bucket."""
+def _chained_locally(texts: DataFrame, id_type: str, id_arrow: pa.DataType, sent) -> DataFrame:
+    """Distinct texts among each task's rows, with their bucket and owner."""
+    kinds = (pa.int64(), pa.binary(), pa.int64(), id_arrow, pa.int64())
 
     def run(batches):
-        keys = None if repeated is None else set(repeated.value.tolist())
-        buckets = table.value
-
         def out(chains: Chains):
             rows = list(chains.rows())
+            buckets = sent.value.buckets(np.array([r[0] for r in rows], np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([buckets[(r[0] & 0xFFFFFFFFFFFFFFFF) >> (64 - depth)] for r in rows], pa.int64())]
-                + [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), id_arrow, pa.int64()))],
-                names=["bucket", "key", "body", "points", "best", "n"],
+                [pa.array(sent.value.owners[buckets].astype(np.int32)), pa.array(buckets)] + [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
+                names=["owner", "bucket", "key", "body", "points", "best", "n"],
             )
 
         chains = Chains()
         for batch in batches:
             for part in slices(batch, "text"):
-                for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                    text = normalised(t)
-                    key = key_of(text)
-                    if keys is None or key in keys:
-                        chains.add(key, text, (len(t or ""), i), 1)
-                if chains.bytes > FLUSH_BYTES:
-                    yield from out(chains)
-                    chains = Chains()
+                for i, t, key in zip(*(part.column(c).to_pylist() for c in ("id", "text", "key"))):
+                    chains.add(key, normalised(t), (len(t or ""), i), 1)
+                    if chains.bytes > FLUSH_BYTES:
+                        yield from out(chains)
+                        chains = Chains()
         yield from out(chains)
 
-    return docs.mapInArrow(run, f"bucket long, key long, body binary, points long, best {id_type}, n long")
+    return bounded_batches(texts).mapInArrow(run, f"owner int, bucket long, key long, body binary, points long, best {id_type}, n long")
 
 
 def _owned(texts: DataFrame, id_type: str, id_arrow: pa.DataType) -> DataFrame:
@@ -186,32 +231,34 @@ def _owned(texts: DataFrame, id_type: str, id_arrow: pa.DataType) -> DataFrame:
 
 
 class ExactIndex:
-    """The written index of a table: entries, chains of repeated texts, and rows that occur twice."""
+    """The written index of a table: entries, buckets, chains of repeated texts, and rows that occur twice."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, capacity: int, most_keys: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, capacity: int, sent_bytes: int):
         spark = docs.sparkSession
         source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         id_type = source.schema["id"].dataType.simpleString()
         id_arrow = spark.createDataFrame([], source.select("id").schema).toArrow().schema.field(0).type
         path = shared_dir(spark, "exact-index")
+        self.sent_bytes = sent_bytes
 
         def kept(df: DataFrame, name: str) -> DataFrame:
             df.write.parquet(f"{path}/{name}")
             return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-        self.entries = kept(_entries(source, id_type), "entries")
+        self.entries = kept(_entries(source), "entries")
         total = self.entries.count()
         bits = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total) / capacity)) + 4))
         counts = {r[0]: r[1] for r in self.entries.groupBy(_prefix(F.col("key"), bits).alias("p")).count().collect()}
         depth, table = directory(counts, bits, capacity)
-
-        repeated = kept(self.entries.groupBy("key").count().where("count > 1").select("key"), "repeated")
-        sent = None
-        if repeated.count() <= most_keys:
-            sent = spark.sparkContext.broadcast(repeated.toArrow().column(0).to_numpy().astype(np.int64))
-        texts = _chained_locally(source, id_type, id_arrow, sent, depth, spark.sparkContext.broadcast(table))
-        owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.chains = kept(_owned(texts.repartition(owners, "bucket").sortWithinPartitions("bucket", "key"), id_type, id_arrow), "chains")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        owners = owners_of(counts, bits, depth, table, max(capacity, min(OWNED, total // tasks)))
+        sent = spark.sparkContext.broadcast(Directory(depth, table, owners))
+        dealt = lambda df: df.repartitionById(int(owners.max(initial=0)) + 1, "owner").sortWithinPartitions("bucket", "key")
+
+        self.buckets = kept(_bucket_rows(dealt(_counted_locally(self.entries, sent))), "buckets")
+        repeated = sent_if_small(self.buckets.where("n > 1").select("key"), sent_bytes)
+        texts = source.withColumn("key", key_column(F.col("text"))).join(repeated, "key", "left_semi").select("id", "text", "key")
+        self.chains = kept(_owned(dealt(_chained_locally(texts, id_type, id_arrow, sent)), id_type, id_arrow), "chains")
         same = ["key", "digest", "id", "points"]
         self.twins = kept(self.entries.join(repeated, "key", "left_semi").groupBy(*same).agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "twins")
         self.has_twins = not self.twins.isEmpty()
@@ -226,10 +273,10 @@ class ExactIndex:
             entries = e.join(t, same, "left").select("e.*", "t.first")
             best &= F.col("first").isNull() | (F.col("first") == F.col("row"))
         best &= F.col("n").isNull() | (F.col("points") == F.col("most"))
-        return entries.join(self.chains, ["key", "digest"], "left").select("id", "key", "points", "digest", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"), best.alias("kept"))
+        return entries.join(sent_if_small(self.chains, self.sent_bytes), ["key", "digest"], "left").select("id", "key", "points", "digest", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"), best.alias("kept"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, most_keys: int = MAX_SENT_KEYS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """One row for each row of docs: id, keep_id (id of the row that stays of its group), group_size,
     kept, text_sha256 of the normalised text.
 
@@ -238,23 +285,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     then the one with the smallest id (null last); of rows that are repeated with the same id and
     text, one stays. An empty table gives no rows. Other columns are left out.
     """
-    groups = ExactIndex(docs, id_col, text_col, capacity, most_keys).groups()
+    groups = ExactIndex(docs, id_col, text_col, capacity, sent_bytes).groups()
     return groups.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, most_keys: int = MAX_SENT_KEYS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """docs, all columns as they are, with one row of each group of equal texts; which one, and the
-    special cases, as in exact_groups(). Rows to drop are broadcast up to `most_keys` rows; beyond
-    that they are joined by a shuffle."""
-    index = ExactIndex(docs, id_col, text_col, capacity, most_keys)
+    special cases, as in exact_groups(). Rows to drop are broadcast up to `sent_bytes`; beyond that they are
+    joined by a shuffle."""
+    index = ExactIndex(docs, id_col, text_col, capacity, sent_bytes)
     names, marks = docs.columns, ("_drop_id", "_drop_key", "_drop_points")
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     doc_id, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
     plain = plain.select("*", doc_id.alias("_id"), key_column(text).alias("_key"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_points"))
 
     def matched(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-        small = F.broadcast(rows) if rows.count() <= most_keys else rows
-        return df.join(small, [F.col("_key") == F.col("_drop_key"), F.col("_points") == F.col("_drop_points"), F.col("_id").eqNullSafe(F.col("_drop_id"))], how)
+        return df.join(sent_if_small(rows, sent_bytes), [F.col("_key") == F.col("_drop_key"), F.col("_points") == F.col("_drop_points"), F.col("_id").eqNullSafe(F.col("_drop_id"))], how)
 
     of = lambda df: df.select(F.col("id").alias(marks[0]), F.col("key").alias(marks[1]), F.col("points").alias(marks[2]))
     groups, twins = index.groups(), of(index.twins)
@@ -276,8 +322,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op6_exact_dedup": op6_exact_dedup}
 ORACLES = {
     "op6_exact_dedup": r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[ 	-
-]', '', 'g') AS norm FROM documents),
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 g AS (
   SELECT doc_id, norm, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
   FROM t WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST)
