@@ -1,9 +1,10 @@
 """Quality by importance resampling (hashed n-grams, Gumbel top-k).
 
 Two generative models over hashed word n-grams are counted, one of the target texts and one of all
-texts. A document's log importance weight is the sum of log p_target / p_raw over its n-grams, taken
-per n-gram and multiplied by a fixed effective length, so that long texts don't decide the sample by
-their length alone. Adding Gumbel noise from a hash of the id and taking the k largest draws k
+texts. A document's log importance weight is the mean of log p_target / p_raw over its n-grams, times a
+fixed effective length: the ratio of a passage of that length. The plain sum over a whole text makes the
+sample one of short texts, since each n-gram that a small target sample happens to lack counts against
+a text (README has figures). Adding Gumbel noise from a hash of the id and taking the k largest draws k
 documents without replacement in proportion to their weights.
 
 The k-th largest value is found without a global sort: counts by leading bits of the value, then
