@@ -14,16 +14,22 @@ candidates among documents that have other text too.
    class that shares fewer with all others together is out, and each class may leave out its most
    widely shared tokens, as long as two similar ones still share others.
 3. A token of two to COLD classes makes candidate pairs of these; pairs are counted. A token of more
-   classes is hot: no pairs are emitted for it, its classes are only connected.
-4. Classes that candidate pairs or hot tokens connect form a cell, to which each class's set is sent
-   once. There, pairs that share enough prefix tokens under every order are verified by their full
-   sets, until the cell's spanning forest of links is known. A cell too large for a task is cut into
-   blocks by size and hash, and each two blocks that may hold similar sizes are compared in one task
-   of bounded size.
-5. Links of different texts become components.
-
-All counts and sets are of 64-bit hashes of shingles; two different shingles of a pair of documents
-have one hash with a probability below 2 ** -40 for texts of a million words.
+   classes is hot: no pairs are emitted for it, its classes are only joined to its smallest one, its
+   centre. A token with more than SPLIT classes is dealt to several tasks.
+4. Each class is compared with the centre that it shares most hot tokens with. These links make groups:
+   families of near copies are one group each after it, in time linear in their size. A centre whose
+   classes are all in one group has nothing left to find.
+5. Candidate pairs of different groups and the classes of the other centres form cells. A cell larger
+   than a task is cut by the other two orders: classes stay together only if shared prefix tokens under
+   the second order connect them, and then under the third. Only then each class's set is sent to its
+   cell, once. There, pairs of different groups that share enough prefix tokens under every order are
+   verified by their full sets. A cell that is too large still is cut into blocks by size and hash, and
+   each two blocks that may hold similar sizes are compared in one task of bounded size.
+6. Links of different texts become components.
+
+Tokens are 64-bit hashes of shingles; two different shingles of a pair of documents have one hash with a
+probability below 2 ** -40 for texts of a million words. Classes are named by 128 bits; candidates are
+found by the first 64 of these, which can add candidates but no link.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, byte_flags, mix64, read_table, shared_dir, slices, span_hashes, stored, text_bytes, word_spans
+from .common import ASCII_LOWER, bounded_batches, byte_flags, mix64, read_table, sent_if_small, slices, span_hashes, stored, text_bytes, word_spans
 from .decontaminate import window_hashes
 from .graph import components
 
@@ -58,8 +64,11 @@ COMMON, MAX_COMMON = 12, 2_000_000
 BLOCK_TOKENS = 2_000_000
 #: A band holds sizes from BAND ** k up to BAND ** (k + 1).
 BAND = 4
-#: Ids of candidates that are broadcast to the pass that gathers their sets; more are joined.
-MAX_SENT_IDS = 3_000_000
+#: Classes of a token that one task looks at; a token that more have, as far as is counted, is dealt to
+#: several tasks.
+SPLIT = 100_000
+#: Bytes of a table that is sent to all tasks; a larger one is joined by a shuffle.
+SENT_BYTES = 48 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -78,19 +87,24 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
 
 
 def set_key(tokens: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that identify a set (together 128 bits); the first names its class."""
+    """Two 64-bit sums that identify a set: its class."""
     if not len(tokens):
         return 0, 0
     a = mix64(np.array([mix64(tokens + np.uint64(ORDERS[1])).sum() + np.uint64(len(tokens))], np.uint64))[0]
     return int(a.astype(np.int64)), int(mix64(tokens ^ np.uint64(ORDERS[2])).sum().astype(np.int64))
 
 
+def class_name(key: tuple[int, int]) -> bytes:
+    return np.array(key, np.int64).tobytes()
+
+
 class Orders:
     """Global token orders: common tokens last, by their number of classes; others by a hash."""
 
     def __init__(self, common: np.ndarray, counts: np.ndarray):
         order = np.argsort(common)
         self.common = common[order]
+        self.tasks = np.minimum(counts[order] // SPLIT, 1 << 20).astype(np.int32)  # 0: one task
         rank = np.empty(len(common), np.uint64)
         rank[np.lexsort((common, counts))] = np.arange(len(common), dtype=np.uint64)
         self.rank = rank[order]
@@ -107,6 +121,15 @@ class Orders:
             keys[maybe] = np.uint64(1 << 63) | self.rank[at] << np.uint64(41) | keys[maybe] >> np.uint64(23)
         return keys
 
+    def salts(self, tokens: np.ndarray, name: int) -> np.ndarray:
+        """For each token, in which of its tasks a class goes; -1 for a token that has one task only."""
+        out = np.full(len(tokens), -1, np.int32)
+        if self.tasks.any():
+            at = np.minimum(np.searchsorted(self.common, tokens), len(self.common) - 1)
+            tasks = np.where(self.common[at] == tokens, self.tasks[at], 0)
+            out[tasks > 0] = name % (tasks[tasks > 0].astype(np.int64) + 1)
+        return out
+
     def prefix(self, tokens: np.ndarray, order: int, percent: int, longer: int = 0) -> np.ndarray:
         """The tokens of which a similar set must have one, and `longer` hundredths of the size more."""
         n = len(tokens)
@@ -129,8 +152,8 @@ def needed(n, m, percent: int, longer: int = 0):
 
 
 def _first_pass(docs: DataFrame, id_type: str, size: int) -> DataFrame:
-    """kind 0: a document's id, text key, set size and set key; kind 1: a token (s1) and how many
-    classes of a task have it (n)."""
+    """kind 0: a document's id, text key, set size, first half of the set key (s1) and class name (c);
+    kind 1: a token (s1) and how many classes of a task have it (n)."""
 
     def run(batches):
         seen, pool, pooled = set(), [], 0
@@ -143,9 +166,9 @@ def _first_pass(docs: DataFrame, id_type: str, size: int) -> DataFrame:
             counts += 1
             keep = counts >= LOCAL_COUNT
             k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, id_arrow), pa.nulls(k, pa.int64()), pa.array(counts[keep]), pa.array(tokens[keep].view(np.int64)), pa.nulls(k, pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, id_arrow), pa.nulls(k, pa.int64()), pa.array(counts[keep]), pa.array(tokens[keep].view(np.int64)), pa.nulls(k, pa.binary())], names=names)
 
-        names, id_arrow = ["kind", "id", "key", "n", "s1", "s2"], None
+        names, id_arrow = ["kind", "id", "key", "n", "s1", "c"], None
         for batch in batches:
             id_arrow = batch.schema.field("id").type
             for part in slices(batch, "text"):
@@ -160,33 +183,35 @@ def _first_pass(docs: DataFrame, id_type: str, size: int) -> DataFrame:
                 if pooled > COUNT_AT_ONCE:
                     yield common()
                     pooled = 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([class_name(k) for k in keys], pa.binary())], names=names)
         if pool:
             yield common()
 
-    return bounded_batches(docs).mapInArrow(run, f"kind int, id {id_type}, key long, n long, s1 long, s2 long")
+    return bounded_batches(docs).mapInArrow(run, f"kind int, id {id_type}, key long, n long, s1 long, c binary")
 
 
 def _index(docs: DataFrame, orders, size: int, percent: int) -> DataFrame:
-    """(token, class, n) of the first order's prefix, once for each class of a task."""
+    """(token, salt, c, n) of the first order's prefix, once for each class of a task. c is the first half of
+    the class's name."""
 
     def run(batches):
         seen = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens, classes, sizes = [], [], []
+                tokens, salts, classes, sizes = [], [], [], []
                 for s in shingle_sets(*text_bytes(part.column("text")), size):
                     key = set_key(s)
                     if len(s) and key not in seen:
                         seen.add(key)
                         tokens.append(orders.value.prefix(s, 0, percent, LONGER))
+                        salts.append(orders.value.salts(tokens[-1], key[0]))
                         classes.append(key[0])
                         sizes.append(len(s))
                 if tokens:
                     times = [len(t) for t in tokens]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], names=["token", "c", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.repeat(np.array(classes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], names=["token", "salt", "c", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, c long, n int")
+    return docs.select("text").mapInArrow(run, "token long, salt int, c long, n int")
 
 
 def _whole_runs(batches, names: list[str], key: str, most: int):
@@ -211,24 +236,25 @@ def _whole_runs(batches, names: list[str], key: str, most: int):
 
 
 def _shared_tokens(index: DataFrame) -> DataFrame:
-    """Rows sorted by token and class to (token, c, n, classes): without tokens of one class only."""
-    names = ["token", "c", "n"]
+    """Rows sorted by token, salt and class to (token, salt, c, n, classes): without tokens of one class
+    only. A token that is dealt to several tasks counts as one of SPLIT classes or more."""
+    names = ["token", "salt", "c", "n"]
 
     def run(batches):
         before = None
-        for token, c, n in _whole_runs(batches, names, "token", LONG_RUN):
+        for token, salt, c, n in _whole_runs(batches, names, "token", LONG_RUN):
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
-            token, c, n = token[fresh], c[fresh], n[fresh]
+            token, salt, c, n = token[fresh], salt[fresh], c[fresh], n[fresh]
             begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.append(begins, len(token)))
             if before == token[0]:  # the rest of a run that was cut
                 length[0] += LONG_RUN
-            classes = np.repeat(length, np.diff(np.append(begins, len(token))))
+            classes = np.repeat(length, np.diff(np.append(begins, len(token)))) + np.where(salt >= 0, SPLIT, 0)
             keep, before = classes > 1, token[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(c[keep]), pa.array(n[keep].astype(np.int64)), pa.array(classes[keep].astype(np.int64))], names=[*names, "classes"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(salt[keep]), pa.array(c[keep]), pa.array(n[keep].astype(np.int64)), pa.array(classes[keep].astype(np.int64))], names=[*names, "classes"])
 
-    return index.mapInArrow(run, "token long, c long, n long, classes long")
+    return index.mapInArrow(run, "token long, salt int, c long, n long, classes long")
 
 
 def _fewer_tokens(shared: DataFrame, percent: int) -> DataFrame:
@@ -239,26 +265,39 @@ def _fewer_tokens(shared: DataFrame, percent: int) -> DataFrame:
     rows = shared.withColumns({"rank": rank, "has": has})
     # What two similar sets share at least if they are as far apart in size as they can be.
     least = 1 + F.floor(n * F.lit(percent) / 100 * LONGER / 100)
-    return rows.where((F.col("has") >= least) & (F.col("rank") > F.floor(n * LEFT_OUT / 100))).select("token", "c", "n")
+    return rows.where((F.col("has") >= least) & (F.col("rank") > F.floor(n * LEFT_OUT / 100))).select("token", "salt", "c", "n")
 
 
 def _runs(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows sorted by token and class to kind 0: candidate pairs (a, b) with how many cold tokens they
-    share here (n) and how many they need, and kind 1: the members (a: token, b: class) of hot ones."""
+    """Rows sorted by token, salt and class. kind 0: candidate pairs (a, b) with how many cold tokens they
+    share here (n) and how many they need; kind 1: (a: centre, b: class) with how many hot tokens join them
+    here (n); kind 2: the members (a: token, b: class) of tokens that are dealt to several tasks."""
 
     def run(batches):
         def out(kind, a, b, n, need):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, n, need))], names=["kind", "a", "b", "n", "need"])
 
-        hot = None
-        for token, c, n in _whole_runs(batches, ["token", "c", "n"], "token", LONG_RUN):
+        hot = centre = None
+        for token, salt, c, n in _whole_runs(batches, ["token", "salt", "c", "n"], "token", LONG_RUN):
+            dealt = salt >= 0
+            if dealt.any():
+                yield out(2, token[dealt], c[dealt], n[dealt], n[dealt])
+                token, c, n = token[~dealt], c[~dealt], n[~dealt]
+                if not len(token):
+                    continue
             begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.append(begins, len(token)))
-            is_hot = (length > COLD) | ((token[begins] == hot) if hot is not None else False)
-            hot = token[-1] if is_hot[-1] else None
+            first = c[begins].copy()
+            goes_on = np.zeros(len(begins), bool)
+            if hot == token[0]:  # the rest of a run that was cut
+                goes_on[0], first[0] = True, centre
+            is_hot = (length > COLD) | goes_on
+            hot, centre = (token[-1], first[-1]) if is_hot[-1] else (None, None)
             if is_hot.any():
                 members = np.repeat(is_hot, length)
-                yield out(1, token[members], c[members], n[members], n[members])
+                stars = np.stack([np.repeat(first, length)[members], c[members]], 1)
+                stars, times = np.unique(stars[stars[:, 0] != stars[:, 1]], axis=0, return_counts=True)
+                yield out(1, stars[:, 0], stars[:, 1], times, times)
             found = []
             for k in range(2, COLD + 1):
                 at = begins[(length == k) & ~is_hot]
@@ -277,8 +316,8 @@ def _runs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "kind int, a long, b long, n long, need long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, few: bool, size: int) -> DataFrame:
-    """(c, tokens) of the documents with wanted ids: class and set, once for each task."""
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(c, name, tokens) of the documents with wanted ids: class and set, once for each task."""
 
     def run(batches):
         seen = set()
@@ -289,11 +328,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, few: bool, size: int) -> DataFrame
                     key = set_key(s)
                     if len(s) and key not in seen:
                         seen.add(key)
-                        rows.append((key[0], s.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["c", "tokens"])
+                        rows.append((key[0], class_name(key), s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["c", "name", "tokens"])
 
-    chosen = docs.join(F.broadcast(wanted) if few else wanted, docs["id"].eqNullSafe(wanted["w"]), "left_semi")
-    return chosen.select("text").mapInArrow(run, "c long, tokens binary")
+    chosen = docs.join(sent_if_small(wanted, SENT_BYTES), docs["id"].eqNullSafe(wanted["w"]), "left_semi")
+    return chosen.select("text").mapInArrow(run, "c long, name binary, tokens binary")
 
 
 class _Postings:
@@ -313,30 +352,32 @@ class _Postings:
         return np.bincount(self.owner[places], minlength=self.n)
 
 
-def forest_links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links between rows (class, tokens, p0, p1, p2) of two blocks (or one with itself), as a
-    spanning forest: a pair that is connected already isn't verified."""
-    parent: dict[int, int] = {r[0]: r[0] for r in [*left, *right]}
+def forest_links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between rows (name, group, tokens, p0, p1, p2) of two blocks (or one with itself), as a
+    spanning forest: a pair that is connected already, or of one group, isn't verified."""
+    parent: dict[bytes, bytes] = {x: x for r in [*left, *right] for x in r[:2]}
 
-    def root(x: int) -> int:
+    def root(x: bytes) -> bytes:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
+    for name, group, *_ in [*left, *right]:
+        parent[root(name)] = root(group)
     links = []
-    filters = [_Postings([r[k] for r in right]) for k in (2, 3, 4)]
-    full = _Postings([r[1] for r in right])
-    sizes = np.array([len(r[1]) for r in right])
+    filters = [_Postings([r[k] for r in right]) for k in (3, 4, 5)]
+    full = _Postings([r[2] for r in right])
+    sizes = np.array([len(r[2]) for r in right])
     for x in left:
-        n = len(x[1])
+        n = len(x[2])
         maybe = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
         need = needed(sizes, n, percent)
-        for k, f in zip((2, 3, 4), filters):
+        for k, f in zip((3, 4, 5), filters):
             if maybe.any():
                 maybe &= f.shared(x[k]) >= need
         at = [i for i in np.flatnonzero(maybe).tolist() if root(right[i][0]) != root(x[0])]
         if at:
-            both = full.shared(x[1])
+            both = full.shared(x[2])
             for i in at:
                 if 100 * both[i] >= percent * (n + sizes[i] - both[i]) and root(right[i][0]) != root(x[0]):
                     parent[root(right[i][0])] = root(x[0])
@@ -344,6 +385,17 @@ def forest_links(left: list[tuple], right: list[tuple], percent: int) -> list[tu
     return links
 
 
+def _at_centres(best: DataFrame) -> DataFrame:
+    """best: (m, c, n): a class's centre and size. Where each goes, as in _placed(): a centre
+    with many classes stands in several places, so that no task gets more than about BLOCK_TOKENS."""
+    places = best.groupBy("m").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("places"))
+    yes, no = F.lit(True), F.lit(False)
+    at = lambda i: F.xxhash64("m", i).alias("place")
+    twos = best.join(sent_if_small(stored(places, "ngram-places"), SENT_BYTES), "m").select(at(F.pmod(F.xxhash64("c"), F.col("places")).cast("int")), "c", no.alias("is_one"), yes.alias("is_two"))
+    ones = places.select("m", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i")).select(at(F.col("i")), F.col("m").alias("c"), yes.alias("is_one"), no.alias("is_two"))
+    return twos.union(ones)
+
+
 def _placed(members: DataFrame, percent: int) -> DataFrame:
     """members: (cell, c, n). Where each class goes: (place, c, is_one, is_two); in a place, ones are
     compared with twos."""
@@ -373,30 +425,81 @@ def _placed(members: DataFrame, percent: int) -> DataFrame:
     return small.union(large.select(F.xxhash64("cell", "band", "p.i", "p.j").alias("place"), "c", "p.is_one", "p.is_two"))
 
 
-def _cell_links(members: DataFrame, sets: DataFrame, orders, percent: int) -> DataFrame:
-    """Links (a, b) within cells, as spanning forests."""
+def _refined(cells: DataFrame, sets: DataFrame, orders, order: int, percent: int) -> DataFrame:
+    """cells: (c, cell, n), large ones only. Classes stay in one cell if tokens of their prefixes under an
+    order connect them; those that share none with others are in no cell."""
+
+    def prefixes(batches):
+        for batch in batches:
+            rows = [orders.value.prefix(np.frombuffer(t, np.uint64), order, percent) for t in batch.column("tokens").to_pylist()]
+            times = [len(r) for r in rows]
+            repeat = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), times))
+            yield pa.RecordBatch.from_arrays([repeat("cell"), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)), repeat("c")], names=["cell", "token", "c"])
+
+    def stars(batches):
+        now = None  # cell, token and first class of the last row
+        for batch in batches:
+            cell, token, c = (batch.column(x).to_numpy() for x in ("cell", "token", "c"))
+            if not len(c):
+                continue
+            begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]))
+            first = c[begins].copy()
+            if now is not None and now[:2] == (cell[0], token[0]):
+                first[0] = now[2]
+            now = (cell[-1], token[-1], first[-1])
+            edges = np.stack([np.repeat(first, np.diff(np.append(begins, len(c)))), c], 1)
+            edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    partitions = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bounded_batches(sets.join(cells, "c").select("cell", "c", "tokens")).mapInArrow(prefixes, "cell long, token long, c long")
+    edges = rows.repartition(partitions, "cell", "token").sortWithinPartitions("cell", "token", "c").mapInArrow(stars, "a long, b long")
+    parts = components(edges).select(F.col("node").alias("c"), F.col("component").alias("cell"))
+    return stored(cells.select("c", "n").distinct().join(parts, "c").select("c", "cell", "n"), "ngram-cells")
+
+
+def _cells(near: DataFrame, sizes: DataFrame, sets: DataFrame, orders, percent: int) -> DataFrame:
+    """near: candidate edges (a, b). (cell, c, n) of the classes that they connect."""
+    parts = components(near).select(F.col("node").alias("c"), F.col("component").alias("cell"))
+    now, done = stored(sizes.join(parts, "c").select("c", "cell", "n"), "ngram-cells"), []
+    for order in (1, 2):
+        total = now.groupBy("cell").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS)
+        large = stored(total.select("cell"), "ngram-large")
+        if large.isEmpty():
+            break
+        large = sent_if_small(large, SENT_BYTES)
+        done.append(now.join(large, "cell", "left_anti").select("c", "cell", "n"))
+        now = _refined(now.join(large, "cell", "left_semi").select("c", "cell", "n"), sets, orders, order, percent)
+    for part in done:
+        now = now.unionByName(part)
+    return now
+
+
+def _links(placed: DataFrame, sets: DataFrame, orders, percent: int) -> DataFrame:
+    """placed: (place, c, is_one, is_two); sets: (c, name, grp, tokens). Links (a, b) of ones and twos of a
+    place, as spanning forests."""
 
     def run(batches):
         def compared(side):
             links = forest_links(*side, percent) if side[0] and side[1] else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         side, now = ([], []), None
         for batch in batches:
-            for place, c, tokens, one, two in zip(*(batch.column(k).to_pylist() for k in ("place", "c", "tokens", "is_one", "is_two"))):
+            for place, name, group, tokens, one, two in zip(*(batch.column(k).to_pylist() for k in ("place", "name", "grp", "tokens", "is_one", "is_two"))):
                 if place != now:
                     yield compared(side)
                     side, now = ([], []), place
                 s = np.frombuffer(tokens, np.uint64)
-                row = (c, s, *(orders.value.prefix(s, k, percent) for k in range(3)))
+                row = (name, group, s, *(orders.value.prefix(s, k, percent) for k in range(3)))
                 for kept, wanted in zip(side, (one, two)):
                     if wanted:
                         kept.append(row)
         yield compared(side)
 
-    rows = _placed(members, percent).join(sets, "c").select("place", "c", "tokens", "is_one", "is_two")
-    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(partitions, "place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
+    rows = placed.join(sets, "c").select("place", "name", "grp", "tokens", "is_one", "is_two")
+    partitions = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, "place").sortWithinPartitions("place").mapInArrow(run, "a binary, b binary")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -426,23 +529,43 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     orders = spark.sparkContext.broadcast(Orders(common.column("s1").to_numpy().view(np.uint64), common.column("n").to_numpy()))
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_token = lambda df: df.repartition(partitions, "token").sortWithinPartitions("token", "c")
+    by_token = lambda df: df.repartition(partitions, "token", "salt").sortWithinPartitions("token", "salt", "c")
     shared = stored(_shared_tokens(by_token(_index(source, orders, size, percent))), "ngram-shared")
     runs = stored(_runs(by_token(_fewer_tokens(shared, percent)), percent), "ngram-runs")
     counted_pairs = runs.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     pairs = stored(counted_pairs.where("n >= need").select("a", "b"), "ngram-pairs")
-    hot = runs.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"))
-    centre = hot.groupBy("token").agg(F.min("c").alias("m"))
-    near = pairs.union(hot.join(centre, "token").select("c", "m").distinct())
-    cells = stored(components(near), "ngram-cells").select(F.col("node").alias("c"), F.col("component").alias("cell"))
-    classes = light.where("n > 0").groupBy(F.col("s1").alias("c")).agg(F.min("id").alias("w"), F.first("n").alias("n"))
-    members = stored(classes.join(cells, "c"), "ngram-members")
-    wanted = members.select("w").distinct()
-    sets = stored(_sets(source, wanted, members.count() <= MAX_SENT_IDS, size), "ngram-sets")
-    links = _cell_links(members.select("cell", "c", "n"), sets, orders, percent)
-    groups = components(stored(links, "ngram-links"))
-
-    named = light.join(groups.withColumnRenamed("node", "s1"), "s1", "left").withColumn("g", F.when(F.col("n") > 0, F.coalesce("component", "s1")))
+    dealt = runs.where("kind = 2").select(F.col("a").alias("token"), "b")
+    centres = sent_if_small(stored(dealt.groupBy("token").agg(F.min("b").alias("a")), "ngram-centres"), SENT_BYTES)
+    hot = runs.where("kind = 1").select("a", "b", "n").union(dealt.join(centres, "token").where("a <> b").select("a", "b", F.lit(1).cast("long")))
+    stars = stored(hot.groupBy("a", "b").agg(F.sum("n").alias("n")), "ngram-stars")
+
+    near = pairs.union(stars.select("a", "b"))
+    nodes = near.select(F.col("a").alias("s1")).union(near.select("b")).distinct()
+    classes = light.where("n > 0").groupBy("c").agg(F.first("s1").alias("s1"), F.min("id").alias("w"), F.first("n").alias("n"))
+    members = stored(classes.join(nodes, "s1"), "ngram-members")
+    sizes = members.groupBy(F.col("s1").alias("c")).agg(F.max("n").alias("n"))
+    sets = stored(_sets(source, stored(members.select("w").distinct(), "ngram-wanted"), size), "ngram-sets")
+
+    # Each class against the centre that it shares most hot tokens with.
+    best = stars.groupBy(F.col("b").alias("c")).agg(F.max_by("a", F.struct("n", "a")).alias("m")).join(sizes, "c")
+    links = stored(_links(_at_centres(stored(best, "ngram-best")), sets.withColumn("grp", F.col("name")), orders, percent), "ngram-links")
+    if not links.isEmpty():
+        found = stored(components(links), "ngram-groups")
+        sets = sets.join(sent_if_small(found, SENT_BYTES), F.col("name") == F.col("node"), "left").select("c", "name", F.coalesce("component", "name").alias("grp"), "tokens")
+    else:
+        sets = sets.withColumn("grp", F.col("name"))
+    # What is left: pairs of different groups, and all classes of a centre that has several groups.
+    groups = sent_if_small(stored(sets.groupBy("c").agg(F.min("grp").alias("low"), F.max("grp").alias("high")), "ngram-places"), SENT_BYTES)
+    of = lambda side: groups.select(F.col("c").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}"))
+    several = lambda edges: edges.join(of("a"), "a").join(of("b"), "b").where("low_a <> high_a OR low_b <> high_b OR low_a <> low_b").select("a", "b")
+    open_centres = stored(several(stars).select("a").distinct(), "ngram-open")
+    rest = stored(several(pairs).union(stars.join(sent_if_small(open_centres, SENT_BYTES), "a", "left_semi").select("a", "b")), "ngram-rest")
+    if not rest.isEmpty():
+        cells = stored(_cells(rest, sizes, sets, orders, percent).select("cell", "c", "n"), "ngram-placed")
+        links = links.union(stored(_links(_placed(cells, percent), sets, orders, percent), "ngram-links"))
+    groups = stored(components(links), "ngram-classes")
+
+    named = light.join(sent_if_small(groups.withColumnRenamed("node", "c"), SENT_BYTES), "c", "left").withColumn("g", F.when(F.col("n") > 0, F.coalesce("component", "c")))
     smallest = named.where("g IS NOT NULL").groupBy("g").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("keeper"))
     out = named.join(smallest, "g", "left")
     return out.select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("keeper.id").eqNullSafe(F.col("id")) & (F.col("keeper.key").eqNullSafe(F.col("key")))).otherwise(True).alias("keeps"))
@@ -453,12 +576,11 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     (and text key). Rows that repeat both id and text stay or go together. Empty texts all stay. Cases
     as in similar_components()."""
     dropped = stored(similar_components(docs, id_col, text_col, size=size, percent=percent).where("NOT keeps").select(F.col(id_col).alias("_drop_id"), F.col("key").alias("_drop_key")).distinct(), "ngram-drop")
-    few = dropped.count() <= MAX_SENT_IDS
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     plain = plain.withColumn("_key", F.xxhash64(f"c{names.index(text_col)}"))
     same = [F.col("_key") == F.col("_drop_key"), F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("_drop_id"))]
-    return plain.join(F.broadcast(dropped) if few else dropped, same, "left_anti").drop("_key").toDF(*names)
+    return plain.join(sent_if_small(dropped, SENT_BYTES), same, "left_anti").drop("_key").toDF(*names)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
