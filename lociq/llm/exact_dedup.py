@@ -54,7 +54,10 @@ def key_of(text: bytes) -> int:
 
 
 def normalised_column(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), DROPPED.decode(), "")
+    text = F.coalesce(text, F.lit(""))
+    for c in DROPPED.decode():
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def key_column(text: Column) -> Column:
@@ -104,7 +107,7 @@ def owners_of(counts: dict[int, int], bits: int, depth: int, table: list[int], m
 def _entries(source: DataFrame) -> DataFrame:
     text, norm = F.col("text"), normalised_column(F.col("text"))
     points = F.length(F.coalesce(text, F.lit(""))).cast("long")
-    return source.select("id", F.xxhash64(norm).alias("key"), points.alias("points"), F.unhex(F.sha2(norm, 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    return source.select("id", F.xxhash64(norm).alias("key"), points.alias("points"), F.unhex(F.sha2(norm, 256)).alias("digest"), F.xxhash64(text).alias("raw"), F.monotonically_increasing_id().alias("row"))
 
 
 class Directory:
@@ -194,8 +197,9 @@ def _chained_locally(texts: DataFrame, id_type: str, id_arrow: pa.DataType, sent
         chains = Chains()
         for batch in batches:
             for part in slices(batch, "text"):
-                for i, t, key in zip(*(part.column(c).to_pylist() for c in ("id", "text", "key"))):
-                    chains.add(key, normalised(t), (len(t or ""), i), 1)
+                for i, t in zip(*(part.column(c).to_pylist() for c in ("id", "text"))):
+                    text = normalised(t)
+                    chains.add(key_of(text), text, (len(t or ""), i), 1)
                     if chains.bytes > FLUSH_BYTES:
                         yield from out(chains)
                         chains = Chains()
@@ -257,10 +261,13 @@ class ExactIndex:
 
         self.buckets = kept(_bucket_rows(dealt(_counted_locally(self.entries, sent))), "buckets")
         repeated = sent_if_small(self.buckets.where("n > 1").select("key"), sent_bytes)
-        texts = source.withColumn("key", key_column(F.col("text"))).join(repeated, "key", "left_semi").select("id", "text", "key")
+        # Texts are found by the hash of the text as it is, so that they aren't normalised again to be found.
+        twice = kept(self.entries.join(repeated, "key", "left_semi"), "twice")
+        found = sent_if_small(kept(twice.select("raw").distinct(), "found"), sent_bytes)
+        texts = source.withColumn("raw", F.xxhash64("text")).join(found, "raw", "left_semi").select("id", "text")
         self.chains = kept(_owned(dealt(_chained_locally(texts, id_type, id_arrow, sent)), id_type, id_arrow), "chains")
         same = ["key", "digest", "id", "points"]
-        self.twins = kept(self.entries.join(repeated, "key", "left_semi").groupBy(*same).agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "twins")
+        self.twins = kept(twice.groupBy(*same).agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "twins")
         self.has_twins = not self.twins.isEmpty()
 
     def groups(self) -> DataFrame:
