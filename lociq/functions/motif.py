@@ -38,26 +38,7 @@ def weights(matrix: DataFrame) -> DataFrame:
     return by_pos.groupBy("motif_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m")), lambda x, y: x["pos"] - y["pos"]), lambda x: x["m"]).alias("w")).withColumn("length", F.size("w"))
 
 
-def letters_score(letters: Column, w: Column, skip_n: bool = True) -> Column:
-    """Sum of the scores of an array of letters; null if one can't occur. N: null, or counted as 0."""
-    one = lambda base, m: F.when(F.lit(not skip_n) & (base == "N"), F.lit(0.0)).otherwise(F.try_element_at(m, base))
-    return F.aggregate(F.zip_with(letters, w, one), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def window_score(window: Column, w: Column, skip_n: bool = True) -> Column:
-    """letters_score() of a text."""
-    return letters_score(F.split(window, ""), w, skip_n)
-
-
-def flat_score(window: Column, v: Column, length: Column, longest: int, skip_n: bool = True) -> Column:
-    """window_score() with the matrix as one array, BASES by BASES; written out by position, so that it
-    stays in generated code."""
-    total = F.lit(0.0)
-    for i in range(longest):
-        letter = F.substring(window, i + 1, 1)
-        base = F.instr(F.lit(BASES), letter)
-        term = F.when(base > 0, F.get(v, base + (len(BASES) * i - 1)))
-        if not skip_n:
-            term = F.when(letter == "N", F.lit(0.0)).otherwise(term)
-        total = total + F.when(F.lit(i) < length, term).otherwise(F.lit(0.0))
-    return total
+    """Sum of the scores of a short text's letters; null if one can't occur. N: null, or counted as 0."""
+    one = lambda base, m: F.when(F.lit(not skip_n) & (base == "N"), F.lit(0.0)).otherwise(F.try_element_at(m, base))
+    return F.aggregate(F.zip_with(F.split(window, ""), w, one), F.lit(0.0), lambda acc, x: acc + x)

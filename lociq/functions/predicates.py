@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,7 +13,7 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def confirmed(confirmation: set[str], isoform: str, *, cell_line: str = "skmel29_2", in_promoter: str = "in_promoter") -> Column:
+def confirmed(confirmation: set[str], isoform: str, *, cell_line: str, in_promoter: str = "in_promoter") -> Column:
     """confirmation: any of none, tp73, pos, promoter; isoform: TA, DN, all (TA and DN), any (TA or DN)."""
     if unknown := confirmation - {"none", "tp73", "pos", "promoter"}:
         raise ValueError(f"unknown confirmation {unknown}")
@@ -25,7 +25,7 @@ def confirmed(confirmation: set[str], isoform: str, *, cell_line: str = "skmel29
     return _all([signal(t) for t in ("tp73", "pos") if t in confirmation] + ([F.col(in_promoter)] if "promoter" in confirmation else []))
 
 
-def confirmed_at_least(confirmation: set[str], isoform: str, *, cell_line: str = "skmel29_2", least: int = 1, in_promoter: str = "in_promoter") -> Column:
+def confirmed_at_least(confirmation: set[str], isoform: str, *, cell_line: str, least: int = 1, in_promoter: str = "in_promoter") -> Column:
     """As confirmed(), with signals of `least` or more, any and all including GFP, TAandDN, ignored, and
     pos-up: the pos signal is at least that of GFP."""
     if unknown := confirmation - {"none", "tp73", "pos", "pos-up", "promoter"}:
@@ -66,3 +66,10 @@ def displayable(mean_a: Column, mean_b: Column) -> Column:
 
 def present(n: Column) -> Column:
     return (n > 0).cast("int")
+
+
+def chosen(rows: DataFrame, order: list[Column], name: str, first: int, always: list[str]) -> DataFrame:
+    """The first n rows that have a name, in order, and all rows whose name is asked for always."""
+    named = rows.where(F.col(name).isNotNull() & (F.col(name) != ""))
+    top = named.orderBy(*order).limit(first)
+    return top.unionByName(named.where(F.col(name).isin(always)).join(top.select(name), name, "left_anti").select(*top.columns))

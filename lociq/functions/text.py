@@ -82,10 +82,6 @@ def significant(c: Column, digits: int) -> Column:
     return F.when(c == 0, c).otherwise(F.rint(c / scale) * scale)
 
 
-def round_even(c: Column, digits: int) -> Column:
-    return F.bround(c, digits)
-
-
 def variation(deviation: Column, mean: Column) -> Column:
     """Coefficient of variation; null for a mean of 0."""
     return F.try_divide(deviation, mean)

@@ -25,12 +25,12 @@ def gated_sums(context: DataFrame, gates: dict[str, Column]) -> DataFrame:
     return context.groupBy("motif").agg(*aggs)
 
 
-def gated_ratios(context: DataFrame, gates: dict[str, Column], base: Column) -> DataFrame:
-    """Per motif: mean num_in_window of the rows of each gate over that of the base rows; null where
-    either has no rows or the base's mean is 0."""
-    sums = gated_sums(context, gates | {"base": base})
+def gated_ratios(context: DataFrame, gates: dict[str, tuple[Column, str]], bases: dict[str, Column]) -> DataFrame:
+    """Per motif: mean num_in_window of the rows of each gate over that of the rows of its base, in one pass;
+    gates: name to (condition, name of its base). Null where either has no rows or the base's mean is 0."""
+    sums = gated_sums(context, {k: gate for k, (gate, _) in gates.items()} | {f"base_{k}": base for k, base in bases.items()})
     mean = lambda g: F.try_divide(F.col(f"sum_{g}").cast("double"), F.col(f"n_{g}").cast("double"))
-    return sums.select("motif", *(F.try_divide(mean(g), mean("base")).alias(f"ratio_{g}") for g in gates))
+    return sums.select("motif", *(F.try_divide(mean(g), mean(f"base_{base}")).alias(f"ratio_{g}") for g, (_, base) in gates.items()))
 
 
 def exclusive_mean(context: DataFrame, high: Column, high_from: float, low: Column, low_to: float) -> DataFrame:
@@ -81,6 +81,19 @@ def enrichment(context: DataFrame, selected: Column) -> DataFrame:
     return means.withColumn("log_enrichment", F.log2(F.nullif(F.try_divide(F.col("mean_selected"), F.col("mean_all")), F.lit(0.0))))
 
 
+def compared_enrichment(context: DataFrame, one: Column, other: Column, most: float = 0.5) -> DataFrame:
+    """enrichment() of two selections, and log_ratio: log2 of their means' ratio. An error where the mean
+    log ratio of all motifs is off by more than `most`: then the selections can't be compared."""
+    row = (F.col("num_in_window") > 0).cast("int")
+    means = context.groupBy("motif").agg(F.avg(F.when(one, row)).alias("mean_one"), F.avg(F.when(other, row)).alias("mean_other"), F.avg(row).alias("mean_all"))
+    log = lambda a, b: F.log2(F.nullif(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)))
+    out = means.withColumns({"log_one": log("mean_one", "mean_all"), "log_other": log("mean_other", "mean_all"), "log_ratio": log("mean_one", "mean_other")})
+    off = out.agg(F.avg("log_ratio")).first()[0]
+    if off is not None and abs(off) > most:
+        raise ValueError(f"mean log ratio of all motifs is {off:.3f}")
+    return out
+
+
 def group_means(context: DataFrame, a: Column, b: Column) -> DataFrame:
     """Per motif: mean presence in two groups of rows and the ratio of the means."""
     one = (F.col("num_in_window") > 0).cast("int")

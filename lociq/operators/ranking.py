@@ -28,9 +28,25 @@ def first_per(rows: DataFrame, by: str, order: list[Column], n: int = 1) -> Data
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """The place of each row within its group; for a rank over all rows, ranked_overall()."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def ranked_overall(rows: DataFrame, value: str, ties: list[str], *, slices: int = 64) -> DataFrame:
+    """The place of each row among all, from the largest number on; equal ones by `ties`; null comes last.
+
+    Rows are cut into slices at approximate quantiles (found at once, so that they stay as they are); each
+    slice is ordered by itself and begins after the rows of those above it."""
+    cuts = sorted(set(rows.approxQuantile(value, [i / slices for i in range(1, slices)], 0.002))) if slices > 1 else []
+    piece = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(value))))
+    rows = rows.withColumn("_piece", piece)
+    sizes = rows.groupBy(F.col("_piece").alias("_at")).agg(F.count("*").alias("_rows")).withColumn("_all", F.lit(0))
+    above = Window.partitionBy("_all").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_at", F.coalesce(F.sum("_rows").over(above), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_piece").orderBy(F.desc(value), *ties))
+    return rows.withColumn("_inside", inside).join(F.broadcast(starts), F.col("_piece") == F.col("_at")).withColumn("rank", (F.col("_start") + F.col("_inside")).cast("int")).drop("_piece", "_inside", "_at", "_start")
+
+
 def cumulative_from_top(rows: DataFrame, by: str, level: str, value: str) -> DataFrame:
     return rows.withColumn("at_least", F.sum(value).over(Window.partitionBy(by).orderBy(F.desc(level))))
 

@@ -2,52 +2,126 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.motif import BASES, flat_score, reverse_complement
+from ..functions.motif import BASES
 from .range_join import contained_in
 
-#: Letters of a sequence in one row; longer ones are cut into rows that overlap by the longest motif.
-CHUNK = 2_000
-#: Motif rows that are broadcast; a larger collection is joined by a shuffle.
-MAX_SENT_MOTIFS = 5_000
+#: Letters that one numpy pass looks at.
+PASS_LETTERS = 1 << 20
+#: Motifs whose matrices are sent to the tasks together; more of them go in several passes.
+SENT_MOTIFS = 2_000
+
+_CODE = np.full(256, 5, np.uint8)  # 0 to 3: a base, 4: N, 5: another letter or the end of a sequence
+for _i, _c in enumerate((BASES + "N").encode()):
+    _CODE[_c] = _i
+_COMPLEMENT = np.arange(256, dtype=np.uint8)
+for _a, _b in zip(b"ACGT", b"TGCA"):
+    _COMPLEMENT[_a] = _b
+
+
+def _sides(w: list[dict[str, float]], skip_n: bool) -> dict[str, np.ndarray]:
+    """Scores by position and letter code. A hit on - is a window of the forward sequence that fits the
+    matrix read backwards on the complement."""
+
+    def matrix(rows, bases):
+        out = np.full((len(rows), 6), -np.inf)
+        for i, row in enumerate(rows):
+            for k, base in enumerate(bases):
+                if row.get(base) is not None:
+                    out[i, k] = row[base]
+        if not skip_n:
+            out[:, 4] = 0.0
+        return out
+
+    return {"+": matrix(w, BASES), "-": matrix(w[::-1], BASES[::-1])}
 
 
-def chunked(sequences: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
-    """(chrom, seq) to (chrom, chunk_start, seq, own): pieces from 0-based chunk_start, of which the
-    first `own` letters belong to the piece and the rest to the next one as well."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size))
-    rows = sequences.select("chrom", "seq", F.explode(starts).alias("chunk_start"))
-    return rows.select("chrom", "chunk_start", F.substring("seq", F.col("chunk_start") + 1, F.lit(size + overlap)).alias("seq"), F.lit(size).alias("own"))
+def _pieces(batch: pa.RecordBatch, reach: int):
+    """(row, first letter, letters of its own, bytes in upper case) of each sequence; a long one in several
+    pieces, each with the first `reach` letters of what follows."""
+    for row, (seq, own) in enumerate(zip(batch.column("seq"), batch.column("own").to_pylist())):
+        raw = (seq.as_py() or "").upper().encode("ascii", "replace")
+        own = len(raw) if own is None else min(own, len(raw))
+        for start in range(0, own, PASS_LETTERS):
+            yield row, start, min(PASS_LETTERS, own - start), raw[start : start + PASS_LETTERS + reach]
 
 
-def scan(sequences: DataFrame, motifs: DataFrame, threshold: float = 0.0, *, skip_n: bool = True, size: int = CHUNK) -> DataFrame:
+def _passes(pieces):
+    """Pieces gathered until they have PASS_LETTERS."""
+    group, size = [], 0
+    for piece in pieces:
+        group.append(piece)
+        size += len(piece[3])
+        if size >= PASS_LETTERS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def scan(sequences: DataFrame, motifs: DataFrame, threshold: float = 0.0, *, skip_n: bool = True) -> DataFrame:
     """Hits (motif_id, chrom, start, end, score, strand, match) with a score of `threshold` or more.
 
-    sequences: (chrom, seq) of any length and case; motifs: motif_id, length and w (see weights()).
-    start is 1-based and end is start + length, on both strands in forward coordinates. A window with
-    a letter that can't occur at its place has no score. Windows are filtered where they are made, so
-    that what isn't a hit is never shuffled or stored.
+    sequences: (chrom, seq), or pieces of sequences (chrom, seq, chunk_start, own) as read_fasta_chunks()
+    makes them, with an overlap of the longest motif less one; of any length and case. motifs: motif_id
+    and w (see weights()). start is 1-based and end is start + length, on both strands in forward
+    coordinates. A window with a letter that can't occur at its place has no score. A sequence is encoded
+    once, all matrices slide over it as vectors, and only hits leave the task: nothing is shuffled. Null
+    and empty sequences have no hits; without motifs there are none.
     """
-    longest, n, lengths = motifs.agg(F.max("length"), F.count("*"), F.collect_set("length")).first()
-    longest = longest or 1
-    rows = chunked(sequences.select("chrom", F.upper("seq").alias("seq")), longest - 1, size)
-    # All windows of a length are made once, by a look-ahead, and meet the motifs of that length.
-    rows = rows.withColumn("length", F.explode(F.array(*map(F.lit, sorted(lengths))).cast("array<int>")))
-    every = F.regexp_extract_all("seq", F.concat(F.lit("(?s)(?=(.{"), F.col("length").cast("string"), F.lit("}))")), F.lit(1))
-    windows = rows.select("chrom", "chunk_start", "own", "length", F.posexplode(every).alias("i", "text")).where("i < own")
-    # A hit on - is a window of the forward sequence that fits the matrix read backwards on the complement.
-    flat = lambda w, bases: F.flatten(F.transform(w, lambda m: F.array(*(F.try_element_at(m, F.lit(b)) for b in bases))))
-    sides = F.explode(F.array(F.struct(F.lit("+").alias("strand"), flat(F.col("w"), BASES).alias("v")), F.struct(F.lit("-").alias("strand"), flat(F.reverse("w"), BASES[::-1]).alias("v")))).alias("s")
-    side = motifs.select("motif_id", "length", sides).select("motif_id", "length", "s.strand", "s.v")
-    if n <= MAX_SENT_MOTIFS:  # small enough to be made once, on the driver, and sent along
-        side = F.broadcast(motifs.sparkSession.createDataFrame(side.collect(), side.schema))
-    both = windows.join(side, "length")
-    scored = both.withColumn("score", flat_score(F.col("text"), F.col("v"), F.col("length"), longest, skip_n)).where(F.col("score") >= threshold)
-    start = F.col("chunk_start").cast("long") + F.col("i") + 1
-    match = F.when(F.col("strand") == "+", F.col("text")).otherwise(reverse_complement(F.col("text")))
-    return scored.select("motif_id", "chrom", start.alias("start"), (start + F.col("length")).alias("end"), "score", "strand", match.alias("match"))
+    pieces = "chunk_start" in sequences.columns
+    start = F.col("chunk_start").cast("long") if pieces else F.lit(0).cast("long")
+    own = F.col("own").cast("long") if pieces else F.lit(None).cast("long")
+    rows = sequences.select("chrom", "seq", start.alias("chunk_start"), own.alias("own"))
+    chrom_type = rows.schema["chrom"].dataType.simpleString()
+    schema = f"motif_id string, chrom {chrom_type}, start long, end long, score double, strand string, match string"
+    blocks = -(-motifs.count() // SENT_MOTIFS)
+    parts = [_scan(rows, motifs if blocks == 1 else motifs.where(F.pmod(F.xxhash64("motif_id"), F.lit(blocks)) == k), threshold, skip_n, schema) for k in range(blocks)]
+    return reduce(DataFrame.unionAll, parts) if parts else sequences.sparkSession.createDataFrame([], schema)
+
+
+def _scan(rows: DataFrame, motifs: DataFrame, threshold: float, skip_n: bool, schema: str) -> DataFrame:
+    matrices = [(r["motif_id"], _sides([dict(m) for m in r["w"]], skip_n)) for r in motifs.select("motif_id", "w").collect()]
+    sent = rows.sparkSession.sparkContext.broadcast(matrices)
+    reach = max((len(s["+"]) for _, s in matrices), default=1) - 1
+
+    def run(batches):
+        for batch in batches:
+            chroms, chunk_start = batch.column("chrom"), batch.column("chunk_start").to_numpy()
+            for group in _passes(_pieces(batch, reach)):
+                letters = np.frombuffer(b"\n".join(p[3] for p in group) + b"\n", np.uint8)
+                codes = _CODE[letters]
+                begins = np.concatenate([[0], np.cumsum([len(p[3]) + 1 for p in group])])[:-1]
+                row, first, mine = (np.array([p[k] for p in group]) for k in range(3))
+                for motif, sides in sent.value:
+                    for strand, w in sides.items():
+                        n = len(codes) - len(w) + 1
+                        if n <= 0:
+                            continue
+                        score = w[0][codes[:n]]
+                        for i in range(1, len(w)):
+                            score += w[i][codes[i : i + n]]
+                        at = np.flatnonzero(score >= threshold)
+                        piece = np.searchsorted(begins, at, side="right") - 1
+                        inside = at - begins[piece] < mine[piece]
+                        at, piece = at[inside], piece[inside]
+                        if not len(at):
+                            continue
+                        match = letters[at[:, None] + np.arange(len(w))]
+                        if strand == "-":
+                            match = _COMPLEMENT[match[:, ::-1]]
+                        match = pa.array(np.ascontiguousarray(match).view(f"S{len(w)}").ravel().tolist(), pa.binary()).cast(pa.string())
+                        begin = chunk_start[row[piece]] + first[piece] + at - begins[piece] + 1
+                        same = lambda x: pa.array([x] * len(at), pa.string())  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays([same(motif), chroms.take(pa.array(row[piece])), pa.array(begin), pa.array(begin + len(w)), pa.array(score[at]), same(strand), match], names=["motif_id", "chrom", "start", "end", "score", "strand", "match"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def in_regions(hits: DataFrame, regions: DataFrame) -> DataFrame:

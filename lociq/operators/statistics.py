@@ -4,15 +4,55 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column each: q0, q1, ..."""
-    q = F.percentile(value, F.array(*map(F.lit, shares)))
-    out = rows.groupBy(*by).agg(q.alias("_q")) if by else rows.agg(q.alias("_q"))
-    return out.select(*by, *(F.col("_q")[i].alias(f"q{i}") for i in range(len(shares))))
+from pyspark.sql import types as T
+
+
+#: Pieces that the distinct values of a group are ordered in.
+SLICES = 64
+#: Columns whose correlations are plain aggregates; with more, sums of products by blocks of columns.
+FEW_COLUMNS, BLOCK = 16, 256
+
+
+def ordered_counts(counts: DataFrame, by: list[str], value: str, *, slices: int = SLICES) -> DataFrame:
+    """counts: (by, value, _n), each value of a group once. Adds _below, the rows of its group with smaller
+    values, and _total, those of its group.
+
+    The values of each group are cut into slices at its own approximate quantiles; each slice is ordered by
+    itself and starts at the count of those below it, so that a group of any size is ordered by many tasks."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    shares = [i / slices for i in range(1, slices)]
+    cuts = counts.groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys))).agg((F.percentile_approx(value, shares, 2_000) if shares else F.array()).alias("_cuts"))
+    same = lambda: [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)] or [F.lit(True)]
+    rows = counts.join(F.broadcast(cuts) if not by else cuts, same()).drop(*keys)
+    rows = rows.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    pieces = rows.groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys)), F.col("_piece").alias("_at")).agg(F.sum("_n").alias("_rows"))
+    if not by:
+        keys, pieces = ["_all"], pieces.withColumn("_all", F.lit(0))
+    earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    pieces = pieces.withColumns({"_start": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)), "_total": F.sum("_rows").over(whole)}).drop("_rows", "_all")
+    inside = Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    rows = rows.join(pieces, [F.col("_piece") == F.col("_at"), *(same() if by else [])])
+    return rows.select(*counts.columns, (F.col("_start") + F.col("_inside")).alias("_below"), "_total")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], *, slices: int = SLICES) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column each: q0, q1, ... A group without values has
+    none; without groups, there is one row."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = ordered_counts(counts, by, "_v", slices=slices)
+    at = [F.lit(q) * (F.col("_total") - 1) for q in shares]
+    holds = lambda place: F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), F.col("_v")))
+    aggs = [a for i, p in enumerate(at) for a in (holds(F.floor(p)).alias(f"_l{i}"), holds(F.ceil(p)).alias(f"_h{i}"))]
+    out = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *aggs)
+    part = lambda i: at[i] - F.floor(at[i])
+    return out.select(*by, *((F.col(f"_l{i}") * (1 - part(i)) + F.col(f"_h{i}") * part(i)).alias(f"q{i}") for i in range(len(shares))))
 
 
 def floored(quantile, least: float = 0.5):
@@ -20,9 +60,11 @@ def floored(quantile, least: float = 0.5):
 
 
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """min, quartiles, mean, max and standard deviation."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), p(0.25).alias("q1"), p(0.5).alias("median"), F.avg(value).alias("mean"), p(0.75).alias("q3"), F.max(value).alias("most"), F.stddev_samp(value).alias("sd"))
+    """n, min, quartiles, mean, max and standard deviation."""
+    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.stddev_samp(value).alias("sd"))
+    q = quantiles(rows, by, value, [0.25, 0.5, 0.75]).withColumnsRenamed({b: f"_k{i}" for i, b in enumerate(by)})
+    joined = plain.join(q, [F.col(b).eqNullSafe(F.col(f"_k{i}")) for i, b in enumerate(by)], "left")
+    return joined.select(*by, "n", "least", F.col("q0").alias("q1"), F.col("q1").alias("median"), "mean", F.col("q2").alias("q3"), "most", "sd")
 
 
 def pearson(a, b):
@@ -34,46 +76,122 @@ def pearson(a, b):
 
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson's correlation of each two columns over the rows where both are present, as (a, b, n, r);
-    columns that don't vary are left out. One pass: the sums of all pairs are aggregates."""
+    columns that don't vary are left out."""
+    if len(columns) > FEW_COLUMNS:
+        return _block_correlations(rows, columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     sums = rows.agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), pearson(F.col(a), F.col(b)).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
     return sums.select(F.explode(F.array(*(f"p{i}" for i in range(len(pairs))))).alias("p")).select("p.*").where("r IS NOT NULL")
 
 
+def _block_correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """As correlations(), for thousands of columns: each task adds up the products of each two blocks of
+    columns as matrices; the sums of a pair of blocks meet in one task. Values are taken less their column's
+    mean, so that sums of squares don't cancel."""
+    blocks = [columns[i : i + BLOCK] for i in range(0, len(columns), BLOCK)]
+    means = rows.agg(*(F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns))).first()
+    means = np.array([0.0 if m is None else m for m in means])
+    wide = rows.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+
+    def sums(batches):
+        # Of each two blocks: rows with both, sums of the one and of the other, of their squares, of products.
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1) - means
+            has = ~np.isnan(x)
+            x, has = np.where(has, x, 0.0), has.astype(float)
+            cut = [slice(i * BLOCK, (i + 1) * BLOCK) for i in range(len(blocks))]
+            for i, a in enumerate(cut):
+                for j, b in enumerate(cut[i:], i):
+                    part = np.stack([has[:, a].T @ has[:, b], x[:, a].T @ has[:, b], has[:, a].T @ x[:, b], (x[:, a] ** 2).T @ has[:, b], has[:, a].T @ x[:, b] ** 2, x[:, a].T @ x[:, b]])
+                    total[i, j] = total[i, j] + part if (i, j) in total else part
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["i", "j", "sums"])
+
+    def finished(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for i, j, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(raw).reshape(6, len(blocks[i]), len(blocks[j]))
+                total[i, j] = total[i, j] + part if (i, j) in total else part
+        for (i, j), (n, sa, sb, saa, sbb, sab) in total.items():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                va, vb = saa - sa * sa / n, sbb - sb * sb / n
+                r = (sab - sa * sb / n) / np.sqrt(va * vb)
+            good = np.isfinite(r) & (va > 1e-12 * saa) & (vb > 1e-12 * sbb)
+            if i == j:
+                good &= np.triu(np.ones_like(good), 1)
+            a, b = np.nonzero(good)
+            yield pa.RecordBatch.from_arrays([pa.array([blocks[i][k] for k in a], pa.string()), pa.array([blocks[j][k] for k in b], pa.string()), pa.array(n[a, b].astype(np.int64)), pa.array(r[a, b])], names=["a", "b", "n", "r"])
+
+    pairs = len(blocks) * (len(blocks) + 1) // 2
+    return wide.mapInArrow(sums, "i int, j int, sums binary").repartition(pairs, "i", "j").mapInArrow(finished, "a string, b string, n long, r double")
+
+
 def correlation_difference(one: DataFrame, two: DataFrame) -> DataFrame:
     """r of the one less r of the other, and scaled by the largest absolute difference."""
     d = one.select("a", "b", F.col("r").alias("r1")).join(two.select("a", "b", F.col("r").alias("r2")), ["a", "b"]).withColumn("difference", F.col("r1") - F.col("r2"))
-    return d.withColumn("scaled", F.try_divide("difference", F.max(F.abs("difference")).over(Window.partitionBy())))
+    return d.withColumn("scaled", F.try_divide("difference", d.select(F.max(F.abs("difference"))).scalar()))
 
 
-def average_ranks(rows: DataFrame, by: list[str], value: str, name: str, *, slices: int = 64) -> DataFrame:
+def average_ranks(rows: DataFrame, by: list[str], value: str, name: str, *, slices: int = SLICES) -> DataFrame:
     """The rank of each row's value among those of its group, ties with their average rank; null for null.
-
-    Ranks are made from the counts of distinct values, so that ties don't weigh. These are cut into
-    slices at approximate quantiles; each slice is ordered by itself and starts at the count of those
-    below it, so that a group of any size is ordered by many tasks."""
-    cuts = sorted(set(rows.approxQuantile(value, [i / slices for i in range(1, slices)], 0.002))) if slices > 1 else []
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_piece", piece)
-    totals = counts.groupBy(*by, "_piece").agg(F.sum("_n").alias("_total"))
-    below = F.coalesce(F.sum("_total").over(Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select(*(F.col(b).alias(f"_s{k}") for k, b in enumerate(by)), F.col("_piece").alias("_start_piece"), below.alias("_start"))
-    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("_inside", inside)
-    placed = placed.join(starts, [F.col("_piece") == F.col("_start_piece"), *(F.col(b).eqNullSafe(F.col(f"_s{k}")) for k, b in enumerate(by))])
-    ranked = placed.select(*(F.col(b).alias(f"_{b}") for b in by), "_v", (F.col("_start") + F.col("_inside") + (F.col("_n") + 1) / 2).alias(name))
+    Ranks are made from the counts of distinct values, so that ties don't weigh."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = ordered_counts(counts, by, "_v", slices=slices).select(*(F.col(b).alias(f"_{b}") for b in by), "_v", _rank().alias(name))
     same = [F.col(value) == F.col("_v"), *(F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by)]
     return rows.join(ranked, same, "left").drop("_v", *(f"_{b}" for b in by))
 
 
-def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Rank correlation of two columns over rows that have both, per group, with the t statistic of the
-    usual approximation."""
-    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_ranks(average_ranks(both, by, a, "rank_a"), by, b, "rank_b")
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson(F.col("rank_a"), F.col("rank_b")).alias("rho"))
-    return out.withColumn("t", F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2.0), F.sqrt(1 - F.col("rho") * F.col("rho"))))
+def _rank():
+    return F.col("_below") + (F.col("_n") + 1) / 2
+
+
+@F.pandas_udf(T.DoubleType())
+def student_tails(t: pd.Series, freedom: pd.Series) -> pd.Series:
+    """P(|T| > |t|) of Student's distribution, by the continued fraction of the incomplete beta function."""
+
+    def one(t: float, df: float) -> float:
+        if not df > 0 or t != t:
+            return math.nan
+        x = df / (df + t * t)
+        a, b = (df / 2, 0.5) if x < (df / 2 + 1) / (df / 2 + 2.5) else (0.5, df / 2)
+        y = x if a == df / 2 else 1 - x
+        if y <= 0:
+            inside = 0.0
+        else:
+            d = c = h = 1.0
+            for m in range(400):
+                for k in ((-(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1))) * y, ((m + 1) * (b - m - 1) / ((a + 2 * m + 1) * (a + 2 * m + 2))) * y):
+                    d = 1 / (1 + k * d or 1e-300)
+                    c = 1 + k / c or 1e-300
+                    h *= c * d
+                if abs(c * d - 1) < 1e-15:
+                    break
+            front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(y) + b * math.log1p(-y) if y < 1 else -math.inf
+            inside = math.exp(front) / a * h if y < 1 else 1.0
+        return inside if a == df / 2 else 1 - inside
+
+    return pd.Series([math.nan if u is None or v is None else one(float(u), float(v)) for u, v in zip(t, freedom)])
+
+
+def spearman(rows: DataFrame, by: list[str], a: str, b: str, *, slices: int = SLICES) -> DataFrame:
+    """Rank correlation of two columns over rows that have both, per group: n, rho, t and the two-sided p of
+    the t approximation (null where a column doesn't vary or there are fewer than three rows). All comes
+    from the counts of pairs of values."""
+    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("_pairs"))
+
+    def ranks(value: str) -> DataFrame:
+        counts = pairs.groupBy(*by, value).agg(F.sum("_pairs").alias("_n"))
+        return ordered_counts(counts, by, value, slices=slices).select(*(F.col(x).alias(f"_k{i}") for i, x in enumerate(by)), F.col(value).alias("_x"), (_rank() - (F.col("_total") + 1) / 2).alias(f"{value}_rank"))
+
+    for value in ("_a", "_b"):
+        same = [F.col(value) == F.col("_x"), *(F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(by))]
+        pairs = pairs.join(ranks(value), same).drop("_x", *(f"_k{i}" for i in range(len(by))))
+    x, y, n = F.col("_a_rank"), F.col("_b_rank"), F.col("_pairs")
+    out = pairs.groupBy(*by).agg(F.sum("_pairs").alias("n"), F.try_divide(F.sum(n * x * y), F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y))).alias("rho"))
+    out = out.withColumn("t", F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2.0), F.sqrt(1 - F.col("rho") * F.col("rho"))))
+    return out.withColumn("p", F.when(F.col("n") > 2, F.nanvl(student_tails("t", F.col("n") - 2.0), F.lit(None).cast("double"))))
 
 
 def wilcoxon(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:

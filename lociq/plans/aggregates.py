@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.predicates import confirmed, confirmed_at_least, displayable, eligible, enriched, present, relevant, shows_enrichment
+from ..functions.predicates import chosen, confirmed, confirmed_at_least, displayable, eligible, enriched, present, relevant, shows_enrichment
 from ..functions.regions import promoter
-from ..functions.text import log_difference, log_plus_one, log_ratio, significant
+from ..functions.text import log_difference, log_plus_one, log_ratio, significant, variation
 from ..operators import enrichment as E
 from ..operators import statistics as S
-from ..operators.ranking import cumulative_from_top, extremes, first_per, ranked, with_interest
+from ..operators.ranking import cumulative_from_top, extremes, first_per, ranked, ranked_overall, with_interest
 from ..operators.reshape import joined_regions, labelled_union, melted, selective, side_by_side, split_by_sets
 from .registry import registry
 from .stand_ins import CONTEXT, GENES, SITES, context, genes, rounded, sites, table
@@ -18,8 +18,11 @@ query, QUERIES, ORACLES = registry()
 TA, DN, GFP = (f"tp73_skmel29_2_{i}" for i in ("TA", "DN", "GFP"))
 
 
+LINE = "skmel29_2"
+
+
 def any_confirmed():
-    return confirmed({"tp73", "pos"}, "any")
+    return confirmed({"tp73", "pos"}, "any", cell_line=LINE)
 
 
 _ANY = "((ta > 0 OR dn > 0) AND (pta > 0 OR pdn > 0))"
@@ -36,36 +39,56 @@ def a4_gated_sums(spark, sf_dir):
     return E.gated_sums(context(spark, sf_dir), {"ta": F.col(TA) >= 5, "dn": F.col(DN) >= 8})
 
 
+LEVELS = (50, 75, 90, 95, 99)
+TRACKS = {"ta": TA, "dn": DN, "gfp": GFP}
+
+
 def _thresholds(spark, sf_dir):
-    """Quantiles of the signals over all rows; the given tables' signals take few values."""
-    row = context(spark, sf_dir).agg(*(S.floored(F.percentile(c, F.lit(q)), 0.5).alias(f"{n}_{q}") for n, c in (("ta", TA), ("dn", DN), ("gfp", GFP)) for q in (0.5, 0.75, 0.9, 0.95))).first()
-    return row.asDict()
+    """Quantiles of the signals over all rows, 0.5 at least."""
+    long = context(spark, sf_dir).select(*(F.col(c).alias(n) for n, c in TRACKS.items())).unpivot([], list(TRACKS), "track", "value")
+    rows = S.quantiles(long, ["track"], "value", [p / 100 for p in LEVELS]).collect()
+    return {f"{r['track']}_{p}": max(r[f"q{i}"], 0.5) for r in rows for i, p in enumerate(LEVELS)}
 
 
 _RATIOS = "round(((sum(n) FILTER (WHERE {c})) / CAST(nullif(count(*) FILTER (WHERE {c}), 0) AS DOUBLE)) / nullif((sum(n) FILTER (WHERE {b})) / CAST(nullif(count(*) FILTER (WHERE {b}), 0) AS DOUBLE), 0), 6)"
-_Q = "q AS (SELECT " + ", ".join(f"greatest(quantile_cont({c}, {q}), 0.5) AS {c}_{int(q * 100)}" for c in ("ta", "dn", "gfp") for q in (0.5, 0.75, 0.9, 0.95)) + " FROM context)"
+_Q = "q AS (SELECT " + ", ".join(f"greatest(quantile_cont({c}, {q / 100}), 0.5) AS {c}_{q}" for c in TRACKS for q in LEVELS) + " FROM context)"
 
 
-@query(f"WITH {CONTEXT}, {_Q} SELECT motif, " + ", ".join(f"{_RATIOS.format(c=f'{c} >= {c}_{q}', b=f'{c} <= 1')} AS {c}_{q}" for c in ("ta", "dn", "gfp") for q in (50, 75, 90, 95)) + " FROM context, q GROUP BY motif")
+@query(f"WITH {CONTEXT}, {_Q} SELECT motif, " + ", ".join(f"{_RATIOS.format(c=f'{c} >= {c}_{q}', b=f'{c} <= 1')} AS {c}_{q}" for c in TRACKS for q in LEVELS) + " FROM context, q GROUP BY motif")
 def a5_gated_ratios(spark, sf_dir):
-    q, rows, out = _thresholds(spark, sf_dir), context(spark, sf_dir), None
-    for n, c in (("ta", TA), ("dn", DN), ("gfp", GFP)):
-        part = E.gated_ratios(rows, {f"{n}_{int(p * 100)}": F.col(c) >= q[f"{n}_{p}"] for p in (0.5, 0.75, 0.9, 0.95)}, F.col(c) <= 1)
-        part = part.select("motif", *(F.col(x).alias(x.removeprefix("ratio_")) for x in part.columns if x != "motif"))
-        out = part if out is None else out.join(part, "motif")
-    return rounded(out)
+    q = _thresholds(spark, sf_dir)
+    gates = {f"{n}_{p}": (F.col(c) >= q[f"{n}_{p}"], n) for n, c in TRACKS.items() for p in LEVELS}
+    out = E.gated_ratios(context(spark, sf_dir), gates, {n: F.col(c) <= 1 for n, c in TRACKS.items()})
+    return rounded(out.select("motif", *(F.col(x).alias(x.removeprefix("ratio_")) for x in out.columns if x != "motif")))
+
+
+_AGAINST = [("ta", "dn"), ("ta", "gfp"), ("dn", "gfp")]
 
 
-@query(f"""WITH r AS ({ORACLES["a5_gated_ratios"]}) SELECT motif, round(ta_90 / nullif(dn_90, 0), 4) AS ta_dn, round(ta_90 / nullif(gfp_90, 0), 4) AS ta_gfp, round(dn_90 / nullif(gfp_90, 0), 4) AS dn_gfp FROM r""")
+@query(f"""WITH r AS ({ORACLES["a5_gated_ratios"]}) SELECT motif, """ + ", ".join(f"round({a}_{p} / nullif({b}_{p}, 0), 4) AS {a}_{b}_{p}" for a, b in _AGAINST for p in LEVELS) + " FROM r")
 def a6_ratio_of_ratios(spark, sf_dir):
     r = a5_gated_ratios(spark, sf_dir)
-    return r.select("motif", *(F.round(F.try_divide(f"{a}_90", f"{b}_90"), 4).alias(f"{a}_{b}") for a, b in (("ta", "dn"), ("ta", "gfp"), ("dn", "gfp"))))
+    return r.select("motif", *(F.round(F.try_divide(f"{a}_{p}", f"{b}_{p}"), 4).alias(f"{a}_{b}_{p}") for a, b in _AGAINST for p in LEVELS))
+
+
+_TISSUE = "CASE WHEN row_key % 2 = 0 THEN 'even' ELSE 'odd' END"
+
+
+@query(f"""WITH {CONTEXT}, {_Q}, r AS (SELECT motif, {_TISSUE} AS tissue, """ + ", ".join(f"{_RATIOS.format(c=f'ta >= ta_{q}', b='ta <= 1')} AS ta_{q}" for q in LEVELS) + """ FROM context, q GROUP BY ALL)
+SELECT x.motif, """ + ", ".join(f"round(x.ta_{q} / nullif(y.ta_{q}, 0), 4) AS ta_{q}" for q in LEVELS) + " FROM r x JOIN r y ON x.motif = y.motif AND x.tissue = 'even' AND y.tissue = 'odd'")
+def a6_ratio_between_tissues(spark, sf_dir):
+    """Ratios of ratios between two parts of the rows that stand for tissues."""
+    q, rows = _thresholds(spark, sf_dir), context(spark, sf_dir)
+    part = {"even": F.col("row_key") % 2 == 0, "odd": F.col("row_key") % 2 != 0}
+    gates = {f"{t}_{p}": ((F.col(TA) >= q[f"ta_{p}"]) & mine, t) for t, mine in part.items() for p in LEVELS}
+    r = rounded(E.gated_ratios(rows, gates, {t: (F.col(TA) <= 1) & mine for t, mine in part.items()}))
+    return r.select("motif", *(F.round(F.try_divide(f"ratio_even_{p}", f"ratio_odd_{p}"), 4).alias(f"ta_{p}") for p in LEVELS))
 
 
 @query(f"""WITH {CONTEXT}, {_Q} SELECT motif, round(avg(n) FILTER (WHERE dn >= dn_90 AND ta <= ta_50), 6) AS mean_n FROM context, q GROUP BY motif""")
 def a7_exclusive_mean(spark, sf_dir):
     q = _thresholds(spark, sf_dir)
-    return rounded(E.exclusive_mean(context(spark, sf_dir), F.col(DN), q["dn_0.9"], F.col(TA), q["ta_0.5"]))
+    return rounded(E.exclusive_mean(context(spark, sf_dir), F.col(DN), q["dn_90"], F.col(TA), q["ta_50"]))
 
 
 @query(f"""WITH {CONTEXT} SELECT chrom, round(100.0 * count(*) FILTER (WHERE ta > 0) / count(*), 6) AS ta, round(100.0 * count(*) FILTER (WHERE dn > 0 AND prom) / nullif(count(*) FILTER (WHERE prom), 0), 6) AS dn_in_promoter,
@@ -99,7 +122,7 @@ _CASES = {"ta": ("ta >= 3 AND prom", ({"tp73", "promoter"}, "TA")), "pos_up": ("
 
 
 def _conditions():
-    return {k: confirmed_at_least(*args, least=3) for k, (_, args) in _CASES.items()}
+    return {k: confirmed_at_least(*args, cell_line=LINE, least=3) for k, (_, args) in _CASES.items()}
 
 
 @query(f"WITH {CONTEXT} SELECT motif, " + ", ".join(f"count(*) FILTER (WHERE n > 0 AND ({c})) AS {k}" for k, (c, _) in _CASES.items()) + " FROM context GROUP BY motif")
@@ -160,7 +183,7 @@ def a26_distance_groups(spark, sf_dir):
 
 @query(f"""WITH {CONTEXT} SELECT chrom, count(*) FILTER (WHERE ta > 0 AND pta > 0) AS ta, count(*) FILTER (WHERE (ta > 0 AND dn > 0) AND prom) AS both_in_promoter, count(*) FILTER (WHERE {_ANY}) AS any_pos FROM context GROUP BY chrom""")
 def f23_confirmations(spark, sf_dir):
-    cases = {"ta": confirmed({"tp73", "pos"}, "TA"), "both_in_promoter": confirmed({"tp73", "promoter"}, "all"), "any_pos": any_confirmed()}
+    cases = {"ta": confirmed({"tp73", "pos"}, "TA", cell_line=LINE), "both_in_promoter": confirmed({"tp73", "promoter"}, "all", cell_line=LINE), "any_pos": any_confirmed()}
     return context(spark, sf_dir).groupBy("chrom").agg(*(F.count_if(c).alias(k) for k, c in cases.items()))
 
 
@@ -170,7 +193,7 @@ def f25_enriched_genes(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count_if(enriched(a, b)).alias("ta"), F.count_if(enriched(b, a)).alias("dn"))
 
 
-@query(f"""WITH m AS ({ORACLES["a16_a17_enrichment"]}) SELECT motif, abs(log_enrichment) > 0.001 AND isfinite(log_enrichment) AND mean_selected > 0 AS eligible, (log_enrichment > 0.1 OR log_enrichment < -0.1) AND mean_selected > 0.05 AS shown, log_enrichment > 0.1 AND mean_selected > 0.05 AS relevant FROM m""".replace("> 0.001", "> 0.1"))
+@query(f"""WITH m AS ({ORACLES["a16_a17_enrichment"]}) SELECT motif, abs(log_enrichment) > 0.1 AND isfinite(log_enrichment) AND mean_selected > 0 AS eligible, (log_enrichment > 0.1 OR log_enrichment < -0.1) AND mean_selected > 0.05 AS shown, log_enrichment > 0.1 AND mean_selected > 0.05 AS relevant FROM m""")
 def f26_f30_f31_thresholds(spark, sf_dir):
     m, yes = a16_a17_enrichment(spark, sf_dir), F.lit(True)
     log, share = F.col("log_enrichment"), F.col("mean_selected")
@@ -201,8 +224,41 @@ def s3_quantile_grid(spark, sf_dir):
 
 @query(f"""WITH {CONTEXT} SELECT motif, round(stddev_samp(shift), 6) AS sd, round(median(shift), 6) AS median, round(avg(shift), 6) AS mean, round(stddev_samp(score) / nullif(avg(score), 0), 6) AS cv FROM context GROUP BY motif""")
 def s4_f29_shift_spread(spark, sf_dir):
-    rows = context(spark, sf_dir).groupBy("motif").agg(F.stddev_samp("shift").alias("sd"), F.median("shift").alias("median"), F.avg("shift").alias("mean"), F.try_divide(F.stddev_samp("score"), F.avg("score")).alias("cv"))
-    return rounded(rows)
+    rows = context(spark, sf_dir)
+    spread = rows.groupBy("motif").agg(F.stddev_samp("shift").alias("sd"), F.avg("shift").alias("mean"), variation(F.stddev_samp("score"), F.avg("score")).alias("cv"))
+    return rounded(spread.join(S.quantiles(rows, ["motif"], "shift", [0.5]).withColumnRenamed("q0", "median"), "motif", "left"))
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders")
+def w6_rank_of_all_rows(spark, sf_dir):
+    return ranked_overall(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderkey"]).select("o_orderkey", "rank")
+
+
+@query("SELECT o_orderstatus AS s, o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS rank FROM orders")
+def o3_order_within_groups(spark, sf_dir):
+    """Row order as a column, within groups."""
+    rows = ranked(table(spark, sf_dir, "orders"), ["o_orderstatus"], [F.asc("o_orderdate"), F.asc("o_orderkey")])
+    return rows.select(F.col("o_orderstatus").alias("s"), "o_orderkey", "rank")
+
+
+_ENRICHED = "m AS (SELECT motif, avg(CAST(n > 0 AS INTEGER)) FILTER (WHERE ta > 4) AS a, avg(CAST(n > 0 AS INTEGER)) FILTER (WHERE dn > 4) AS b, avg(CAST(n > 0 AS INTEGER)) AS c FROM context GROUP BY motif)"
+
+
+@query(f"""WITH {CONTEXT}, {_ENRICHED} SELECT motif, round(a, 6) AS mean_one, round(b, 6) AS mean_other, round(c, 6) AS mean_all, round(log2(nullif(a / c, 0)), 6) AS log_one, round(log2(nullif(b / c, 0)), 6) AS log_other, round(log2(nullif(a / nullif(b, 0), 0)), 6) AS log_ratio FROM m""")
+def a16_compared_enrichment(spark, sf_dir):
+    return rounded(E.compared_enrichment(context(spark, sf_dir), F.col(TA) > 4, F.col(DN) > 4))
+
+
+@query(f"""WITH {CONTEXT} SELECT motif, chrom, CAST(sum(n) AS BIGINT) AS total FROM context WHERE ta = 8 AND prom GROUP BY ALL HAVING sum(n) > 0""")
+def a27_present_sums(spark, sf_dir):
+    sums = context(spark, sf_dir).where((F.col(TA) == 8) & F.col("in_promoter")).groupBy("motif", "chrom").agg(F.sum("num_in_window").alias("total"))
+    return sums.where("total > 0")
+
+
+@query(f"""WITH m AS ({ORACLES["a18_group_means"]}), t AS (SELECT motif, ratio FROM m ORDER BY ratio DESC, motif LIMIT 5) SELECT * FROM t UNION SELECT motif, ratio FROM m WHERE motif IN ('M0', 'M3', 'M19')""")
+def f30_chosen_rows(spark, sf_dir):
+    m = a18_group_means(spark, sf_dir).select("motif", "ratio")
+    return chosen(m, [F.desc("ratio"), F.asc("motif")], "motif", 5, ["M0", "M3", "M19"])
 
 
 _COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -231,6 +287,13 @@ def s6_spearman(spark, sf_dir):
     return rounded(S.spearman(rows, ["flag"], "l_quantity", "l_extendedprice").select("flag", "n", "rho"), 5)
 
 
+@query(None)
+def s6_spearman_p(spark, sf_dir):
+    """Quantity against day of shipping: t and its p value (Student's distribution isn't in SQL)."""
+    rows = table(spark, sf_dir, "lineitem").withColumns({"flag": F.col("l_returnflag"), "day": F.dayofmonth("l_shipdate")})
+    return S.spearman(rows, ["flag"], "l_quantity", "day")
+
+
 @query(f"""WITH r AS (SELECT l_returnflag AS flag, l_linestatus = 'O' AS g, l_quantity, {_RANKS.format(c="l_quantity")} AS a FROM lineitem),
 t AS (SELECT flag, sum(c * c * c - c) AS ties FROM (SELECT flag, CAST(count(*) AS DOUBLE) AS c FROM r GROUP BY flag, l_quantity) GROUP BY flag),
 s AS (SELECT flag, count(*) FILTER (WHERE g) AS n1, count(*) FILTER (WHERE NOT g) AS n2, sum(a) FILTER (WHERE g) AS rs FROM r GROUP BY flag),
@@ -278,7 +341,7 @@ def l6_first_per_gene(spark, sf_dir):
 
 @query(f"""WITH m AS ({ORACLES["a18_group_means"]}) SELECT motif, CAST(row_number() OVER (ORDER BY ratio DESC, motif) AS INTEGER) AS rank FROM m""")
 def w6_o2_ranks(spark, sf_dir):
-    return ranked(a18_group_means(spark, sf_dir), [], [F.desc("ratio"), F.asc("motif")]).select("motif", "rank")
+    return ranked_overall(a18_group_means(spark, sf_dir), "ratio", ["motif"]).select("motif", "rank")
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS s, CAST(floor(o_totalprice / 50000) AS BIGINT) AS level, count(*) AS n FROM orders GROUP BY ALL) SELECT s, level, n, CAST(sum(n) OVER (PARTITION BY s ORDER BY level DESC) AS BIGINT) AS at_least FROM c""")

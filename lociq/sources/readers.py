@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,8 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, seq): the id runs to the first blank; lines are trimmed and joined. Of an id that comes
-    twice in a file the later sequence counts. A record is a row: cut it with chunked() before work."""
+    twice in a file the later sequence counts. A record is a row and is read by one task: for chromosomes,
+    use read_fasta_chunks()."""
     records = spark.read.option("lineSep", ">").text(path).select(F.monotonically_increasing_id().alias("line"), "value").where("trim(value) <> ''")
     head = F.regexp_extract("value", r"^(\S*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "")
@@ -56,6 +58,82 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("chrom").agg(F.max_by("seq", "line").alias("seq"))
 
 
+def _fasta_parts(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """Runs of sequence lines, each of about `size` letters, read by many tasks: (path, block, rec, name,
+    at, seq). rec counts the headers in a block of the file, 0 for what comes before its first; at is where
+    the run begins among the letters of its record in this block. A header makes a run without letters."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def run(batches):
+        names = ["path", "block", "rec", "name", "at", "seq"]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string()]
+        where, rec, name, at, held, n, done = None, 0, None, 0, [], 0, []
+
+        def flush():
+            nonlocal at, held, n
+            if n:
+                done.append((*where, rec, name, at, "".join(held)))
+            at, held, n = at + n, [], 0
+
+        for batch in batches:
+            for path, block, value in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "value"))):
+                if (path, block) != where:
+                    flush()
+                    where, rec, name, at = (path, block), 0, None, 0
+                if value.startswith(">"):
+                    flush()
+                    rec, name, at = rec + 1, (value[1:].split() or [""])[0], 0
+                    done.append((*where, rec, name, 0, ""))
+                else:
+                    held.append("".join(value.split()))
+                    n += len(held[-1])
+                    if n >= size:
+                        flush()
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=names)
+                done = []
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=names)
+
+    return lines.mapInArrow(run, "path string, block long, rec int, name string, at long, seq string")
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, *, size: int = 1 << 18, overlap: int = 0) -> DataFrame:
+    """(chrom, chunk_start, own, seq): sequences in pieces of `size` letters from 0-based chunk_start, each
+    followed by `overlap` letters of the next one; the first `own` letters are the piece's own.
+
+    A file is read in blocks by many tasks, however long its records are. What a block's first lines belong
+    to, and how many letters of it came before, follows from the sums of the blocks before it. Of an id
+    that comes twice the last record counts; lines before a header are left out."""
+    parts = _fasta_parts(spark, path, size)
+    by_record = parts.groupBy("path", "block", "rec").agg(F.max("name").alias("name"), F.sum(F.length("seq")).alias("letters"))
+    last = by_record.groupBy("path", "block").agg(F.max("rec").alias("rec"), F.max_by("name", "rec").alias("name"), F.max_by("letters", "rec").alias("letters"))
+    order = Window.partitionBy("path").orderBy("block")
+    last = last.withColumn("part", F.sum((F.col("rec") > 0).cast("int")).over(order))
+    within = Window.partitionBy("path", "part").orderBy("block")
+    told = last.withColumns({"so_far": F.sum("letters").over(within), "name": F.first("name").over(within), "head": F.first(F.struct("block", "rec")).over(within)})
+    carried = told.select("path", "block", *(F.lag(c).over(order).alias(f"_{c}") for c in ("name", "so_far", "head")))
+    mine = F.col("rec") > 0
+    rows = parts.join(carried, ["path", "block"]).select(
+        "path",
+        F.when(mine, F.struct("block", "rec")).otherwise(F.col("_head")).alias("head"),
+        F.when(mine, F.col("name")).otherwise(F.col("_name")).alias("chrom"),
+        F.when(mine, F.col("at")).otherwise(F.col("at") + F.col("_so_far")).alias("at"),
+        "seq",
+    ).where("chrom IS NOT NULL")
+    record = F.struct("path", "head")
+    final = rows.where("seq = ''").groupBy(F.col("chrom").alias("_chrom")).agg(F.max(record).alias("_record"))
+    rows = rows.where("seq <> ''").join(final, (F.col("chrom") == F.col("_chrom")) & (record == F.col("_record")), "left_semi")
+    end = F.col("at") + F.length("seq")
+    chunks = F.sequence(F.greatest(F.floor((F.col("at") - overlap) / size), F.lit(0)), F.floor((end - 1) / size))
+    rows = rows.select("chrom", "at", "seq", F.explode(chunks).alias("k"))
+    begin = F.greatest(F.col("at"), F.col("k") * size)
+    stop = F.least(F.col("at") + F.length("seq"), (F.col("k") + 1) * size + overlap)
+    rows = rows.select("chrom", "k", begin.alias("begin"), F.substring("seq", (begin - F.col("at") + 1).cast("int"), (stop - begin).cast("int")).alias("seq"))
+    whole = rows.where("seq <> ''").groupBy("chrom", "k").agg(F.array_sort(F.collect_list(F.struct("begin", "seq"))).alias("runs"))
+    return whole.select("chrom", (F.col("k") * size).alias("chunk_start"), F.array_join("runs.seq", "").alias("seq")).withColumn("own", F.least(F.length("seq"), F.lit(size)).cast("long"))
+
+
 def read_motifs(spark: SparkSession, path: str, motif_id: str | None = None) -> DataFrame:
     """(motif_id, motif_name, pos, base, value) from >ID NAME records with a row for each base. The last
     record of an id counts; a last row without a line end does too."""
