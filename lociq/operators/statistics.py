@@ -160,7 +160,7 @@ def student_tails(t: pd.Series, freedom: pd.Series) -> pd.Series:
         if y <= 0:
             inside = 0.0
         else:
-            d = c = h = 1.0
+            c, d, h = math.inf, 1.0, 1.0
             for m in range(400):
                 for k in ((-(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1))) * y, ((m + 1) * (b - m - 1) / ((a + 2 * m + 1) * (a + 2 * m + 2))) * y):
                     d = 1 / (1 + k * d or 1e-300)

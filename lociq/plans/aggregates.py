@@ -417,8 +417,3 @@ def f15_promoter_regions(spark, sf_dir):
     args = (F.col("start"), F.col("end"), F.col("strand"), F.lit(300))
     rows = genes(spark, sf_dir).select("transcript", promoter(*args, F.lit(50)).alias("p"), promoter(*args, F.lit(None).cast("long")).alias("w"))
     return rows.select("transcript", *(F.col(f"{a}.{b}").alias(f"{a}{b[0]}") for a in "pw" for b in ("start", "end")))
-
-
-@query("""SELECT l_suppkey % 24 AS chrom, count(*) AS n FROM lineitem GROUP BY 1""")
-def src8_chromosome_partitions(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 24).alias("chrom")).agg(F.count("*").alias("n"))

@@ -59,7 +59,7 @@ def f4_reverse_complement(spark, sf_dir):
     return sequences(spark, sf_dir).select("chrom", M.reverse_complement(F.col("seq")).alias("rc"))
 
 
-_SCAN = f"""WITH {_W}, {_SEQ}, l AS (SELECT motif_id, max(pos) + 1 AS n FROM w GROUP BY motif_id),
+SCAN = f"""WITH {_W}, {_SEQ}, l AS (SELECT motif_id, max(pos) + 1 AS n FROM w GROUP BY motif_id),
 s AS (SELECT chrom, '+' AS strand, seq FROM seqs UNION ALL SELECT chrom, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM seqs),
 k AS (SELECT chrom, strand, motif_id, n, length(seq) AS total, i, substr(seq, i + 1, n) AS match FROM (SELECT s.*, l.*, unnest(range(0, length(seq) - n + 1)) AS i FROM s, l WHERE length(seq) >= n)),
 b AS (SELECT k.*, unnest(range(0, n)) AS pos FROM k),
@@ -72,12 +72,12 @@ def _hits(spark, sf_dir, threshold):
     return rounded(scan(sequences(spark, sf_dir), M.weights(M.normalised(matrices(spark))), threshold))
 
 
-@query(_SCAN.format(t=2.2))
+@query(SCAN.format(t=2.2))
 def w1_f10_f11_motif_scan(spark, sf_dir):
     return _hits(spark, sf_dir, 2.2)
 
 
-@query(f"""WITH hits AS ({_SCAN.format(t=2.2)}) SELECT motif_id, chrom, start, strand FROM hits WHERE start >= 100 AND "end" <= 400""")
+@query(f"""WITH hits AS ({SCAN.format(t=2.2)}) SELECT motif_id, chrom, start, strand FROM hits WHERE start >= 100 AND "end" <= 400""")
 def src4_scan_in_regions(spark, sf_dir):
     regions = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chrom"), F.lit(100).cast("long").alias("start"), F.lit(400).cast("long").alias("end"))
     return in_regions(_hits(spark, sf_dir, 2.2), regions).select("motif_id", "chrom", "start", "strand")
@@ -119,26 +119,9 @@ def src5_src11_src13_f33_attributes(spark, sf_dir):
     )
 
 
-@query("""SELECT event_id, format('{:d}\t{:d}', user_id, event_id) || chr(9) || event_id || chr(9) || event_type || chr(9) || '0' || chr(9) || '+' AS value, printf('%.3f', value) AS score FROM events""")
-def snk1_snk2_written_lines(spark, sf_dir):
-    from ..sources.writers import bed_lines
-
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("chrom"), F.col("event_id").alias("start"), F.col("event_id").alias("end"), F.col("event_type").alias("gene"), F.lit("+").alias("strand"))
-    lines = bed_lines(rows)
-    scores = table(spark, sf_dir, "events").select("event_id", F.format_string("%.3f", "value").alias("score"))
-    return lines.withColumn("event_id", F.split("value", "\t")[1].cast("long")).join(scores, "event_id")
-
-
 @query("""SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
 def snk9_missing(spark, sf_dir):
     from ..sources.writers import missing
 
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k")
     return missing(orders, orders.where("o_orderstatus = 'F'"), ["k"])
-
-
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents) SELECT doc_id, count(*) AS n FROM l WHERE NOT regexp_matches(value, '^(Chr|#)') AND len(regexp_split_to_array(trim(value), '\\s+')) >= 3 GROUP BY 1""")
-def src1_src6_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("value"))
-    kept = lines.where(~F.col("value").rlike("^(Chr|#)") & (F.size(F.split(F.trim("value"), r"\s+")) >= 3))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n"))

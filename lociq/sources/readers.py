@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import attribute, basename, gene_list, trim_blank, whole_number
-from ..schema import SIGNAL, SITE
+from ..functions.text import attribute, gene_list, trim_blank, whole_number
+from ..schema import SIGNAL, SIGNALS, SITE
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -26,15 +26,65 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("start IS NOT NULL AND end IS NOT NULL").select("path", *SITE.names)
 
 
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, value) with line numbers from 1 in each file, counted by many tasks: each block of a
+    file numbers its own lines, and begins after those of the blocks before it."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def run(batches):
+        where, n = None, 0
+        for batch in batches:
+            numbers = []
+            for place in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
+                where, n = (where, n + 1) if place == where else (place, 1)
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=["path", "block", "value", "n"])
+
+    rows = lines.mapInArrow(run, "path string, block long, value string, n long")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("path", "block").agg(F.count("*").alias("rows")).select("path", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    return rows.join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("n")).alias("line_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+
+
+def first_and_last(lines: DataFrame, n: int) -> DataFrame:
+    """The first n and the last n lines of each file, marked head and tail; a line may be both."""
+    total = lines.groupBy("path").agg(F.max("line_no").alias("_lines"))
+    rows = lines.join(total, "path")
+    ends = F.array_compact(F.array(F.when(F.col("line_no") <= n, "head"), F.when(F.col("line_no") > F.col("_lines") - n, "tail")))
+    return rows.select("path", "line_no", "value", F.explode(ends).alias("part"))
+
+
+def file_name(path: Column) -> Column:
+    """The name of a file or, for files that Spark has written, of the folder that they are in."""
+    parts = F.split(path, "/")
+    own = F.element_at(parts, -1)
+    return F.when(own.startswith("part-"), F.element_at(parts, -2)).otherwise(own)
+
+
 def read_bed_sets(spark: SparkSession, pattern: str) -> DataFrame:
-    """All BED files of a pattern, with set_name: the file name."""
-    return read_bed(spark, pattern).withColumn("set_name", basename(F.col("path"))).drop("path")
+    """All BED files of a pattern, with set_name: the file's name, or that of the folder of its parts."""
+    return read_bed(spark, pattern).withColumn("set_name", file_name(F.col("path"))).drop("path")
+
+
+def read_wide_bed(spark: SparkSession, pattern: str) -> DataFrame:
+    """BED files with more than six columns and set_name; further columns are told by the name: twelve
+    sorted signals (doubles) after `cutandrun`, then a whole num.tfbs after `tp73bs`, and texts V7, V8, ...
+    for the rest. All files of the pattern have the same kind of name."""
+    sample = spark.read.text(pattern).select(file_name(F.col("_metadata.file_path")).alias("set_name"), F.size(F.split("value", "\t")).alias("n")).where("n >= 6")
+    name, width = sample.agg(F.max("set_name"), F.max("n")).first()
+    kinds = ([(s, "double") for s in SIGNALS] if "cutandrun" in (name or "") else []) + ([("num_tfbs", "int")] if "tp73bs" in (name or "") else [])
+    kinds += [(f"V{7 + i}", "string") for i in range(len(kinds), max(0, (width or 6) - 6))]
+    parts = F.split("value", "\t")
+    rows = spark.read.text(pattern).where(~F.col("value").rlike("^(Chr|#)")).select("*", file_name(F.col("_metadata.file_path")).alias("set_name"))
+    get = lambda i, kind: F.get(parts, F.lit(i)).try_cast(kind)
+    columns = [get(i, f.dataType.simpleString()).alias(f.name) for i, f in enumerate(SITE)] + [get(6 + i, kind).alias(c) for i, (c, kind) in enumerate(kinds)]
+    return rows.select("set_name", *columns).where("start IS NOT NULL AND end IS NOT NULL")
 
 
 def read_motif_hits(spark: SparkSession, directory: str, motif: str, chrom: str) -> DataFrame:
-    """The one file <motif>_*bidirect_<chrom>.bed.gz; an error unless there is exactly one."""
+    """The one file (or folder of parts) <motif>_*bidirect_<chrom>.bed.gz; an error unless there is exactly one."""
     rows = read_bed(spark, f"{directory}/{motif}_*bidirect_{chrom}.bed.gz")
-    n = rows.select("path").distinct().limit(2).count()
+    n = rows.select(file_name(F.col("path"))).distinct().limit(2).count()
     if n != 1:
         raise ValueError(f"{'no' if not n else 'more than one'} file of {motif} for {chrom}")
     return rows.drop("path")
@@ -182,12 +232,14 @@ def read_signal(spark: SparkSession, path: str, name: str = "cnr") -> DataFrame:
 def read_gene_set(spark: SparkSession, path: str) -> DataFrame:
     """(set_name, gene) from vertical key / value files: the distinct symbols of GENE_SYMBOLS."""
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).select(basename(F.input_file_name()).alias("file"), parts[0].alias("key"), F.get(parts, F.lit(1)).alias("value"))
-    return rows.where("key = 'GENE_SYMBOLS'").select(F.regexp_replace("file", r"\.tsv$", "").alias("set_name"), F.explode(gene_list(F.col("value"))).alias("gene")).distinct()
+    rows = spark.read.text(path).select(file_name(F.input_file_name()).alias("file"), parts[0].alias("key"), F.get(parts, F.lit(1)).alias("value"))
+    return rows.where("key = 'GENE_SYMBOLS'").select(F.regexp_replace("file", r"\.tsv$|^set_name=", "").alias("set_name"), F.explode(gene_list(F.col("value"))).alias("gene")).distinct()
 
 
-def read_expression(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("sep", "\t").csv(path)
+def read_expression(spark: SparkSession, path: str, names: tuple[str, ...] = ("Gene Symbol",)) -> DataFrame:
+    """A table with a header: `names` stay texts, all other columns are numbers (null where they aren't)."""
+    rows = spark.read.option("header", True).option("sep", "\t").csv(path)
+    return rows.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in rows.columns if c not in names})
 
 
 def read_context(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
