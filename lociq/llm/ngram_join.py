@@ -564,11 +564,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         cells = stored(_cells(rest, sizes, sets, orders, percent).select("cell", "c", "n"), "ngram-placed")
         links = links.union(stored(_links(_placed(cells, percent), sets, orders, percent), "ngram-links"))
     groups = stored(components(links), "ngram-classes")
-
     named = light.join(sent_if_small(groups.withColumnRenamed("node", "c"), SENT_BYTES), "c", "left").withColumn("g", F.when(F.col("n") > 0, F.coalesce("component", "c")))
-    smallest = named.where("g IS NOT NULL").groupBy("g").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("keeper"))
-    out = named.join(smallest, "g", "left")
-    return out.select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("keeper.id").eqNullSafe(F.col("id")) & (F.col("keeper.key").eqNullSafe(F.col("key")))).otherwise(True).alias("keeps"))
+    keeper = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("keeper")
+    shared = named.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("rows"), F.min("id").alias("least"), keeper).where("rows > 1").drop("rows")
+    out = named.join(sent_if_small(stored(shared, "ngram-shared"), SENT_BYTES), "g", "left")
+    first_of_all = F.col("keeper.id").eqNullSafe(F.col("id")) & F.col("keeper.key").eqNullSafe(F.col("key"))
+    return out.select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.when(F.col("keeper").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), (F.col("keeper").isNull() | first_of_all).alias("keeps"))
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
