@@ -54,7 +54,16 @@ def sites_of_genes(genes: DataFrame, regions: DataFrame, sites: DataFrame, befor
     return within.withColumn("location", location(F.col("start_site"), F.col("end_site"), F.col("gene_start"), F.col("gene_end")))
 
 
-def carried_names(lines: DataFrame, *, part: str, line: str = "line", name: str = "name", given: str = "given") -> DataFrame:
-    """Fills a missing name with the last one that was given before it, by line number within a part."""
-    order = Window.partitionBy(part).orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(name, F.coalesce(name, F.last(given, ignorenulls=True).over(order)))
+def carried_names(lines: DataFrame, *, part: str, line: str = "line", name: str = "name", given: str = "given", span: int = 1 << 20) -> DataFrame:
+    """Fills a missing name with the last one that was given at or before it, by line number within a part.
+
+    A part is cut into pieces of `span` line numbers, each filled by itself; where a piece has none given yet,
+    the last of the pieces before it counts."""
+    rows = lines.withColumn("_piece", F.floor(F.col(line) / span))
+    order = Window.partitionBy(part, "_piece").orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_here", F.last(given, ignorenulls=True).over(order))
+    last = rows.groupBy(F.col(part).alias("_part"), F.col("_piece").alias("_at")).agg(F.max_by(given, F.when(F.col(given).isNotNull(), F.col(line))).alias("_last"))
+    before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+    joined = rows.join(last, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_piece") == F.col("_at")))
+    return joined.withColumn(name, F.coalesce(name, "_here", "_before")).drop("_piece", "_here", "_part", "_at", "_before")

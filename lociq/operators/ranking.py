@@ -51,8 +51,14 @@ def cumulative_from_top(rows: DataFrame, by: str, level: str, value: str) -> Dat
     return rows.withColumn("at_least", F.sum(value).over(Window.partitionBy(by).orderBy(F.desc(level))))
 
 
-def neighbours_in_range(rows: DataFrame, by: list[str], position: str, distance: int) -> DataFrame:
-    """How many rows of the same group lie within the distance, by a range frame; for groups that fit
-    one task. For larger ones use window_join()."""
-    near = Window.partitionBy(*by).orderBy(position).rangeBetween(-distance, distance)
-    return rows.withColumn("n_near", F.count("*").over(near))
+def neighbours_in_range(rows: DataFrame, by: list[str], position: str, distance: int, *, width: int | None = None) -> DataFrame:
+    """How many rows of the same group lie within the distance, by a range frame. A group is cut into bins of
+    `width`; a row also stands, as a neighbour only, in the bins that its frame reaches into, so that a
+    group of any size is framed by many tasks. A null position has no neighbours."""
+    width = max(width or 8 * distance, 1)
+    bin_of = lambda p: F.floor(p / width).cast("long")
+    at = F.col(position)
+    rows = rows.withColumn("_bin", F.explode(F.when(at.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(bin_of(at - distance), bin_of(at + distance)))))
+    near = Window.partitionBy(*by, "_bin").orderBy(position).rangeBetween(-distance, distance)
+    own = at.isNull() | (F.col("_bin") == bin_of(at))
+    return rows.withColumn("n_near", F.when(at.isNull(), F.lit(0).cast("long")).otherwise(F.count(position).over(near))).where(own).drop("_bin")

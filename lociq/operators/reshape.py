@@ -37,3 +37,14 @@ def joined_regions(one: DataFrame, two: DataFrame, key: str, sums: list[str]) ->
     """Two regions of a key as one: smallest start, largest end, sums of columns."""
     a, b = one.alias("a"), two.alias("b")
     return a.join(b, key).select(key, F.least("a.start", "b.start").alias("start"), F.greatest("a.end", "b.end").alias("end"), *((F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in sums))
+
+
+def bound(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """The columns of two tables of the same rows side by side, by their key and never by position. An error
+    unless both have each key once, and the same keys."""
+    other = two.withColumnRenamed(key, "_key")
+    once = [df.groupBy(c).count().where("count > 1").isEmpty() for df, c in ((one, key), (other, "_key"))]
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    if not (all(once) and one.join(other, same, "left_anti").isEmpty() and other.join(one, same, "left_anti").isEmpty()):
+        raise ValueError("the tables don't have the same rows")
+    return one.join(other, same).drop("_key")

@@ -10,7 +10,7 @@ from ..functions.text import log_difference, log_plus_one, log_ratio, significan
 from ..operators import enrichment as E
 from ..operators import statistics as S
 from ..operators.ranking import cumulative_from_top, extremes, first_per, ranked, ranked_overall, with_interest
-from ..operators.reshape import joined_regions, labelled_union, melted, selective, side_by_side, split_by_sets
+from ..operators.reshape import bound, joined_regions, labelled_union, melted, selective, side_by_side, split_by_sets
 from .registry import registry
 from .stand_ins import CONTEXT, GENES, SITES, context, genes, rounded, sites, table
 
@@ -390,6 +390,13 @@ def g11_joined_regions(spark, sf_dir):
     return joined_regions(side("+"), side("-"), "gene", ["n"])
 
 
+@query(f"""WITH {CONTEXT} SELECT motif, count(*) AS n, round(avg(score), 6) AS mean, CAST(sum(n) AS BIGINT) AS total FROM context GROUP BY motif""")
+def j15_bound_columns(spark, sf_dir):
+    """Two tables of the same motifs side by side."""
+    by = context(spark, sf_dir).groupBy("motif")
+    return rounded(bound(by.agg(F.count("*").alias("n"), F.avg("score").alias("mean")), by.agg(F.sum("num_in_window").alias("total")), "motif"))
+
+
 @query(f"""WITH {SITES} SELECT chrom, name, count(*) AS n, min(s) AS first FROM sites GROUP BY ALL""")
 def g1_o1_all_chromosomes(spark, sf_dir):
     return sites(spark, sf_dir).groupBy("chrom", "name").agg(F.count("*").alias("n"), F.min("start").alias("first")).orderBy("chrom", "first", "name")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import attribute, gene_list, trim_blank, whole_number
+from ..operators.genes import carried_names
 from ..schema import SIGNAL, SIGNALS, SITE
 
 
@@ -216,8 +217,7 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     biotype = F.coalesce(attribute(F.col("attributes"), "gene_biotype"), attribute(F.col("attributes"), "gene_type"), F.lit(""))
     rows = rows.select("*", biotype.alias("biotype"), attribute(F.col("attributes"), "gene_id").alias("gene_id"), attribute(F.col("attributes"), "gene_name").alias("gene"), attribute(F.col("attributes"), "transcript_id").alias("transcript"))
     left = F.when((F.col("feature") == "gene") & F.col("gene").isNull() & (F.col("biotype") == "lncRNA"), F.concat_ws("_", F.lit("lncRNA"), "chrom", "start", "end"))
-    order = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("gene", F.coalesce("gene", F.last(left, ignorenulls=True).over(order)))
+    rows = carried_names(rows.withColumn("left", left), part="path", name="gene", given="left")
     kept = ~F.col("biotype").isin(SKIPPED_BIOTYPES) & ~((F.col("feature") == "gene") & (F.col("biotype") == "snoRNA"))
     return rows.where(kept & (F.col("feature") == "transcript")).select("line", "chrom", "start", "end", "strand", "gene_id", "gene", "transcript")
 
