@@ -22,16 +22,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).where("a <> b").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one other that hangs on none: then nothing can change any more."""
+    hung = edges.groupBy("a").agg(F.count("*").alias("n"))
+    return hung.where("n > 1").isEmpty() and edges.select(F.col("b").alias("a")).join(hung, "a", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """edges: (a long, b long). Returns (node, component): each node that has an edge with another,
-    and the smallest node of its component. Every round is written to the shared folder; the number of
-    rounds grows with the logarithm of the largest component."""
+    """edges: (a, b), of any type that has an order. Returns (node, component): each node that has an edge
+    with another, and the smallest node of its component. Every round is written to the shared folder; the
+    number of rounds grows with the logarithm of the largest component."""
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    now = mark(edges)
-    while now[0]:
+    while not _all_stars(edges):
         edges = stored(_small_star(_large_star(edges)), "components")
-        before, now = now, mark(edges)
-        if before == now:
-            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
