@@ -25,7 +25,8 @@ BUCKETS = 1 << 16
 LETTER_BYTES = byte_flags([(0x61, 0x7A), (0x80, 0xFF)])
 ASCII_LETTERS = byte_flags([(0x41, 0x5A), (0x61, 0x7A)])
 SMOOTHING = 0.5
-ROUNDS = 12
+#: Rounds of EM at most, and the change of a text's proportions below which it is done.
+ROUNDS, TOLERANCE = 12, 1e-3
 #: Numbers in a model at most: with more languages than MODEL_SIZE / BUCKETS, trigrams share buckets.
 MODEL_SIZE, LEAST_BUCKETS = 1 << 25, 1 << 8
 UNKNOWN = "und"
@@ -71,12 +72,22 @@ class LanguageModel:
 
 
 def _mixture(like: np.ndarray, text: np.ndarray, begins: np.ndarray, n: np.ndarray, pi: np.ndarray, rounds: int):
-    """EM for all texts at once. like: words x languages, pi: texts x languages (0: not in the set).
-    Returns proportions and log-likelihoods (without what is common to all sets)."""
+    """EM for all texts at once, each until its proportions move by less than TOLERANCE, or for so many
+    rounds. like: words x languages, pi: texts x languages (0: not in the set). Returns proportions and
+    log-likelihoods (without what is common to all sets)."""
+    pi = pi.copy()
+    at, words, of, first = np.arange(len(pi)), like, text, begins  # texts that still move, and their words
     for _ in range(rounds):
-        share = like * pi[text]
+        share = words * pi[at][of]
         share /= share.sum(1, keepdims=True)
-        pi = np.add.reduceat(share, begins, axis=0) / n[:, None]
+        now = np.add.reduceat(share, first, axis=0) / n[at][:, None]
+        moves = np.abs(now - pi[at]).max(1) >= TOLERANCE
+        pi[at] = now
+        if not moves.any():
+            break
+        if moves.sum() < 0.8 * len(at):
+            words, size = words[moves[of]], np.diff(np.append(first, len(of)))[moves]
+            at, of, first = at[moves], np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
     return pi, np.add.reduceat(np.log((like * pi[text]).sum(1)), begins)
 
 
