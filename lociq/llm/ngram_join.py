@@ -105,6 +105,7 @@ class Orders:
         order = np.argsort(common)
         self.common = common[order]
         self.tasks = np.minimum(counts[order] // SPLIT, 1 << 20).astype(np.int32)  # 0: one task
+        self.any_dealt = bool(self.tasks.any())
         rank = np.empty(len(common), np.uint64)
         rank[np.lexsort((common, counts))] = np.arange(len(common), dtype=np.uint64)
         self.rank = rank[order]
@@ -124,7 +125,7 @@ class Orders:
     def salts(self, tokens: np.ndarray, name: int) -> np.ndarray:
         """For each token, in which of its tasks a class goes; -1 for a token that has one task only."""
         out = np.full(len(tokens), -1, np.int32)
-        if self.tasks.any():
+        if self.any_dealt:
             at = np.minimum(np.searchsorted(self.common, tokens), len(self.common) - 1)
             tasks = np.where(self.common[at] == tokens, self.tasks[at], 0)
             out[tasks > 0] = name % (tasks[tasks > 0].astype(np.int64) + 1)
