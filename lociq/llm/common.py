@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1_000_000
 #: Bytes of rows that are sent to a Python worker at once; in memory several times on their way.
 BATCH_BYTES = 8 << 20
+#: Bytes for each core (as Spark estimates them) below which a table is dealt to all cores before it is
+#: looked at; a file of one row group would be one task.
+SPREAD_BYTES = 4 << 20
 
 _FOLDERS: list[str] = []
 
@@ -73,13 +76,17 @@ def sent_if_small(df: DataFrame, most: int) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df; from now on the session sends rows to Python workers in batches of BATCH_BYTES at most (it is
-    a setting of the session, looked at when the rows are read; a smaller one that is set stays)."""
-    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    """df, to be sent to Python workers; from now on the session does so in batches of BATCH_BYTES at most (it
+    is a setting of the session, looked at when the rows are read; a smaller one that is set stays). A table
+    of less than SPREAD_BYTES for each core is dealt to all cores; any other stays as it is."""
+    spark = df.sparkSession
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf
     now = conf.get(name).rstrip("bB")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < SPREAD_BYTES * cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
