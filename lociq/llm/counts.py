@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, slices, text_bytes
+from .common import ASCII_LOWER, bounded_batches, release_memory, slices, text_bytes
 
 BLOCK = 8192
 #: features(data, offsets) -> (ids, first): a row of bucket numbers for each place in the texts, and
@@ -49,6 +49,8 @@ def class_counts(docs: DataFrame, classes: int, buckets: int, features: Features
         cut = local.reshape(classes, blocks, BLOCK)
         at = np.argwhere(cut.any(2))
         yield pa.RecordBatch.from_arrays([pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array([cut[c, b].tobytes() for c, b in at], pa.binary())], names=["cls", "block", "counts"])
+        del local, cut
+        release_memory()
 
     def add(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}

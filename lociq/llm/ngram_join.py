@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, byte_flags, mix64, read_table, sent_if_small, slices, span_hashes, stored, text_bytes, word_spans
+from .common import ASCII_LOWER, bounded_batches, byte_flags, mix64, read_table, release_memory, sent_if_small, slices, span_hashes, stored, text_bytes, word_spans
 from .decontaminate import window_hashes
 from .graph import components
 
@@ -54,14 +54,14 @@ LONGER, LEFT_OUT = 8, 3.2
 #: Classes of a token that are paired; more are compared in cells.
 COLD = 16
 #: Tokens whose classes are counted together in a task, and the least count that leaves it.
-COUNT_AT_ONCE, LOCAL_COUNT = 4_000_000, 2
+COUNT_AT_ONCE, LOCAL_COUNT = 2_000_000, 2
 #: Rows of one token that are looked at together.
 LONG_RUN = 50_000
 #: A token of so many classes is common; of them, at most MAX_COMMON commonest are broadcast (16 bytes
 #: each). Which tokens are common decides what candidates cost, never which pairs are found.
 COMMON, MAX_COMMON = 12, 2_000_000
 #: Tokens in a block of a cell; a task compares up to three blocks at once.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: A band holds sizes from BAND ** k up to BAND ** (k + 1).
 BAND = 4
 #: Classes of a token that one task looks at; a token that more have, as far as is counted, is dealt to
@@ -187,6 +187,7 @@ def _first_pass(docs: DataFrame, id_type: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([class_name(k) for k in keys], pa.binary())], names=names)
         if pool:
             yield common()
+        release_memory()
 
     return bounded_batches(docs).mapInArrow(run, f"kind int, id {id_type}, key long, n long, s1 long, c binary")
 
@@ -254,6 +255,7 @@ def _shared_tokens(index: DataFrame) -> DataFrame:
             classes = np.repeat(length, np.diff(np.append(begins, len(token)))) + np.where(salt >= 0, SPLIT, 0)
             keep, before = classes > 1, token[-1]
             yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(salt[keep]), pa.array(c[keep]), pa.array(n[keep].astype(np.int64)), pa.array(classes[keep].astype(np.int64))], names=[*names, "classes"])
+        release_memory()
 
     return index.mapInArrow(run, "token long, salt int, c long, n long, classes long")
 
@@ -313,6 +315,7 @@ def _runs(rows: DataFrame, percent: int) -> DataFrame:
             if found:
                 pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
                 yield out(0, pairs[:, 0], pairs[:, 1], times, pairs[:, 2])
+        release_memory()
 
     return rows.mapInArrow(run, "kind int, a long, b long, n long, need long")
 
@@ -389,10 +392,10 @@ def forest_links(left: list[tuple], right: list[tuple], percent: int) -> list[tu
 def _at_centres(best: DataFrame) -> DataFrame:
     """best: (m, c, n): a class's centre and size. Where each goes, as in _placed(): a centre
     with many classes stands in several places, so that no task gets more than about BLOCK_TOKENS."""
-    places = best.groupBy("m").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("places"))
+    places = stored(best.groupBy("m").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("places")), "ngram-places")
     yes, no = F.lit(True), F.lit(False)
     at = lambda i: F.xxhash64("m", i).alias("place")
-    twos = best.join(sent_if_small(stored(places, "ngram-places"), SENT_BYTES), "m").select(at(F.pmod(F.xxhash64("c"), F.col("places")).cast("int")), "c", no.alias("is_one"), yes.alias("is_two"))
+    twos = best.join(sent_if_small(places, SENT_BYTES), "m").select(at(F.pmod(F.xxhash64("c"), F.col("places")).cast("int")), "c", no.alias("is_one"), yes.alias("is_two"))
     ones = places.select("m", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i")).select(at(F.col("i")), F.col("m").alias("c"), yes.alias("is_one"), no.alias("is_two"))
     return twos.union(ones)
 
@@ -497,6 +500,8 @@ def _links(placed: DataFrame, sets: DataFrame, orders, percent: int) -> DataFram
                     if wanted:
                         kept.append(row)
         yield compared(side)
+        side = ([], [])
+        release_memory()
 
     rows = placed.join(sets, "c").select("place", "name", "grp", "tokens", "is_one", "is_two")
     partitions = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -535,17 +540,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = stored(_runs(by_token(_fewer_tokens(shared, percent)), percent), "ngram-runs")
     counted_pairs = runs.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     pairs = stored(counted_pairs.where("n >= need").select("a", "b"), "ngram-pairs")
-    dealt = runs.where("kind = 2").select(F.col("a").alias("token"), "b")
-    centres = sent_if_small(stored(dealt.groupBy("token").agg(F.min("b").alias("a")), "ngram-centres"), SENT_BYTES)
-    hot = runs.where("kind = 1").select("a", "b", "n").union(dealt.join(centres, "token").where("a <> b").select("a", "b", F.lit(1).cast("long")))
+    hot = runs.where("kind = 1").select("a", "b", "n")
+    if orders.value.any_dealt:
+        dealt = runs.where("kind = 2").select(F.col("a").alias("token"), "b")
+        centres = sent_if_small(stored(dealt.groupBy("token").agg(F.min("b").alias("a")), "ngram-centres"), SENT_BYTES)
+        hot = hot.union(dealt.join(centres, "token").where("a <> b").select("a", "b", F.lit(1).cast("long")))
     stars = stored(hot.groupBy("a", "b").agg(F.sum("n").alias("n")), "ngram-stars")
 
     near = pairs.union(stars.select("a", "b"))
     nodes = near.select(F.col("a").alias("s1")).union(near.select("b")).distinct()
     classes = light.where("n > 0").groupBy("c").agg(F.first("s1").alias("s1"), F.min("id").alias("w"), F.first("n").alias("n"))
     members = stored(classes.join(nodes, "s1"), "ngram-members")
-    sizes = members.groupBy(F.col("s1").alias("c")).agg(F.max("n").alias("n"))
-    sets = stored(_sets(source, stored(members.select("w").distinct(), "ngram-wanted"), size), "ngram-sets")
+    sizes = members.select(F.col("s1").alias("c"), "n")
+    sets = stored(_sets(source, members.select("w"), size), "ngram-sets")
 
     # Each class against the centre that it shares most hot tokens with.
     best = stars.groupBy(F.col("b").alias("c")).agg(F.max_by("a", F.struct("n", "a")).alias("m")).join(sizes, "c")
