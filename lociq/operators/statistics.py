@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Pieces that the distinct values of a group are ordered in.
 SLICES = 64
+#: Cuts that are looked at together.
+CHUNK = 8
 #: Columns whose correlations are plain aggregates; with more, sums of products by blocks of columns.
 FEW_COLUMNS, BLOCK = 16, 256
 
@@ -27,9 +29,13 @@ def ordered_counts(counts: DataFrame, by: list[str], value: str, *, slices: int
     keys = [f"_k{i}" for i in range(len(by))]
     shares = [i / slices for i in range(1, slices)]
     cuts = counts.groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys))).agg((F.percentile_approx(value, shares, 2_000) if shares else F.array()).alias("_cuts"))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit((len(shares) - 1) // CHUNK), F.lit(0))), lambda i: F.slice("_cuts", i * CHUNK + 1, F.lit(CHUNK)))
+    cuts = cuts.withColumn("_chunks", chunks).withColumn("_tops", F.transform("_chunks", lambda chunk: F.try_element_at(chunk, F.lit(-1)))).drop("_cuts")
     same = lambda: [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)] or [F.lit(True)]
     rows = counts.join(F.broadcast(cuts) if not by else cuts, same()).drop(*keys)
-    rows = rows.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    # How many cuts lie below a value: those before its chunk of cuts, and those in it.
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    rows = rows.withColumn("_chunk", below(F.col("_tops"))).withColumn("_piece", F.col("_chunk") * CHUNK + F.coalesce(below(F.get("_chunks", F.col("_chunk"))), F.lit(0))).drop("_chunks", "_tops", "_chunk")
     pieces = rows.groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys)), F.col("_piece").alias("_at")).agg(F.sum("_n").alias("_rows"))
     if not by:
         keys, pieces = ["_all"], pieces.withColumn("_all", F.lit(0))
