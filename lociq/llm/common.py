@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir as new_folder
+
 #: Bytes of text that one numpy pass of an operator looks at; bounds its working memory.
 CHUNK_BYTES = 1_000_000
 #: Bytes of rows that are sent to a Python worker at once; in memory several times on their way.
@@ -26,20 +27,8 @@ LETTERS_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder for one intermediate table, below the folder that all executors share.
-
-    It is removed when the driver's JVM ends, or by release(). Where spark.checkpoint.dir is unset, a folder
-    below the warehouse is taken, but only on one machine: elsewhere executors might not share it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir") + "/_stages"
-    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    """A new folder that all executors share, until the driver's JVM ends or release() removes it."""
+    path = new_folder(spark, purpose)
     _FOLDERS.append(path)
     return path
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, bounded_batches, release_memory, slices, text_bytes
 
 BLOCK = 8192
+#: Bytes of labelled ids that are sent to all tasks.
+SENT_BYTES = 64 << 20
 #: features(data, offsets) -> (ids, first): a row of bucket numbers for each place in the texts, and
 #: the number of places before each text (one entry more than texts).
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -71,11 +73,14 @@ def class_counts(docs: DataFrame, classes: int, buckets: int, features: Features
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
     """docs (with its column id) joined to a sample of at most about `most` labelled ids, so that the
-    labels can be broadcast; the sample is by a hash of the id. Labels of a repeated id count as the
+    labels can be broadcast (up to SENT_BYTES; longer ids are joined by a shuffle); the sample is by a hash
+    of the id. Labels of a repeated id count as the
     largest."""
     ids = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where("l_id IS NOT NULL AND label IS NOT NULL")
-    n = ids.count()
-    if n > most:
-        ids = ids.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+    n, letters = ids.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("l_id").cast("string"))), F.lit(0))).first()
+    part = min(1.0, most / max(1, n))
+    if part < 1:
+        ids = ids.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 40)) < int(part * (1 << 40)))
     ids = ids.groupBy("l_id").agg(F.max("label").alias("label"))
-    return docs.join(F.broadcast(ids), F.col("id") == F.col("l_id")).drop("l_id")
+    small = part * (letters + 32 * n) <= SENT_BYTES
+    return docs.join(F.broadcast(ids) if small else ids, F.col("id") == F.col("l_id")).drop("l_id")

@@ -62,6 +62,8 @@ LONG_RUN = 50_000
 COMMON, MAX_COMMON = 12, 2_000_000
 #: Tokens in a block of a cell; a task compares up to three blocks at once.
 BLOCK_TOKENS = 1_000_000
+#: Tokens that are compared with one centre in a task; a centre with more stands in several places.
+CENTRE_TOKENS = 100_000
 #: A band holds sizes from BAND ** k up to BAND ** (k + 1).
 BAND = 4
 #: Classes of a token that one task looks at; a token that more have, as far as is counted, is dealt to
@@ -391,8 +393,8 @@ def forest_links(left: list[tuple], right: list[tuple], percent: int) -> list[tu
 
 def _at_centres(best: DataFrame) -> DataFrame:
     """best: (m, c, n): a class's centre and size. Where each goes, as in _placed(): a centre
-    with many classes stands in several places, so that no task gets more than about BLOCK_TOKENS."""
-    places = stored(best.groupBy("m").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("places")), "ngram-places")
+    with many classes stands in several places, of about CENTRE_TOKENS each."""
+    places = stored(best.groupBy("m").agg(F.ceil(F.sum("n") / CENTRE_TOKENS).cast("int").alias("places")), "ngram-places")
     yes, no = F.lit(True), F.lit(False)
     at = lambda i: F.xxhash64("m", i).alias("place")
     twos = best.join(sent_if_small(places, SENT_BYTES), "m").select(at(F.pmod(F.xxhash64("c"), F.col("places")).cast("int")), "c", no.alias("is_one"), yes.alias("is_two"))
