@@ -61,10 +61,6 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], *
     return out.select(*by, *((F.col(f"_l{i}") * (1 - part(i)) + F.col(f"_h{i}") * part(i)).alias(f"q{i}") for i in range(len(shares))))
 
 
-def floored(quantile, least: float = 0.5):
-    return F.greatest(quantile, F.lit(least))
-
-
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, min, quartiles, mean, max and standard deviation."""
     plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.stddev_samp(value).alias("sd"))

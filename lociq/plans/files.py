@@ -130,6 +130,12 @@ def src10_signal(spark, sf_dir):
     return R.read_signal(spark, _text(sites(spark, sf_dir).select(lines), spark, "signal"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'n/a' ELSE CAST(CAST(round_even(c_acctbal, 0) AS BIGINT) AS VARCHAR) END AS balance FROM customer")
+def src11_cleaned_numbers(spark, sf_dir):
+    text = F.when(F.col("c_nationkey") == 3, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    return R.cleaned_numbers(table(spark, sf_dir, "customer").select("c_custkey", text.alias("balance")), ["balance"])
+
+
 @query("SELECT DISTINCT c_mktsegment AS set_name, 'G' || c_nationkey AS gene FROM customer")
 def src12_gene_sets(spark, sf_dir):
     path = shared_dir(spark, "sets")
