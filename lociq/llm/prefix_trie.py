@@ -67,8 +67,8 @@ def rebuilt(conversations: DataFrame, *, id_col: str = "conv_id", turn_col: str
 
 
 def with_prefixes(conversations: DataFrame) -> DataFrame:
-    """conversations: (conv_id, turns). Returns (conv_id, sid, n, prefixes, bytes): the hash of the whole, the
-    number of turns, the hashes of all prefixes, and the bytes of each turn's text."""
+    """conversations: (conv_id, turns). Returns (conv_id, sid, n, prefixes, totals): the hash of the whole, the
+    number of turns, the hashes of all prefixes, and the bytes of their texts."""
 
     def run(batches):
         for batch in batches:
@@ -88,27 +88,30 @@ def with_prefixes(conversations: DataFrame) -> DataFrame:
             whole = np.ascontiguousarray(all_before[offsets[1:]] ^ all_before[offsets[:-1]])
             of = lambda m: pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer((np.arange(len(m) + 1) * 16).astype(np.int32)), pa.py_buffer(m)])
             lists = pa.array(offsets.astype(np.int32))
+            so_far = np.concatenate([[0], np.cumsum(flat.field("bytes").to_numpy(zero_copy_only=False).astype(np.int64))])
+            totals = pa.array(so_far[1:] - np.repeat(so_far[offsets[:-1]], sizes), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), of(whole), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(lists, of(prefix)), pa.ListArray.from_arrays(lists, flat.field("bytes").cast(pa.int64()))],
-                names=["conv_id", "sid", "n", "prefixes", "bytes"],
+                [batch.column("conv_id"), of(whole), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(lists, of(prefix)), pa.ListArray.from_arrays(lists, totals)],
+                names=["conv_id", "sid", "n", "prefixes", "totals"],
             )
         release_memory()
 
-    return bounded_batches(conversations.select("conv_id", "turns")).mapInArrow(run, "conv_id long, sid binary, n int, prefixes array<binary>, bytes array<long>")
+    return bounded_batches(conversations.select("conv_id", "turns")).mapInArrow(run, "conv_id long, sid binary, n int, prefixes array<binary>, totals array<long>")
 
 
 #: A node: its edge's depths are p + 1 to e; name, handle and key are its prefixes at the first, the
-#: two-fattest and the last of them, up is its parent's key; total is the bytes of all turns down to e.
-NODE = "name binary, handle binary, key binary, up binary, p int, e int, edge array<binary>, bytes array<long>, total long"
+#: two-fattest and the last of them, up is its parent's key; totals are the bytes of all turns down to each
+#: depth of the edge, above those down to p.
+NODE = "name binary, handle binary, key binary, up binary, p int, e int, edge array<binary>, totals array<long>, above long"
 
 
-def _sum(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0).cast("long"), lambda a, b: a + b)
+def _node(edge: Column, totals: Column, p: Column, e: Column, up: Column, above: Column) -> list[Column]:
+    at = lambda d: F.try_element_at(edge, (d - p).cast("int"))
+    return [at(p + 1).alias("name"), at(two_fattest(p, e)).alias("handle"), at(e).alias("key"), up.alias("up"), p.cast("int").alias("p"), e.cast("int").alias("e"), edge.alias("edge"), totals.alias("totals"), above.alias("above")]
 
 
-def _node(edge: Column, weights: Column, p: Column, e: Column, up: Column, total: Column) -> list[Column]:
-    at = lambda d: F.try_element_at(edge, (d - p).cast("int"))
-    return [at(p + 1).alias("name"), at(two_fattest(p, e)).alias("handle"), at(e).alias("key"), up.alias("up"), p.cast("int").alias("p"), e.cast("int").alias("e"), edge.alias("edge"), weights.alias("bytes"), total.alias("total")]
+def _last(array: str) -> Column:
+    return F.coalesce(F.try_element_at(array, F.lit(-1)), F.lit(0).cast("long"))
 
 
 def exits(strings: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
@@ -125,14 +128,14 @@ def exits(strings: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
         inside = met & (F.col("h_e") <= F.col("n")) & F.coalesce(_at("prefixes", F.col("h_e")) == F.col("h_key"), F.lit(False))
         a = F.when(inside, F.col("h_e")).when(met, F.col("h_p")).otherwise(F.col("a"))
         b = F.when(inside, F.col("b")).when(met, F.col("h_p")).when(searching, F.col("f") - 1).otherwise(F.col("b"))
-        found = found.select("sid", "n", "prefixes", "bytes", a.alias("a"), b.alias("b"))
+        found = found.select("sid", "n", "prefixes", "totals", a.alias("a"), b.alias("b"))
     edges = sent_if_small(nodes.select(F.col("name").alias("c_name"), F.col("e").alias("c_e"), "edge"), SENT_BYTES)
     found = found.withColumn("probe", F.when(F.col("a") < F.col("n"), _at("prefixes", F.col("a") + 1)).otherwise(F.unhex(F.md5("sid"))))
     found = found.join(edges, F.col("probe") == F.col("c_name"), "left")
     own = F.slice("prefixes", F.col("a") + 1, F.greatest(F.size("edge"), F.lit(1)))
     shared = F.size(F.filter(F.zip_with("edge", own, lambda u, v: F.coalesce(u == v, F.lit(False))), lambda same: same))
     x = F.when(F.col("c_e").isNull(), F.col("a")).otherwise(F.col("a") + shared)
-    return found.withColumn("x", x).select("sid", "n", "prefixes", "bytes", "x", F.when(F.col("x") < F.col("c_e"), F.col("c_name")).alias("cut"))
+    return found.withColumn("x", x).select("sid", "n", "prefixes", "totals", "x", F.when(F.col("x") < F.col("c_e"), F.col("c_name")).alias("cut"))
 
 
 def cut_edges(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -142,22 +145,21 @@ def cut_edges(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
     pieces = nodes.join(places, F.col("name") == F.col("c_name"), "left").withColumn("bounds", bounds)
     pieces = pieces.select("*", F.posexplode(F.slice("bounds", F.lit(1), F.size("bounds") - 1)).alias("i", "from")).withColumn("to", F.element_at("bounds", F.col("i") + 2))
     part = lambda c: F.slice(c, F.col("from") - F.col("p") + 1, F.col("to") - F.col("from"))
-    below = F.slice("bytes", F.col("to") - F.col("p") + 1, F.greatest(F.col("e") - F.col("to"), F.lit(0)))
-    up = F.when(F.col("i") == 0, F.col("up")).otherwise(F.try_element_at("edge", F.greatest(F.col("from") - F.col("p"), F.lit(1))))
-    pieces = pieces.select(F.col("from"), F.col("to"), part("edge").alias("_edge"), part("bytes").alias("_bytes"), up.alias("_up"), (F.col("total") - _sum(below)).alias("_total"))
-    return pieces.select(*_node(F.col("_edge"), F.col("_bytes"), F.col("from"), F.col("to"), F.col("_up"), F.col("_total")))
+    at_cut = lambda c, first: F.when(F.col("i") == 0, F.col(first)).otherwise(F.try_element_at(c, F.greatest(F.col("from") - F.col("p"), F.lit(1))))
+    pieces = pieces.select("from", "to", part("edge").alias("_edge"), part("totals").alias("_totals"), at_cut("edge", "up").alias("_up"), at_cut("totals", "above").alias("_above"))
+    return pieces.select(*_node(F.col("_edge"), F.col("_totals"), F.col("from"), F.col("to"), F.col("_up"), F.col("_above")))
 
 
 def compacted(strings: DataFrame) -> DataFrame:
-    """The nodes of the compacted trie of all strings: (sid, n, prefixes, bytes), each once."""
+    """The nodes of the compacted trie of all strings: (sid, n, prefixes, totals), each once."""
     spark = strings.sparkSession
     nodes = spark.createDataFrame([], NODE)
-    waiting = strings.where("n > 0").select("sid", "n", "prefixes", "bytes", F.lit(0).alias("a"))
+    waiting = strings.where("n > 0").select("sid", "n", "prefixes", "totals", F.lit(0).alias("a"))
     longest = waiting.agg(F.max("n")).first()[0] or 0
     left, first = bool(longest), True
     while left:
         if first:
-            out = waiting.select("sid", "n", "prefixes", "bytes", F.lit(0).alias("x"), F.lit(None).cast("binary").alias("cut"))
+            out = waiting.select("sid", "n", "prefixes", "totals", F.lit(0).alias("x"), F.lit(None).cast("binary").alias("cut"))
         else:
             out = stored(exits(waiting, nodes, longest), "trie-exits")
             nodes = cut_edges(nodes, out.where("cut IS NOT NULL").select("cut", "x"))
@@ -166,10 +168,10 @@ def compacted(strings: DataFrame) -> DataFrame:
         sent = sent_if_small(chosen, SENT_BYTES)
         leaf = beyond.join(sent, F.col("sid") == F.col("c_sid"), "left_semi")
         rest = lambda c: F.slice(c, F.col("x") + 1, F.col("n") - F.col("x"))
-        leaves = leaf.select("n", "x", rest("prefixes").alias("_edge"), rest("bytes").alias("_bytes"), _at("prefixes", F.col("x")).alias("_up"), _sum(F.col("bytes")).alias("_total"))
-        leaves = leaves.select(*_node(F.col("_edge"), F.col("_bytes"), F.col("x"), F.col("n"), F.col("_up"), F.col("_total")))
+        leaves = leaf.select("n", "x", rest("prefixes").alias("_edge"), rest("totals").alias("_totals"), _at("prefixes", F.col("x")).alias("_up"), F.when(F.col("x") == 0, F.lit(0).cast("long")).otherwise(F.try_element_at("totals", F.col("x"))).alias("_above"))
+        leaves = leaves.select(*_node(F.col("_edge"), F.col("_totals"), F.col("x"), F.col("n"), F.col("_up"), F.col("_above")))
         nodes = stored(leaves if first else nodes.unionByName(leaves), "trie-nodes")
-        waiting = stored(beyond.join(sent, F.col("sid") == F.col("c_sid"), "left_anti").select("sid", "n", "prefixes", "bytes", F.col("x").alias("a")), "trie-waiting")
+        waiting = stored(beyond.join(sent, F.col("sid") == F.col("c_sid"), "left_anti").select("sid", "n", "prefixes", "totals", F.col("x").alias("a")), "trie-waiting")
         left, first = not waiting.isEmpty(), False
     return nodes
 
@@ -182,8 +184,8 @@ def with_subtrees(nodes: DataFrame, ends: DataFrame) -> DataFrame:
     nearer than 2 ** k goes to its ancestor at that distance."""
     children = nodes.groupBy(F.col("up").alias("c_up")).agg(F.count("*").alias("children"))
     start = nodes.join(children, F.col("key") == F.col("c_up"), "left").join(ends, F.col("key") == F.col("sid"), "left")
-    start = start.withColumns({"children": F.coalesce("children", F.lit(0).cast("long")), "convs": F.coalesce("n_ends", F.lit(0).cast("long")), "weight": _sum(F.col("bytes"))})
-    start = stored(start.withColumns({"leaves": (F.col("children") == 0).cast("long"), "reach": F.col("convs") * F.col("total")}).drop("c_up", "sid", "n_ends"), "trie-start")
+    start = start.withColumns({"children": F.coalesce("children", F.lit(0).cast("long")), "convs": F.coalesce("n_ends", F.lit(0).cast("long")), "total": _last("totals")})
+    start = stored(start.withColumns({"leaves": (F.col("children") == 0).cast("long"), "reach": F.col("convs") * F.col("total"), "weight": F.col("total") - F.col("above")}).drop("c_up", "sid", "n_ends"), "trie-start")
     sums = ["convs", "leaves", "weight", "reach"]
     now = start.select("key", F.when(F.col("up") != _root(), F.col("up")).alias("jump"), *sums, "least")
     while not now.where("jump IS NOT NULL").isEmpty():
@@ -236,8 +238,8 @@ def prefix_trie(conversations: DataFrame, **columns: str) -> DataFrame:
     """
     spark = conversations.sparkSession
     rows = stored(with_prefixes(rebuilt(conversations, **columns)), "trie-strings")
-    strings = stored(rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefixes").alias("prefixes"), F.first("bytes").alias("bytes"), F.count("*").alias("n_ends"), F.min("conv_id").alias("least")), "trie-distinct")
-    total = strings.agg(F.sum("n_ends").alias("n"), F.min("least").alias("least"), F.sum(F.col("n_ends") * _sum(F.col("bytes"))).alias("reach")).first()
+    strings = stored(rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefixes").alias("prefixes"), F.first("totals").alias("totals"), F.count("*").alias("n_ends"), F.min("conv_id").alias("least")), "trie-distinct")
+    total = strings.agg(F.sum("n_ends").alias("n"), F.min("least").alias("least"), F.sum(F.col("n_ends") * _last("totals")).alias("reach")).first()
     if total["least"] is None:
         return spark.createDataFrame([], OUT)
     nodes = stored(with_subtrees(compacted(strings), strings.select("sid", "n_ends", "least")), "trie-subtrees")
@@ -251,11 +253,11 @@ def prefix_trie(conversations: DataFrame, **columns: str) -> DataFrame:
     )
     parents = sent_if_small(nodes.where("children > 0").select(F.col("key").alias("u_key"), F.col("least").alias("u_least")), SENT_BYTES)
     full = nodes.join(parents, F.col("up") == F.col("u_key"), "left").join(shas, F.col("key") == F.col("e_sid"), "left")
-    each = full.select("*", F.posexplode("bytes").alias("i", "own"))
-    last = F.col("i") == F.size("bytes") - 1
-    before = _sum(F.slice("bytes", F.lit(1), F.col("i")))  # on the edge, above this depth
+    each = full.select("*", F.posexplode("totals").alias("i", "here"))
+    last = F.col("i") == F.size("totals") - 1
+    before = F.when(F.col("i") == 0, F.col("above")).otherwise(F.get("totals", F.col("i") - 1))  # down to the depth above
     # Each member saves a depth's bytes once for each other one: bytes times members, less the bytes themselves.
-    saved = F.col("reach") - F.col("convs") * (F.col("total") - _sum(F.col("bytes")) + before) - (F.col("weight") - before)
+    saved = F.col("reach") - F.col("convs") * before - (F.col("weight") - (before - F.col("above")))
     out = each.select(
         F.col("least").alias("conv_id"), (F.col("p") + 1 + F.col("i")).cast("long").alias("depth"),
         F.when(F.col("i") > 0, F.col("least")).otherwise(F.coalesce("u_least", F.lit(total["least"]))).cast("long").alias("parent_conv_id"),
