@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, files, intervals, sequences
+from .plans import aggregates, files, intervals, sequences, streams
 
-MODULES = [intervals, aggregates, sequences, files]
+MODULES = [intervals, aggregates, sequences, files, streams]
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
