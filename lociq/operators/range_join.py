@@ -1,9 +1,12 @@
-"""Joins on interval predicates, planned as equi-joins on (partition key, bin).
-
-Spark would compare all rows of a chromosome with each other; with a bin of the position as a second
-key, rows meet only near each other, and a dense bin is one that adaptive execution can split. The
-exact predicate always remains, so the bin width decides the cost and never the result. Rows with a
-null bound or partition key match nothing.
+"""Joins on interval predicates, planned as equi-joins on (partition key, level, bin).
+
+Spark would compare all rows of a chromosome with each other; with a bin of the position as a further
+key, rows meet only near each other, and a dense bin is one that adaptive execution can split. Bins are
+nested: a level's are twice as wide as those of the one below. An interval stands in the bins of the lowest level whose
+width exceeds its length, two at most, and looks at each higher level that the other side's intervals stand
+in, two bins there at most. So an interval makes a few rows for each level in use, however long it is, and
+two intervals meet at the level of the longer one. The exact predicate always remains, so widths decide the
+cost and never the result. Rows with a null bound or partition key match nothing.
 """
 
 from __future__ import annotations
@@ -15,13 +18,25 @@ from pyspark.sql import functions as F
 KINDS = ("half_open", "closed", "contained")
 
 
-def _bin(position: Column, width: int) -> Column:
-    return F.floor(position / F.lit(width)).cast("long")
+def level_of(low: Column, high: Column, width: int) -> Column:
+    """The lowest level whose bins, width * 2 ** level, are wider than the interval is long."""
+    q = F.floor((high - low) / F.lit(width)).cast("long")
+    return F.when(q < 1, 0).otherwise(F.length(F.bin(q))).cast("int")
+
+
+def _bin(position: Column, level: Column, width: int) -> Column:
+    return F.floor(position / (F.lit(width) * F.call_function("shiftleft", F.lit(1).cast("long"), level))).cast("long")
+
+
+def _levels(rows: DataFrame, level: Column) -> Column:
+    """The levels that rows stand in, found in the same job: a short array."""
+    return F.coalesce(rows.select(F.collect_set(level)).scalar(), F.array().cast("array<int>"))
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    """All bins that an interval touches; of one that ends before it starts, those of its bounds."""
-    return F.explode(F.sequence(_bin(F.least(start, end), width), _bin(F.greatest(start, end), width)))
+def _places(levels: Column, low: Column, high: Column, width: int, side: str) -> Column:
+    """The bins between two positions at each of the levels, as (side, level, bin)."""
+    at = lambda level: F.transform(F.sequence(_bin(low, level, width), _bin(high, level, width)), lambda b: F.struct(F.lit(side).alias("side"), level.alias("level"), b.alias("bin")))
+    return F.flatten(F.transform(levels, at))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, *, kind: str = "half_open", by: str = "chrom", start: str = "start", end: str = "end", width: int = 10_000, suffix: str = "_r") -> DataFrame:
@@ -29,7 +44,7 @@ def overlap_join(left: DataFrame, right: DataFrame, *, kind: str = "half_open",
     both; the right's `by` is left out, its other columns get `suffix` where the left has their name.
 
     kind half_open: a.start < b.end and b.start < a.end; closed: <= in both; contained: b lies within a.
-    Each pair comes once: it is made only in the bin of the later of the two starts.
+    Each pair comes once: at the level of the longer interval, in the bin of the later of the two starts.
     """
     if kind not in KINDS:
         raise ValueError(kind)
@@ -37,27 +52,41 @@ def overlap_join(left: DataFrame, right: DataFrame, *, kind: str = "half_open",
     b = right.select(F.col(by).alias("_by"), *(F.col(c).alias(n) for c, n in renamed.items())).where(F.col(renamed[start]).isNotNull() & F.col(renamed[end]).isNotNull())
     a = left.where(F.col(start).isNotNull() & F.col(end).isNotNull())
     a_start, a_end, b_start, b_end = F.col(start), F.col(end), F.col(renamed[start]), F.col(renamed[end])
-    a = a.withColumn("_bin", _bins(a_start, a_end, width))
-    if kind == "contained":  # b's start says where the pair is made
-        b = b.withColumn("_bin_r", _bin(b_start, width))
+    a_low, a_high, b_low, b_high = F.least(a_start, a_end), F.greatest(a_start, a_end), F.least(b_start, b_end), F.greatest(b_start, b_end)
+    a_level, b_level = level_of(a_low, a_high, width), level_of(b_low, b_high, width)
+    a_levels, b_levels = F.col("_a_levels"), F.col("_b_levels")
+    plain_b, b = b, b.withColumn("_a_levels", _levels(a, a_level))
+    higher = lambda levels, mine, strictly: F.filter(levels, lambda x: (x > mine) if strictly else (x >= mine))
+    own = _places(F.array(a_level), a_low, a_high, width, "left")  # the left one is as long as the other, or longer
+    if kind == "contained":  # b isn't longer, and its start says where the pair is made
+        at_least = F.when(b_end >= b_start, b_level).otherwise(0)
+        a_at, b_at = own, _places(higher(a_levels, at_least, False), b_start, b_start, width, "left")
         test = (b_start >= a_start) & (b_end <= a_end)
     else:
-        b = b.withColumn("_bin_r", _bins(b_start, b_end, width))
+        a = a.withColumn("_b_levels", _levels(plain_b, b_level))
+        a_at = F.concat(own, _places(higher(b_levels, a_level, True), a_low, a_high, width, "right"))
+        looked_for = F.when(F.exists(a_levels, lambda x: x < b_level), F.array(b_level)).otherwise(F.array().cast("array<int>"))
+        b_at = F.concat(_places(higher(a_levels, b_level, False), b_low, b_high, width, "left"), _places(looked_for, b_low, b_high, width, "right"))
         test = (a_start < b_end) & (b_start < a_end) if kind == "half_open" else (a_start <= b_end) & (b_start <= a_end)
-        test &= F.col("_bin") == _bin(F.greatest(F.least(a_start, a_end), F.least(b_start, b_end)), width)
-    return a.join(b, (F.col(by) == F.col("_by")) & (F.col("_bin") == F.col("_bin_r")) & test).drop("_by", "_bin", "_bin_r")
+        test &= F.col("_at.bin") == _bin(F.greatest(a_low, b_low), F.col("_at.level"), width)
+    a, b = a.withColumn("_at", F.explode(a_at)), b.withColumn("_at_r", F.explode(b_at))
+    same = [F.col(f"_at.{c}") == F.col(f"_at_r.{c}") for c in ("side", "level", "bin")]
+    return a.join(b, (F.col(by) == F.col("_by")) & same[0] & same[1] & same[2] & test).drop("_by", "_at", "_at_r", "_a_levels", "_b_levels")
 
 
 def window_join(left: DataFrame, right: DataFrame, low: Column, high: Column, position: str, *, by: str = "chrom", width: int = 1_000, suffix: str = "_r") -> DataFrame:
     """All pairs where the right's `position` lies between `low` and `high` (columns of the left), both
-    included. The left is exploded over the bins of its window, the right stands in one bin."""
+    included. A window stands in the bins of its level, a position looks at each level in use."""
     renamed = {c: c + suffix if c in left.columns else c for c in right.columns if c != by}
     b = right.select(F.col(by).alias("_by"), *(F.col(c).alias(n) for c, n in renamed.items()))
-    b = b.withColumn("_bin_r", _bin(F.col(renamed[position]), width))
     a = left.withColumns({"_low": low, "_high": high}).where("_low <= _high")
-    a = a.withColumn("_bin", _bins(F.col("_low"), F.col("_high"), width))
-    near = F.col(renamed[position]).between(F.col("_low"), F.col("_high"))
-    return a.join(b, (F.col(by) == F.col("_by")) & (F.col("_bin") == F.col("_bin_r")) & near).drop("_by", "_bin", "_bin_r", "_low", "_high")
+    level = level_of(F.col("_low"), F.col("_high"), width)
+    at = F.col(renamed[position])
+    b = b.where(at.isNotNull()).withColumn("_levels", _levels(a, level))
+    b = b.withColumn("_at_r", F.explode(_places(F.col("_levels"), at, at, width, "left")))
+    a = a.withColumn("_at", F.explode(_places(F.array(level), F.col("_low"), F.col("_high"), width, "left")))
+    same = (F.col("_at.level") == F.col("_at_r.level")) & (F.col("_at.bin") == F.col("_at_r.bin"))
+    return a.join(b, (F.col(by) == F.col("_by")) & same & at.between(F.col("_low"), F.col("_high"))).drop("_by", "_at", "_at_r", "_levels", "_low", "_high")
 
 
 def has_overlap(left: DataFrame, right: DataFrame, *, key: str, kind: str = "closed", by: str = "chrom", start: str = "start", end: str = "end", width: int = 10_000) -> DataFrame:
@@ -68,6 +97,11 @@ def has_overlap(left: DataFrame, right: DataFrame, *, key: str, kind: str = "clo
 def contained_in(rows: DataFrame, regions: DataFrame, *, by: str = "chrom", start: str = "start", end: str = "end", width: int = 10_000) -> DataFrame:
     """Rows that lie within one of the regions; each once, as it is."""
     r = regions.select(F.col(by).alias("_by"), F.col(start).alias("_from"), F.col(end).alias("_to")).where("_from <= _to")
-    r = r.withColumn("_bin_r", _bins(F.col("_from"), F.col("_to"), width))
+    level = level_of(F.col("_from"), F.col("_to"), width)
+    numbered = rows.withColumns({"_row": F.monotonically_increasing_id(), "_levels": _levels(r, level)})
+    r = r.withColumn("_at_r", F.explode(_places(F.array(level), F.col("_from"), F.col("_to"), width, "left")))
+    looks = numbered.where(F.col(start).isNotNull()).withColumn("_at", F.explode(_places(F.col("_levels"), F.col(start), F.col(start), width, "left")))
+    same = (F.col("_at.level") == F.col("_at_r.level")) & (F.col("_at.bin") == F.col("_at_r.bin"))
     inside = (F.col(start) >= F.col("_from")) & (F.col(end) <= F.col("_to"))
-    return rows.withColumn("_bin", _bin(F.col(start), width)).join(r, (F.col(by) == F.col("_by")) & (F.col("_bin") == F.col("_bin_r")) & inside, "left_semi").drop("_bin")
+    found = looks.join(r, (F.col(by) == F.col("_by")) & same & inside, "left_semi").drop("_at", "_levels")
+    return found.dropDuplicates(["_row"]).drop("_row")  # a row that lies in regions of several levels

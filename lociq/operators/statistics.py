@@ -11,21 +11,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import stored
 
-#: Pieces that the distinct values of a group are ordered in.
-SLICES = 64
+#: Pieces that the distinct values of a group are ordered in, where one has more than FEW_VALUES.
+SLICES, FEW_VALUES = 64, 200_000
 #: Cuts that are looked at together.
 CHUNK = 8
 #: Columns whose correlations are plain aggregates; with more, sums of products by blocks of columns.
 FEW_COLUMNS, BLOCK = 16, 256
 
 
-def ordered_counts(counts: DataFrame, by: list[str], value: str, *, slices: int = SLICES) -> DataFrame:
+def ordered_counts(counts: DataFrame, by: list[str], value: str, *, slices: int = SLICES, few: int = FEW_VALUES) -> DataFrame:
     """counts: (by, value, _n), each value of a group once. Adds _below, the rows of its group with smaller
-    values, and _total, those of its group.
-
-    The values of each group are cut into slices at its own approximate quantiles; each slice is ordered by
-    itself and starts at the count of those below it, so that a group of any size is ordered by many tasks."""
+    values, and _total, those of its group. The counts are stored first, so that the rows are read once.
+
+    A group's values are ordered in one task as long as no group has more than `few`. Otherwise the values of each
+    group are cut into slices at its own approximate quantiles; each slice is ordered by itself and starts at the
+    count of those below it, so that a group of any size is ordered by many tasks."""
+    counts = stored(counts, "counts")
+    if (counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= few:
+        whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumns({"_below": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_total": F.sum("_n").over(whole)})
     keys = [f"_k{i}" for i in range(len(by))]
     shares = [i / slices for i in range(1, slices)]
     cuts = counts.groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys))).agg((F.percentile_approx(value, shares, 2_000) if shares else F.array()).alias("_cuts"))
@@ -48,11 +55,11 @@ def ordered_counts(counts: DataFrame, by: list[str], value: str, *, slices: int
     return rows.select(*counts.columns, (F.col("_start") + F.col("_inside")).alias("_below"), "_total")
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], *, slices: int = SLICES) -> DataFrame:
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], *, slices: int = SLICES, few: int = FEW_VALUES) -> DataFrame:
     """Exact quantiles with linear interpolation, one column each: q0, q1, ... A group without values has
     none; without groups, there is one row."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    placed = ordered_counts(counts, by, "_v", slices=slices)
+    placed = ordered_counts(counts, by, "_v", slices=slices, few=few)
     at = [F.lit(q) * (F.col("_total") - 1) for q in shares]
     holds = lambda place: F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), F.col("_v")))
     aggs = [a for i, p in enumerate(at) for a in (holds(F.floor(p)).alias(f"_l{i}"), holds(F.ceil(p)).alias(f"_h{i}"))]
@@ -136,11 +143,11 @@ def correlation_difference(one: DataFrame, two: DataFrame) -> DataFrame:
     return d.withColumn("scaled", F.try_divide("difference", d.select(F.max(F.abs("difference"))).scalar()))
 
 
-def average_ranks(rows: DataFrame, by: list[str], value: str, name: str, *, slices: int = SLICES) -> DataFrame:
+def average_ranks(rows: DataFrame, by: list[str], value: str, name: str, *, slices: int = SLICES, few: int = FEW_VALUES) -> DataFrame:
     """The rank of each row's value among those of its group, ties with their average rank; null for null.
     Ranks are made from the counts of distinct values, so that ties don't weigh."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    ranked = ordered_counts(counts, by, "_v", slices=slices).select(*(F.col(b).alias(f"_{b}") for b in by), "_v", _rank().alias(name))
+    ranked = ordered_counts(counts, by, "_v", slices=slices, few=few).select(*(F.col(b).alias(f"_{b}") for b in by), "_v", _rank().alias(name))
     same = [F.col(value) == F.col("_v"), *(F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by)]
     return rows.join(ranked, same, "left").drop("_v", *(f"_{b}" for b in by))
 
@@ -177,15 +184,16 @@ def student_tails(t: pd.Series, freedom: pd.Series) -> pd.Series:
     return pd.Series([math.nan if u is None or v is None else one(float(u), float(v)) for u, v in zip(t, freedom)])
 
 
-def spearman(rows: DataFrame, by: list[str], a: str, b: str, *, slices: int = SLICES) -> DataFrame:
+def spearman(rows: DataFrame, by: list[str], a: str, b: str, *, slices: int = SLICES, few: int = FEW_VALUES) -> DataFrame:
     """Rank correlation of two columns over rows that have both, per group: n, rho, t and the two-sided p of
     the t approximation (null where a column doesn't vary or there are fewer than three rows). All comes
-    from the counts of pairs of values."""
-    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("_pairs"))
+    from the counts of pairs of values, which are stored first."""
+    given = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("_pairs"))
+    given = pairs = stored(given, "pairs")
 
     def ranks(value: str) -> DataFrame:
-        counts = pairs.groupBy(*by, value).agg(F.sum("_pairs").alias("_n"))
-        return ordered_counts(counts, by, value, slices=slices).select(*(F.col(x).alias(f"_k{i}") for i, x in enumerate(by)), F.col(value).alias("_x"), (_rank() - (F.col("_total") + 1) / 2).alias(f"{value}_rank"))
+        counts = given.groupBy(*by, value).agg(F.sum("_pairs").alias("_n"))
+        return ordered_counts(counts, by, value, slices=slices, few=few).select(*(F.col(x).alias(f"_k{i}") for i, x in enumerate(by)), F.col(value).alias("_x"), (_rank() - (F.col("_total") + 1) / 2).alias(f"{value}_rank"))
 
     for value in ("_a", "_b"):
         same = [F.col(value) == F.col("_x"), *(F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(by))]

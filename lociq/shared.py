@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -20,3 +20,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
     return path
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """df, written to a folder of its own and read again: what is used several times is made once."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
