@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_flags, id_mod, read_table, slices, text_bytes
+from .common import bounded_batches, byte_flags, id_mod, read_table, slices, text_bytes, word_spans
 from .counts import class_counts, lower_latin
 
 BUCKETS = 1 << 16
@@ -35,22 +35,19 @@ CHUNK = 1_000_000
 
 def _word_trigrams(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
     """Buckets of the trigrams of all words, where each word's begin, and words before each text.
-    Words are runs of letters; a word of n bytes has n + 1 trigrams, with a space before and after."""
-    n = len(offsets) - 1
-    spread = np.full(len(data) + n + 2, 0x20, np.uint8)  # two spaces first, then one after each text
-    place = np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets)) + 2
-    spread[place] = lower_latin(data)
-    letter = LETTER_BYTES[spread].astype(bool)
-    spread[~letter] = 0x20
+    Words are runs of letters; a word of n bytes has n + 1 trigrams, with two spaces before and one after it,
+    whatever stands around it."""
+    low = lower_latin(data)
+    starts, ends, first = word_spans(low, offsets, LETTER_BYTES)
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    spread = np.full(int(sizes.sum()) + 2 * len(sizes) + 1, 0x20, np.uint8)  # two spaces before each word, one at the end
+    letter = np.zeros(len(spread), bool)
+    letter[np.arange(int(sizes.sum())) + np.repeat(2 * np.arange(len(sizes)) + 2, sizes)] = True
+    spread[letter] = low[LETTER_BYTES[low].astype(bool)]
     code = spread.astype(np.uint32)
     tri = ((code[:-2] << 16 | code[1:-1] << 8 | code[2:]) * np.uint32(2654435761) >> np.uint32(33 - int(buckets).bit_length())).astype(np.int32)
-    inside = letter[2:] | letter[1:-1]  # a letter, or the space after a word
-    first_letter = letter[2:] & ~letter[1:-1]
-    ids = tri[inside]
-    begins = np.flatnonzero(first_letter[inside])
-    starts = np.flatnonzero(first_letter)
-    first = np.searchsorted(starts, offsets + np.arange(n + 1))
-    return ids, begins, first
+    return tri[letter[2:] | letter[1:-1]], before + np.arange(len(sizes)), first  # up to the space after a word
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
