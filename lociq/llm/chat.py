@@ -84,8 +84,8 @@ def swapped_answers(turns: DataFrame, conversation: str = "conv_id", *, turn_col
     """(pair_id, c, r) from conversations without preferences, for formatted(): c is a conversation up to
     its last answer, r the same with the last answer of its partner instead, a wrong one. Conversations
     2k and 2k + 1 are partners; one without an answer, or whose partner has none, makes no pair. Turns are
-    ordered and counted as in preference_pairs(); a null id makes no pair."""
-    rows = turns.select(F.col(conversation).cast("long").alias("id"), _turn(turn_col, role_col, text_col).alias("t")).where("id IS NOT NULL")
+    ordered and counted as in preference_pairs(); an id that is null or no whole number makes no pair."""
+    rows = turns.select(F.col(conversation).try_cast("long").alias("id"), _turn(turn_col, role_col, text_col).alias("t")).where("id IS NOT NULL")
     whole = rows.groupBy("id").agg(_listed(F.col("t")).alias("all"))
     places = F.transform("all", lambda t, i: F.when(t["role"] == answers, i + 1))
     whole = whole.withColumn("at", F.array_max(places)).where("at IS NOT NULL").withColumn("answer", F.element_at("all", F.col("at")))
