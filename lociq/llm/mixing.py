@@ -65,20 +65,23 @@ def copies(table: Column, parts: Column, seed: str, *key: Column) -> Column:
     return F.aggregate(drawn, F.lit(0), lambda total, u: total + F.size(F.filter(table, lambda p: p < u)))
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", *, scale: float = 1.0, seed: str = "mix") -> DataFrame:
+def mixed(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, scale: float = 1.0, seed: str = "mix") -> DataFrame:
     """All columns of docs, then _copy (0, 1, ...) and _order (a hash): each document as often as its
     source's rate and its hash say, in a global random order.
 
     Shares are counted in documents; the mix has about scale * (documents in docs) rows. weights: a
     table (source, weight), None for equal weights. Null is a source like others; weights of a repeated
-    source are added up. A source with no weight, or one of 0 or less, gives no rows; if no weight is above 0 there are none at all. Null
-    ids are hashed like the empty text; repeated rows have the same hash and are repeated alike. Texts
-    aren't looked at, so null and long ones are as good as others. An empty table gives no rows. If
-    docs has columns _copy or _order already, they are replaced.
+    source are added up. A source with no weight, or one of 0 or less, gives no rows; if no weight is above 0 there are none at all.
+    A row's hash is of its id and text (the id alone if there is no such column), null like the empty text, so that
+    rows without an id, or of one id, are drawn each by itself; rows that repeat both are repeated alike. An empty
+    table gives no rows. If docs has columns _copy or _order already, they are replaced.
     """
     spark, names = docs.sparkSession, [c for c in docs.columns if c not in ("_copy", "_order")]
     plain = docs.select(*names).toDF(*(f"c{i}" for i in range(len(names))))
     key, source = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(source_col)}")
+    text = F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit("")) if text_col in names else F.lit("")
+    columns, plain = plain.columns, plain.withColumn("_key", F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.md5(text)))
+    key = F.col("_key")
     rates = repetition_rates(docs, weights, source_col, scale)
     few = docs.select(F.col(source_col)).distinct().limit(MAX_SENT_SOURCES + 1).count() <= MAX_SENT_SOURCES
     if few:
@@ -90,7 +93,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_
     out = counted.select(*plain.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     out = out.withColumn("_order", uniform(seed + "-order", key, F.col("_copy")))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(partitions, "_order").sortWithinPartitions("_order").toDF(*names, "_copy", "_order")
+    return out.select(*columns, "_copy", "_order").repartition(partitions, "_order").sortWithinPartitions("_order").toDF(*names, "_copy", "_order")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +115,11 @@ terms AS (
   SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS total FROM parted
   UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), total + p * mean / (k + 1) FROM terms WHERE k < {TERMS - 1}
 ),
-d AS (SELECT row_number() OVER () AS row_no, * FROM {table}),
-u AS (SELECT row_no, source, {_sql_uniform(seed, "part", "doc_id")} AS u FROM (SELECT d.row_no, d.doc_id, d.source, unnest(range(1, parts + 1)) AS part FROM d JOIN parted ON d.source IS NOT DISTINCT FROM parted.source)),
+d AS (SELECT row_number() OVER () AS row_no, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS key, * FROM {table}),
+u AS (SELECT row_no, source, {_sql_uniform(seed, "part", "key")} AS u FROM (SELECT d.row_no, d.key, d.source, unnest(range(1, parts + 1)) AS part FROM d JOIN parted ON d.source IS NOT DISTINCT FROM parted.source)),
 n AS (SELECT row_no, CAST(sum((SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM u.source AND t.total < u.u)) AS BIGINT) AS n FROM u GROUP BY row_no),
 c AS (SELECT d.* EXCLUDE (row_no), CAST(unnest(range(0, n)) AS INTEGER) AS _copy FROM d JOIN n USING (row_no))
-SELECT *, {_sql_uniform(seed + "-order", "doc_id", "_copy")} AS _order FROM c
+SELECT * EXCLUDE (key), {_sql_uniform(seed + "-order", "key", "_copy")} AS _order FROM c
 """
 
 
