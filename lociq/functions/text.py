@@ -85,3 +85,22 @@ def significant(c: Column, digits: int) -> Column:
 def variation(deviation: Column, mean: Column) -> Column:
     """Coefficient of variation; null for a mean of 0."""
     return F.try_divide(deviation, mean)
+
+
+def six_digits(c: Column) -> Column:
+    """A number as C++ streams write it: six significant digits, without trailing zeros, with an exponent below
+    1e-4 and from 1e6 on."""
+    text = F.format_string("%.5e", F.abs(c))
+    digits, exponent = F.concat(F.substring(text, 1, 1), F.substring(text, 3, 5)), F.substring_index(text, "e", -1)
+    e = exponent.cast("int")
+    shown = lambda whole, part: F.regexp_replace(F.concat(whole, F.lit("."), part), r"\.?0+$", "")
+    plain = F.when(e < 0, shown(F.lit("0"), F.concat(F.repeat(F.lit("0"), -e - 1), digits))).otherwise(shown(F.substr(digits, F.lit(1), e + 1), F.substr(digits, e + 2)))
+    scientific = F.concat(shown(F.substring(digits, 1, 1), F.substring(digits, 2, 5)), F.lit("e"), exponent)
+    number = F.when(c == 0, "0").when((e < -4) | (e > 5), scientific).otherwise(plain)
+    number = F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), "inf").otherwise(number)
+    return F.when(c < 0, F.concat(F.lit("-"), number)).otherwise(number)
+
+
+def short_name(name: str) -> str:
+    """Of a motif's file: up to the second underscore."""
+    return "_".join(name.split("_")[:2])

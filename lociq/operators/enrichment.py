@@ -74,6 +74,49 @@ def site_counts(sites: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return sites.agg(*(F.count_if(c).alias(k) for k, c in conditions.items()))
 
 
+def condition_table(sites: DataFrame, elementary: list[Column], wanted: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts of many combinations of a few elementary conditions (null is false), from one scan of the sites.
+
+    wanted: (name columns, all array<int>, any array<int>): rows that fulfil all conditions of the one list and, if
+    the other isn't empty, at least one of it, by their places in `elementary`. Sites are counted by the pattern of the
+    conditions that they fulfil, as bits; in the array of these counts, one pass for each bit adds what has the bit to
+    what needn't have it. Then each place holds the sites that fulfil at least its bits, and `any` follows by
+    inclusion and exclusion over the subsets of its list. Returns `by`, the name columns and n."""
+    by, bits = by or [], len(elementary)
+    pattern = F.lit(0)
+    for i, c in enumerate(elementary):
+        pattern = pattern + F.when(c, 1 << i).otherwise(0)
+    counts = sites.groupBy(*by, pattern.alias("pattern")).agg(F.count("*").alias("n")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("pattern", "n"))).alias("of"))
+    sums = F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda m: F.coalesce(F.try_element_at("of", m), F.lit(0).cast("long")))
+    table = counts.select(*by, sums.alias("s0"))
+    without = lambda i: lambda v, m: v + F.when(m.bitwiseAND(F.lit(1 << i)) == 0, F.get(f"s{i}", m + (1 << i))).otherwise(0)
+    for i in range(bits):
+        table = table.select(*by, F.transform(f"s{i}", without(i)).alias(f"s{i + 1}"))
+    mask = lambda places: F.aggregate(places, F.lit(0), lambda m, p: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), p)))
+    # Subsets of `any` as (mask, sign); without any, the empty one alone counts.
+    subsets = F.aggregate("any", F.array(F.struct(F.lit(0).alias("mask"), F.lit(-1).alias("sign"))), lambda acc, p: F.concat(acc, F.transform(acc, lambda s: F.struct(s["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1), p)).alias("mask"), (-s["sign"]).alias("sign")))))
+    terms = F.when(F.size("any") == 0, F.array(F.struct(F.lit(0).alias("mask"), F.lit(1).alias("sign")))).otherwise(F.filter(subsets, lambda s: s["mask"] != 0))
+    names = [c for c in wanted.columns if c not in ("all", "any")]
+    asked = wanted.withColumns({"_all": mask(F.col("all")), "_terms": terms}).select(F.collect_list(F.struct(*names, "_all", "_terms"))).scalar()
+    full = table.withColumn("_asked", asked).select(*by, f"s{bits}", F.explode("_asked").alias("_a"))
+    n = F.aggregate("_a._terms", F.lit(0).cast("long"), lambda total, t: total + t["sign"] * F.get(f"s{bits}", t["mask"].bitwiseOR(F.col("_a._all"))))
+    return full.select(*by, *(F.col(f"_a.{c}").alias(c) for c in names), n.alias("n"))
+
+
+def isoform_table(sites: DataFrame, cell_lines: list[str], *, target: str = "tp73", least: int = 1, in_promoter: str = "in_promoter", by: list[str] | None = None) -> DataFrame:
+    """cell_line, isoform (ignored, TA, DN, GFP, any, TAandDN, all), in_promoter (maybe, yes) and n: the sites
+    whose signals are at least `least`."""
+    isoforms = ("TA", "DN", "GFP")
+    elementary = [F.col(f"{target}_{c}_{i}") >= least for c in cell_lines for i in isoforms] + [F.col(in_promoter)]
+    rows = []
+    for k, c in enumerate(cell_lines):
+        ta, dn, gfp = range(3 * k, 3 * k + 3)
+        kinds = {"ignored": ([], []), "TA": ([ta], []), "DN": ([dn], []), "GFP": ([gfp], []), "any": ([], [ta, dn, gfp]), "TAandDN": ([ta, dn], []), "all": ([ta, dn, gfp], [])}
+        rows += [(c, kind, where, every + ([len(elementary) - 1] if where == "yes" else []), some) for kind, (every, some) in kinds.items() for where in ("maybe", "yes")]
+    wanted = sites.sparkSession.createDataFrame(rows, "cell_line string, isoform string, in_promoter string, all array<int>, any array<int>")
+    return condition_table(sites, elementary, wanted, by)
+
+
 def enrichment(context: DataFrame, selected: Column) -> DataFrame:
     """Per motif: share of rows with a hit among the selected, among all, and log2 of their ratio."""
     one = (F.col("num_in_window") > 0).cast("int")

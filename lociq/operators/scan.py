@@ -14,6 +14,8 @@ from .range_join import contained_in
 
 #: Letters that one numpy pass looks at.
 PASS_LETTERS = 1 << 20
+#: Letters that are looked up together.
+GROUP = 4
 #: Motifs whose matrices are sent to the tasks together; more of them go in several passes.
 SENT_MOTIFS = 2_000
 
@@ -42,6 +44,47 @@ def _sides(w: list[dict[str, float]], skip_n: bool) -> dict[str, np.ndarray]:
     return {"+": matrix(w, BASES), "-": matrix(w[::-1], BASES[::-1])}
 
 
+def _four(codes: np.ndarray) -> np.ndarray:
+    """Each place's next four letters as one code; there are fives beyond the end."""
+    wide = np.concatenate([codes, np.full(GROUP, 5, np.uint8)]).astype(np.uint16)
+    n = len(codes)
+    return ((wide[:n] * 6 + wide[1 : n + 1]) * 6 + wide[2 : n + 2]) * 6 + wide[3 : n + 3]
+
+
+def _groups(w: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray, float]]:
+    """The matrix by groups of four letters: (first position, score of each code, least score to go on with after
+    it). The group that the fewest windows of bases pass comes first."""
+    found = []
+    for at in range(0, len(w), GROUP):
+        a, b, c, d = np.concatenate([w[at : at + GROUP], np.zeros((max(0, at + GROUP - len(w)), 6))])
+        found.append((at, (a[:, None, None, None] + b[:, None, None] + c[:, None] + d).ravel().astype(np.float32)))
+    most = sum(float(t.max()) for _, t in found)
+    passing = lambda t: np.mean(t.reshape(6, 6, 6, 6)[:4, :4, :4, :4] >= threshold - (most - t.max()))
+    found.sort(key=lambda g: passing(g[1]))
+    out, rest = [], most
+    slack = 1e-4 * (1 + abs(threshold) + abs(most)) if np.isfinite(most) else 0.0
+    for at, table in found:
+        rest -= float(table.max())
+        out.append((at, table, threshold - rest - slack))
+    return out
+
+
+def _candidates(four: np.ndarray, n: int, w: np.ndarray, threshold: float) -> np.ndarray:
+    """The windows that may reach the threshold: one look at a group's scores for each window, and at the next
+    group's only for those that could still reach it with the best of all others."""
+    if not np.isfinite(w).any(axis=1).all():
+        return np.zeros(0, np.int64)  # a place where no letter may stand
+    (at, table, least), *others = _groups(w, threshold)
+    score = table.take(four[at : at + n])
+    alive = np.flatnonzero(score >= least)
+    score = score[alive]
+    for at, table, least in others:
+        score += table.take(four[alive + at])
+        keep = score >= least
+        alive, score = alive[keep], score[keep]
+    return alive
+
+
 def _pieces(batch: pa.RecordBatch, reach: int):
     """(row, first letter, letters of its own, bytes in upper case) of each sequence; a long one in several
     pieces, each with the first `reach` letters of what follows."""
@@ -72,7 +115,8 @@ def scan(sequences: DataFrame, motifs: DataFrame, threshold: float = 0.0, *, ski
     makes them, with an overlap of the longest motif less one; of any length and case. motifs: motif_id
     and w (see weights()). start is 1-based and end is start + length, on both strands in forward
     coordinates. A window with a letter that can't occur at its place has no score. A sequence is encoded
-    once, all matrices slide over it as vectors, and only hits leave the task: nothing is shuffled. Null
+    once, four letters to a code; a matrix looks up its most selective group of four for all windows at once, and the
+    others only where the threshold can still be reached. Only hits leave the task: nothing is shuffled. Null
     and empty sequences have no hits; without motifs there are none.
     """
     pieces = "chunk_start" in sequences.columns
@@ -97,6 +141,7 @@ def _scan(rows: DataFrame, motifs: DataFrame, threshold: float, skip_n: bool, sc
             for group in _passes(_pieces(batch, reach)):
                 letters = np.frombuffer(b"\n".join(p[3] for p in group) + b"\n", np.uint8)
                 codes = _CODE[letters]
+                four = _four(codes)
                 begins = np.concatenate([[0], np.cumsum([len(p[3]) + 1 for p in group])])[:-1]
                 row, first, mine = (np.array([p[k] for p in group]) for k in range(3))
                 for motif, sides in sent.value:
@@ -104,13 +149,14 @@ def _scan(rows: DataFrame, motifs: DataFrame, threshold: float, skip_n: bool, sc
                         n = len(codes) - len(w) + 1
                         if n <= 0:
                             continue
-                        score = w[0][codes[:n]]
+                        at = _candidates(four, n, w, threshold)
+                        score = w[0][codes[at]]
                         for i in range(1, len(w)):
-                            score += w[i][codes[i : i + n]]
-                        at = np.flatnonzero(score >= threshold)
+                            score += w[i][codes[at + i]]
+                        at, score = at[score >= threshold], score[score >= threshold]
                         piece = np.searchsorted(begins, at, side="right") - 1
                         inside = at - begins[piece] < mine[piece]
-                        at, piece = at[inside], piece[inside]
+                        at, piece, score = at[inside], piece[inside], score[inside]
                         if not len(at):
                             continue
                         match = letters[at[:, None] + np.arange(len(w))]
@@ -119,7 +165,7 @@ def _scan(rows: DataFrame, motifs: DataFrame, threshold: float, skip_n: bool, sc
                         match = pa.array(np.ascontiguousarray(match).view(f"S{len(w)}").ravel().tolist(), pa.binary()).cast(pa.string())
                         begin = chunk_start[row[piece]] + first[piece] + at - begins[piece] + 1
                         same = lambda x: pa.array([x] * len(at), pa.string())  # noqa: B023, E731
-                        yield pa.RecordBatch.from_arrays([same(motif), chroms.take(pa.array(row[piece])), pa.array(begin), pa.array(begin + len(w)), pa.array(score[at]), same(strand), match], names=["motif_id", "chrom", "start", "end", "score", "strand", "match"])
+                        yield pa.RecordBatch.from_arrays([same(motif), chroms.take(pa.array(row[piece])), pa.array(begin), pa.array(begin + len(w)), pa.array(score), same(strand), match], names=["motif_id", "chrom", "start", "end", "score", "strand", "match"])
 
     return rows.mapInArrow(run, schema)
 

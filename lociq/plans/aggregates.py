@@ -135,6 +135,18 @@ def a15_site_counts(spark, sf_dir):
     return E.site_counts(context(spark, sf_dir), _conditions())
 
 
+_ISOFORM = {"ignored": "TRUE", "TA": "{ta} >= 2", "DN": "{dn} >= 2", "GFP": "{gfp} >= 2", "any": "({ta} >= 2 OR {dn} >= 2 OR {gfp} >= 2)", "TAandDN": "{ta} >= 2 AND {dn} >= 2", "all": "{ta} >= 2 AND {dn} >= 2 AND {gfp} >= 2"}
+_LINES = {"skmel29_2": {"ta": "ta", "dn": "dn", "gfp": "gfp"}, "saos2": {"ta": "pta", "dn": "pdn", "gfp": "pgfp"}}
+
+
+@query(f"WITH {CONTEXT} " + " UNION ALL ".join(f"SELECT chrom, '{c}' AS cell_line, '{i}' AS isoform, '{w}' AS in_promoter, count(*) FILTER (WHERE {t.format(**cols)}{' AND prom' if w == 'yes' else ''}) AS n FROM context GROUP BY chrom" for c, cols in _LINES.items() for i, t in _ISOFORM.items() for w in ("maybe", "yes")))
+def a15_table_of_all_conditions(spark, sf_dir):
+    """Two cell lines, seven isoforms, in the promoter or anywhere, for each chromosome: 28 counts from one scan."""
+    rows = context(spark, sf_dir)
+    rows = rows.withColumnsRenamed({f"pos_skmel29_2_{i}": f"tp73_saos2_{i}" for i in ("TA", "DN", "GFP")})
+    return E.isoform_table(rows, ["skmel29_2", "saos2"], least=2, by=["chrom"])
+
+
 @query(f"""WITH {CONTEXT}, m AS (SELECT motif, avg(CAST(n > 0 AS INTEGER)) FILTER (WHERE ta > 4 AND prom) AS a, avg(CAST(n > 0 AS INTEGER)) AS b FROM context GROUP BY motif) SELECT motif, round(a, 6) AS mean_selected, round(b, 6) AS mean_all, round(log2(nullif(a / nullif(b, 0), 0)), 6) AS log_enrichment FROM m""")
 def a16_a17_enrichment(spark, sf_dir):
     return rounded(E.enrichment(context(spark, sf_dir), (F.col(TA) > 4) & F.col("in_promoter")))

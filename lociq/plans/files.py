@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import motif as M
+from ..operators.annotate import best_hits
 from ..operators.scan import scan
 from ..schema import SIGNALS
 from ..shared import shared_dir
 from ..sources import readers as R
 from ..sources import writers as W
+from .intervals import _BEST, NEAR
 from .registry import registry
 from .sequences import SCAN, matrices, sequences
 from .stand_ins import GENES, LOCI, SITES, genes, loci, rounded, sites, table
@@ -187,6 +189,31 @@ def snk3_context_text(spark, sf_dir):
     return spark.read.schema("site_id long, shift string, name string").option("header", True).option("sep", "\t").csv(path)
 
 
+_MANY = 400
+_LINE = "concat_ws(chr(9), m.chrom, m.s, m.e, 'S' || m.site_id, CAST(m.score AS VARCHAR), m.strand)"
+
+
+@query(_BEST.format(gate=f"EXISTS (SELECT 1 FROM m WHERE m.chrom = h.chrom AND m.e + {NEAR} >= h.e AND m.s - {NEAR} <= h.s)", window="").replace("h.name AS motif", f"h.name || '_' || (h.site_id % {_MANY}) AS motif").replace("SELECT site_id, motif, shift", ", best AS (SELECT site_id, motif, shift") + f"""),
+motifs AS (SELECT name || '_' || i AS motif, row_number() OVER (ORDER BY name, i) AS place FROM (SELECT DISTINCT name FROM sites), range({_MANY}) t(i)),
+w AS (SELECT m.site_id, string_agg(CASE WHEN b.motif IS NULL THEN 'NA' || chr(9) || 'NA' || chr(9) || 'NA' || chr(9) || '0' ELSE concat_ws(chr(9), b.shift, printf('%g', b.score), b.strand_equal, b.num_in_window) END, chr(9) ORDER BY place) AS fields
+  FROM m CROSS JOIN motifs LEFT JOIN best b ON b.site_id = m.site_id AND b.motif = motifs.motif GROUP BY m.site_id)
+SELECT 'S' || site_id AS name, md5({_LINE} || chr(9) || fields) AS line, CAST(6 + 4 * (SELECT count(*) FROM motifs) AS BIGINT) AS n_fields FROM m JOIN w USING (site_id)
+UNION ALL SELECT 'Name', md5('Chr' || chr(9) || 'Start' || chr(9) || 'End' || chr(9) || 'Name' || chr(9) || 'Score' || chr(9) || 'Strand' || string_agg(chr(9) || motif || '_Shift' || chr(9) || motif || '_Score' || chr(9) || motif || '_StrandEqual' || chr(9) || motif || '_NumInWindow', '' ORDER BY place)), CAST(6 + 4 * count(*) AS BIGINT) FROM motifs""")
+def snk3_context_lines(spark, sf_dir):
+    """BED lines annotated with 400 motifs of each event type, written in the wide form and read again."""
+    everything = sites(spark, sf_dir)
+    main = everything.where("name = 'purchase'")
+    line = F.concat_ws("\t", "chrom", "start", "end", F.concat(F.lit("S"), "site_id"), "score", "strand")
+    hits = everything.select(F.col("site_id").alias("hit_id"), "chrom", "start", "end", F.concat("name", F.lit("_"), F.col("site_id") % _MANY, F.lit("_bidirect")).alias("motif"), "score", "strand")
+    names = sorted(r[0] for r in everything.select("name").distinct().collect())
+    motifs = [f"{n}_{i}_bidirect" for n in names for i in range(_MANY)]
+    path = shared_dir(spark, "context-lines")
+    lines = W.context_lines(main.select("site_id", "chrom", "start", line.alias("line")), best_hits(main, hits, NEAR), motifs)
+    W.write_context_lines(lines, path, W.context_header("Chr\tStart\tEnd\tName\tScore\tStrand", motifs))
+    read = spark.read.text(path)
+    return read.select(F.get(F.split("value", "\t"), 3).alias("name"), F.md5("value").alias("line"), F.size(F.split("value", "\t")).cast("long").alias("n_fields"))
+
+
 @query("SELECT s_suppkey, replace(printf('%.2f', s_acctbal), '.', ',') AS balance FROM supplier")
 def snk4_report(spark, sf_dir):
     """A report with decimal commas; the query writes the number with two decimals again."""

@@ -27,6 +27,14 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("start IS NOT NULL AND end IS NOT NULL").select("path", *SITE.names)
 
 
+def read_bed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """read_bed() of one file, with site_id (in order of the file, with gaps) and the line as it is."""
+    lines = read_lines(spark, path).where(~F.col("value").rlike("^(Chr|#)"))
+    field = F.split(F.col("value"), r"\s+")
+    rows = lines.select(F.col("line").alias("site_id"), F.get(field, 0).alias("chrom"), *(F.expr(f"try_cast(get(split(value, '\\\\s+'), {i}) AS {t})").alias(c) for i, c, t in ((1, "start", "bigint"), (2, "end", "bigint"))), F.get(field, 3).alias("name"), F.expr("try_cast(get(split(value, '\\\\s+'), 4) AS double)").alias("score"), F.get(field, 5).alias("strand"), F.col("value").alias("line"))
+    return rows.where("start IS NOT NULL AND end IS NOT NULL AND score IS NOT NULL AND strand IS NOT NULL")
+
+
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, value) with line numbers from 1 in each file, counted by many tasks: each block of a
     file numbers its own lines, and begins after those of the blocks before it."""
