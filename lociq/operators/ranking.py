@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def extremes(rows: DataFrame, value: str, tie: str, n: int) -> DataFrame:
     """The n largest and n smallest rows, marked top and bottom; both are top-k reports, without a sort
@@ -28,8 +30,17 @@ def first_per(rows: DataFrame, by: str, order: list[Column], n: int = 1) -> Data
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The place of each row within its group; for a rank over all rows, ranked_overall()."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """The place of each row within its group. Rows are dealt out by ranges of the order and stored, so that each
+    range numbers its rows of a group by itself, after those of the ranges before: a group of any size is ranked by
+    many tasks. Rows that are equal in all of `order` have any order."""
+    parts = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    keys = [f"_k{i}" for i in range(len(by))]
+    sizes = parts.groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys)), F.col("_part").alias("_at")).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_at", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = parts.withColumn("_inside", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    same = [F.col("_part") == F.col("_at"), *(F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys))]
+    return inside.join(starts, same).withColumn("rank", (F.col("_start") + F.col("_inside")).cast("int")).select(*rows.columns, "rank")
 
 
 def ranked_overall(rows: DataFrame, value: str, ties: list[str], *, slices: int = 64) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.predicates import chosen, confirmed, confirmed_at_least, displayable, eligible, enriched, present, relevant, shows_enrichment
 from ..functions.regions import promoter
 from ..functions.text import log_difference, log_plus_one, log_ratio, significant, variation
+from ..operators import cofactors
 from ..operators import enrichment as E
 from ..operators import statistics as S
 from ..operators.ranking import cumulative_from_top, extremes, first_per, ranked, ranked_overall, with_interest
 from ..operators.reshape import bound, joined_regions, labelled_union, melted, selective, side_by_side, split_by_sets
+from ..shared import stored
 from .registry import registry
 from .stand_ins import CONTEXT, GENES, SITES, context, genes, rounded, sites, table
 
@@ -283,6 +285,38 @@ def s5_correlations(spark, sf_dir):
     return rounded(S.correlations(table(spark, sf_dir, "lineitem"), _COLUMNS), 5)
 
 
+_WIDE = f"""WITH {CONTEXT}, v AS (SELECT row_key AS site, motif, sum(n)::DOUBLE AS v FROM context WHERE {{gate}} GROUP BY 1, 2 HAVING sum(n) <> 0), t AS (SELECT count(DISTINCT row_key)::DOUBLE AS sites FROM context WHERE {{gate}}),
+m AS (SELECT motif, sum(v) AS x, sum(v * v) AS xx FROM v GROUP BY motif), p AS (SELECT a.motif AS a, b.motif AS b, sum(a.v * b.v) AS xy FROM v a JOIN v b ON a.site = b.site AND a.motif < b.motif GROUP BY 1, 2),
+r AS (SELECT a.motif AS a, b.motif AS b, CAST(sites AS BIGINT) AS n, (sites * coalesce(xy, 0) - a.x * b.x) / sqrt((sites * a.xx - a.x * a.x) * (sites * b.xx - b.x * b.x)) AS r
+  FROM m a JOIN m b ON a.motif < b.motif CROSS JOIN t LEFT JOIN p ON p.a = a.motif AND p.b = b.motif)"""
+
+
+def _cofactors(spark, sf_dir, gate):
+    rows = context(spark, sf_dir).where(gate)
+    return cofactors.sparse_correlations(rows, rows.select("row_key").distinct().count(), site="row_key")
+
+
+@query(_WIDE.format(gate="TRUE") + " SELECT a, b, n, round(r, 9) AS r FROM r")
+def s5_cofactor_correlations(spark, sf_dir):
+    """All motifs of the context table against each other, from its long form."""
+    return rounded(_cofactors(spark, sf_dir, F.lit(True)), 9)
+
+
+@query(f"""WITH one AS ({_WIDE.format(gate="ta > 4")} SELECT * FROM r), two AS ({_WIDE.format(gate="dn > 4")} SELECT * FROM r), d AS (SELECT a, b, one.r - two.r AS difference FROM one JOIN two USING (a, b))
+SELECT a, b, round(difference, 9) AS difference, round(difference / (SELECT max(abs(difference)) FROM d), 9) AS scaled FROM d""")
+def s9_cofactor_differences(spark, sf_dir):
+    """The correlations at sites of the one isoform less those at sites of the other."""
+    one, two = (stored(_cofactors(spark, sf_dir, F.col(c) > 4), "cofactors") for c in (TA, DN))
+    return rounded(S.correlation_difference(one, two).select("a", "b", "difference", "scaled"), 9)
+
+
+@query()
+def s10_clustering_order(spark, sf_dir):
+    """The motifs in the order of their clustering, with the height at which each joins what stands before it."""
+    merges, leaves = cofactors.clustering(stored(_cofactors(spark, sf_dir, F.lit(True)), "cofactors"))
+    return leaves.join(merges.select(F.col("right").alias("name"), F.round("height", 9).alias("height"), "step"), "name", "left")
+
+
 @query(f"""WITH x AS ({_CORR.format(w="l_returnflag = 'A'")}), y AS ({_CORR.format(w="l_returnflag = 'N'")}), d AS (SELECT x.a, x.b, x.r - y.r AS d FROM x JOIN y USING (a, b)) SELECT a, b, round(d, 5) AS difference FROM d""")
 def s9_correlation_difference(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
@@ -329,6 +363,25 @@ def s8_density(spark, sf_dir):
     return rounded(S.density(rows, ["prom"], "shift", 5.0, 10.0), 7)
 
 
+_BAND = f"""WITH {CONTEXT}, q AS (SELECT prom, count(shift) AS n, min(shift)::DOUBLE AS lo, max(shift)::DOUBLE AS hi, stddev_samp(shift) AS sd, quantile_cont(shift, 0.25) AS q1, quantile_cont(shift, 0.75) AS q3 FROM context GROUP BY prom),
+b AS (SELECT prom, n, lo, hi, 0.9 * least(sd, (q3 - q1) / 1.34) * pow(n, -0.2) AS h FROM q), w AS (SELECT *, lo - 3 * h AS low, (hi - lo + 6 * h) / 511 AS step FROM b),
+p AS (SELECT w.*, (shift - low) / step AS z FROM context JOIN w USING (prom) WHERE shift IS NOT NULL), f AS (SELECT *, least(floor(z), 510) AS i FROM p),
+m AS (SELECT prom, h, n, low, step, i, sum(m) AS m FROM (SELECT prom, h, n, low, step, i, 1 - (z - i) AS m FROM f UNION ALL SELECT prom, h, n, low, step, i + 1, z - i FROM f) GROUP BY ALL)"""
+
+
+@query(f"{_BAND} SELECT prom, n, round(h, 9) AS bandwidth FROM b")
+def s8_bandwidth(spark, sf_dir):
+    rows = context(spark, sf_dir).select(F.col("in_promoter").alias("prom"), "shift")
+    return rounded(S.bandwidths(rows, ["prom"], "shift").select("prom", "n", "bandwidth"), 9)
+
+
+@query(f"{_BAND} SELECT prom, CAST(t.k AS INTEGER) AS place, round(low + t.k * step, 6) AS x, round(sum(m * exp(-0.5 * pow((t.k - i) * step / h, 2)) / (h * sqrt(2 * pi()) * n)), 9) AS density FROM m, range(512) t(k) GROUP BY prom, low, step, t.k")
+def s8_density_grid(spark, sf_dir):
+    """Densities of the distances, with a bandwidth from the data, on 512 places."""
+    rows = context(spark, sf_dir).select(F.col("in_promoter").alias("prom"), "shift")
+    return S.density_grid(rows, ["prom"], "shift").select("prom", "place", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
 @query(f"""WITH {CONTEXT} SELECT CAST(floor(score) AS BIGINT) AS bin, round(avg(CAST(ta = 0 AS INTEGER)), 6) AS ta, round(avg(CAST(dn = 0 AS INTEGER)), 6) AS dn FROM context GROUP BY 1""")
 def s11_s12_zero_shares(spark, sf_dir):
     rows = context(spark, sf_dir).groupBy(F.floor("score").alias("bin")).agg(F.avg((F.col(TA) == 0).cast("int")).alias("ta"), F.avg((F.col(DN) == 0).cast("int")).alias("dn"))

@@ -138,15 +138,15 @@ def src11_cleaned_numbers(spark, sf_dir):
     return R.cleaned_numbers(table(spark, sf_dir, "customer").select("c_custkey", text.alias("balance")), ["balance"])
 
 
-@query("SELECT DISTINCT c_mktsegment AS set_name, 'G' || c_nationkey AS gene FROM customer")
+@query("SELECT DISTINCT c_mktsegment AS set_name, 'G' || c_nationkey AS gene FROM customer UNION SELECT c_mktsegment, 'G1' FROM customer")
 def src12_gene_sets(spark, sf_dir):
+    """Symbols of each market segment, one of them named twice and after a blank, among other keys."""
     path = shared_dir(spark, "sets")
     sets = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("set_name"), F.concat(F.lit("G"), F.col("c_nationkey").cast("string")).alias("gene"))
     symbols = F.array_join(F.array_sort(F.collect_set("gene")), ",")
     lines = F.concat_ws("\n", F.concat(F.lit("STANDARD_NAME\t"), F.col("set_name")), F.concat(F.lit("GENE_SYMBOLS\t"), symbols, F.lit(", G1")), F.lit("PMID\t1"))
-    sets.unionByName(sets.select("set_name", F.lit("G1").alias("gene")).where("false")).groupBy("set_name").agg(lines.alias("value")).write.partitionBy("set_name").text(path)
-    have = sets.distinct()
-    return R.read_gene_set(spark, f"{path}/*/").join(have, ["set_name", "gene"], "left_semi")
+    sets.groupBy("set_name").agg(lines.alias("value")).write.partitionBy("set_name").text(path)
+    return R.read_gene_set(spark, f"{path}/*/")
 
 
 @query(f"WITH {LOCI} SELECT chrom, s AS start, e AS \"end\", name, score, strand FROM loci WHERE name = 'click' AND chrom = '5'")
@@ -175,11 +175,15 @@ def snk2_bed_lines(spark, sf_dir):
     return spark.read.text(path).select(F.split("value", "\t")[1].cast("long").alias("event_id"), "value")
 
 
-@query("""SELECT event_id, format('{:d}\t{:d}', user_id, event_id) || chr(9) || event_id || chr(9) || event_type || chr(9) || '0' || chr(9) || '+' AS value, printf('%.3f', value) AS score FROM events""")
+@query("SELECT event_id, printf('%.3f', value) AS score, CASE WHEN event_id % 2 = 0 THEN 'positive' ELSE 'negative' END AS side FROM events")
 def snk1_snk2_written_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("chrom"), F.col("event_id").alias("start"), F.col("event_id").alias("end"), F.col("event_type").alias("gene"), F.lit("+").alias("strand"))
-    scores = table(spark, sf_dir, "events").select("event_id", F.format_string("%.3f", "value").alias("score"))
-    return W.bed_lines(rows).withColumn("event_id", F.split("value", "\t")[1].cast("long")).join(scores, "event_id")
+    """Hits of one motif over positions far apart, written in stretches by several tasks, and read as lines."""
+    path = shared_dir(spark, "stretches")
+    rows = table(spark, sf_dir, "events").select(F.lit("1").alias("chrom"), (F.col("event_id") * 100_003).alias("start"), (F.col("event_id") * 100_003 + 9).alias("end"), F.lit("MA0861.1").alias("motif_id"), F.lit("TP73").alias("motif_name"), F.col("value").alias("score"), F.when(F.col("event_id") % 2 == 0, "+").otherwise("-").alias("strand"))
+    W.write_hits(rows, path)
+    lines = spark.read.option("basePath", path).text(path).where("value NOT LIKE 'chrom%'")
+    field = F.split("value", "\t")
+    return lines.select((field[1].cast("long") / 100_003).cast("long").alias("event_id"), field[4].alias("score"), "side")
 
 
 @query(f"WITH {LOCI} SELECT site_id, CASE WHEN k % 3 = 0 THEN 'NA' ELSE CAST(k AS VARCHAR) END AS shift, CASE WHEN name = 'view' THEN 'NA' ELSE name END AS name FROM loci")
@@ -231,15 +235,19 @@ def snk7_by_chromosome(spark, sf_dir):
     return spark.read.schema("site_id long, start long, name string, Chr string").option("header", True).option("sep", "\t").csv(path)
 
 
-@query(f"WITH {LOCI} SELECT site_id, chrom, s AS start, strand FROM loci")
+@query(f"WITH {LOCI} SELECT CAST(row_number() OVER (ORDER BY chrom, s) AS BIGINT) AS line_no, chrom, s AS start FROM loci")
 def snk8_merged_strands(spark, sf_dir):
-    rows = loci(spark, sf_dir).select("site_id", "chrom", "start", "strand")
-    return W.merged_strands(rows.where("strand = '+'"), rows.where("strand = '-'"))
+    """Both strands merged and written; the lines are in order over all files."""
+    path = shared_dir(spark, "merged")
+    rows = loci(spark, sf_dir).select("chrom", "start", "strand")
+    W.merged_strands(rows.where("strand = '+'"), rows.where("strand = '-'")).select(_tabs("chrom", "start", "strand")).write.text(path)
+    field = F.split("value", "\t")
+    return R.read_numbered_lines(spark, path, together=True).select("line_no", field[0].alias("chrom"), field[1].cast("long").alias("start"))
 
 
 @query("WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS line_no, count(*) OVER () AS total FROM orders) SELECT line_no, o_orderkey, 'head' AS part FROM n WHERE line_no <= 50 UNION ALL SELECT line_no, o_orderkey, 'tail' FROM n WHERE line_no > total - 50")
 def l5_first_and_last_lines(spark, sf_dir):
-    """The sorted keys as one file of many blocks."""
+    """The sorted keys as the parts of one file."""
     path = shared_dir(spark, "ordered")
-    table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("value"), "o_orderkey").orderBy("o_orderkey").select("value").coalesce(1).write.text(path)
-    return R.first_and_last(R.read_numbered_lines(spark, path), 50).select("line_no", F.col("value").cast("long").alias("o_orderkey"), "part")
+    table(spark, sf_dir, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select(F.col("o_orderkey").cast("string").alias("value")).write.text(path)
+    return R.first_and_last(R.read_numbered_lines(spark, path, together=True), 50).select("line_no", F.col("value").cast("long").alias("o_orderkey"), "part")

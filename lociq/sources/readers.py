@@ -35,9 +35,10 @@ def read_bed_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("start IS NOT NULL AND end IS NOT NULL AND score IS NOT NULL AND strand IS NOT NULL")
 
 
-def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_numbered_lines(spark: SparkSession, path: str, *, together: bool = False) -> DataFrame:
     """(path, line_no, value) with line numbers from 1 in each file, counted by many tasks: each block of a
-    file numbers its own lines, and begins after those of the blocks before it."""
+    file numbers its own lines, and begins after those of the blocks before it. together: the files of a folder,
+    in order of their names, are the parts of one file, and path is the folder."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
     def run(batches):
@@ -50,9 +51,10 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=["path", "block", "value", "n"])
 
     rows = lines.mapInArrow(run, "path string, block long, value string, n long")
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.regexp_replace("path", "/[^/]*$", "") if together else F.col("path")
+    before = Window.partitionBy(whole).orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = lines.groupBy("path", "block").agg(F.count("*").alias("rows")).select("path", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    return rows.join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("n")).alias("line_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+    return rows.join(starts, ["path", "block"]).select(whole.alias("path"), (F.col("start") + F.col("n")).alias("line_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
 
 
 def first_and_last(lines: DataFrame, n: int) -> DataFrame:

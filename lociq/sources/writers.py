@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import re
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_safe, short_name, six_digits
@@ -11,12 +17,22 @@ from ..functions.text import file_safe, short_name, six_digits
 NO_HIT = "\tNA\tNA\tNA\t0"
 
 
+#: Bases whose rows are written by one task.
+STRETCH = 1 << 24
+
+
+def _stretch(position: str | None) -> list:
+    """A further key, so that no task writes a whole motif or chromosome."""
+    return [F.floor(F.col(position) / STRETCH)] if position else []
+
+
 def write_hits(hits: DataFrame, path: str, *, with_match: bool = False) -> None:
-    """Tab-separated, scores with three decimals, one folder for each motif and strand."""
+    """Tab-separated, scores with three decimals, one folder for each motif and strand, with a file for each
+    stretch of a chromosome or several of them."""
     columns = ["chrom", "start", "end", "name", F.format_string("%.3f", "score").alias("score"), "strand", *(["match"] if with_match else [])]
     rows = hits.withColumn("name", F.coalesce("motif_name", "motif_id") if "motif_name" in hits.columns else F.col("motif_id"))
     rows = rows.select(*columns, file_safe(F.col("motif_id")).alias("motif"), F.when(F.col("strand") == "-", "negative").otherwise("positive").alias("side"))
-    rows.repartition("motif", "side").sortWithinPartitions("motif", "side", "chrom", "start").write.partitionBy("motif", "side").option("sep", "\t").option("header", True).csv(path)
+    rows.repartition("motif", "side", "chrom", *_stretch("start")).sortWithinPartitions("motif", "side", "chrom", "start").write.partitionBy("motif", "side").option("sep", "\t").option("header", True).csv(path)
 
 
 def bed_lines(regions: DataFrame) -> DataFrame:
@@ -76,8 +92,10 @@ def write_report(rows: DataFrame, path: str, *, decimal_comma: bool = False) ->
     rows.write.option("sep", "\t").option("header", True).csv(path)
 
 
-def write_by_chromosome(rows: DataFrame, path: str, chrom: str = "Chr") -> None:
-    rows.repartition(chrom).write.partitionBy(chrom).option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+def write_by_chromosome(rows: DataFrame, path: str, chrom: str = "Chr", position: str | None = "start") -> None:
+    """One folder for each chromosome, written in stretches where there is a position."""
+    position = position if position in rows.columns else None
+    rows.repartition(chrom, *_stretch(position)).write.partitionBy(chrom).option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
 
 
 def merged_strands(plus: DataFrame, minus: DataFrame) -> DataFrame:
@@ -91,9 +109,38 @@ def missing(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFra
     return expected.select(*keys).distinct().join(present.select(*keys).distinct(), keys, "left_anti")
 
 
-def stage(spark, path: str, make) -> DataFrame:
-    """A stored table, made and written only if it isn't there."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def fingerprint(df: DataFrame) -> str:
+    """Of what a table is made of: its plan (without the numbers of this session's columns; bodies of Python functions
+    aren't in it) and the path, size and time of each file that it reads."""
+    spark = df.sparkSession
+    plan = re.sub(r"#\d+L?|\[?plan_id=\d+\]?", "", df._jdf.queryExecution().analyzed().toString())
+    files, conf = [], spark._jsparkSession.sessionState().newHadoopConf()
+    for name in sorted(df.inputFiles()):
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = where.getFileSystem(conf).getFileStatus(where)
+        files.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join([plan, *files]).encode()).hexdigest()[:32]
+
+
+def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stored table, made and written only if it isn't there for these inputs and this plan.
+
+    It is written to a new folder and put in place by one rename that never replaces anything: of two writers at once
+    the first wins and the other takes its result; a failed writer leaves nothing in place. What was stored for other
+    inputs stays beside it."""
+    df = make()
+    mark = fingerprint(df)
+    target = f"{path}/{mark}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where, conf = hadoop.Path(target), spark._jsparkSession.sessionState().newHadoopConf()
+    files = where.getFileSystem(conf)
+    if not files.exists(where):
+        own = hadoop.Path(f"{path}/.{mark}-{uuid.uuid4().hex}")
+        df.write.parquet(own.toString())
+        try:
+            hadoop.FileContext.getFileContext(where.toUri(), conf).rename(own, where, spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+        except Py4JJavaError:
+            files.delete(own, True)
+            if not files.exists(where):
+                raise
+    return spark.read.schema(df.schema).parquet(target)
