@@ -54,14 +54,48 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sent_if_small(df: DataFrame, most: int) -> DataFrame:
-    """df, to be sent to all tasks in a join if it has at most `most` bytes: 16 a row and column, and what
-    texts have. For tables that are read from files; their rows are counted for this."""
+def is_small(df: DataFrame, most: int) -> bool:
+    """Whether df has at most `most` bytes: 16 a row and column, and what texts have. For tables that are read
+    from files; their rows are counted for this."""
     texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
     size = F.lit(16 * len(df.columns) + 16)
     for n in texts:
         size = size + n
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+    return (df.agg(F.sum(size)).first()[0] or 0) <= most
+
+
+def sent_if_small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be sent to all tasks in a join if is_small()."""
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+#: Words of 64 bits in a filter that tells which keys may be wanted (8 MB, whatever the number of keys), and the
+#: bits that each key sets in it.
+FILTER_WORDS, FILTER_BITS = 1 << 20, 3
+
+
+def may_be_in(keys: DataFrame, key: Column) -> Column:
+    """Whether `key` (a long) may be among keys (k): always true for those that are, and seldom for others (of a
+    million keys, one in 10 000; of 20 million, one in five). So rows with long texts are picked out where they are
+    read, by a filter of one size, and only these go on to a join."""
+    places = lambda k: [F.pmod(F.xxhash64(k, F.lit(i)), F.lit(FILTER_WORDS * 64)) for i in range(FILTER_BITS)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.select(F.explode(F.array(*places(F.col("k")))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
+    every = keys.sparkSession.range(FILTER_WORDS).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    table = stored(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("table")), "filter").select("table").scalar()
+    out = F.lit(True)
+    for p in places(key):
+        out &= F.call_function("shiftright", F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return out
+
+
+def without_rows(df: DataFrame, key: Column, rows: DataFrame, row_key: Column, same: Column | list[Column], most: int) -> DataFrame:
+    """df without what joins `rows` by the condition `same`; key and row_key are equal longs wherever it holds. Rows of
+    up to `most` bytes are sent to all tasks. Of more, a filter is; only the rows of df that pass it are shuffled."""
+    if is_small(rows, most):
+        return df.join(F.broadcast(rows), same, "left_anti")
+    may = may_be_in(rows.select(row_key.alias("k")), key)
+    return df.where(~may).unionByName(df.where(may).join(rows, same, "left_anti"))
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

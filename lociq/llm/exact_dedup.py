@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read_table, sent_if_small, shared_dir, slices, stored
+from .common import bounded_batches, is_small, may_be_in, read_table, sent_if_small, shared_dir, slices, stored, without_rows
 
 DROPPED = b" \t\n\x0b\x0c\r"
 #: Entries in a bucket before it is split, and the most bits that the directory uses. Buckets that
@@ -263,8 +263,11 @@ class ExactIndex:
         repeated = sent_if_small(self.buckets.where("n > 1").select("key"), sent_bytes)
         # Texts are found by the hash of the text as it is, so that they aren't normalised again to be found.
         twice = kept(self.entries.join(repeated, "key", "left_semi"), "twice")
-        found = sent_if_small(kept(twice.select("raw").distinct(), "found"), sent_bytes)
-        texts = source.withColumn("raw", F.xxhash64("text")).join(found, "raw", "left_semi").select("id", "text")
+        found = kept(twice.select("raw").distinct(), "found")
+        if is_small(found, sent_bytes):
+            texts = source.withColumn("raw", F.xxhash64("text")).join(F.broadcast(found), "raw", "left_semi").select("id", "text")
+        else:  # a few texts that don't repeat pass too and become chains of one
+            texts = source.where(may_be_in(found.select(F.col("raw").alias("k")), F.xxhash64("text")))
         self.chains = kept(_owned(dealt(_chained_locally(texts, id_type, id_arrow, sent)), id_type, id_arrow), "chains")
         same = ["key", "digest", "id", "points"]
         self.twins = kept(twice.groupBy(*same).agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "twins")
@@ -299,15 +302,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """docs, all columns as they are, with one row of each group of equal texts; which one, and the
     special cases, as in exact_groups(). Rows to drop are broadcast up to `sent_bytes`; beyond that they are
-    joined by a shuffle."""
+    joined by a shuffle, with those rows of docs that a filter lets pass."""
     index = ExactIndex(docs, id_col, text_col, capacity, sent_bytes)
     names, marks = docs.columns, ("_drop_id", "_drop_key", "_drop_points")
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     doc_id, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
     plain = plain.select("*", doc_id.alias("_id"), key_column(text).alias("_key"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_points"))
 
-    def matched(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-        return df.join(sent_if_small(rows, sent_bytes), [F.col("_key") == F.col("_drop_key"), F.col("_points") == F.col("_drop_points"), F.col("_id").eqNullSafe(F.col("_drop_id"))], how)
+    same = [F.col("_key") == F.col("_drop_key"), F.col("_points") == F.col("_drop_points"), F.col("_id").eqNullSafe(F.col("_drop_id"))]
 
     of = lambda df: df.select(F.col("id").alias(marks[0]), F.col("key").alias(marks[1]), F.col("points").alias(marks[2]))
     groups, twins = index.groups(), of(index.twins)
@@ -316,9 +318,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         stays = of(groups.where("n > 1 AND kept"))
         a, b = dropped.alias("a"), stays.alias("b")
         dropped = a.join(b, [F.col(f"a.{m}").eqNullSafe(F.col(f"b.{m}")) for m in marks], "left_anti")
-    rest = matched(plain, dropped, "left_anti")
+    left = lambda df, rows: without_rows(df, F.col("_key"), rows, F.col("_drop_key"), same, sent_bytes)
+    rest = left(plain, dropped)
     if index.has_twins:
-        rest = matched(rest, twins, "left_anti").unionByName(matched(rest, twins, "left_semi").dropDuplicates(["_id", "_key", "_points"]))
+        two = rest if is_small(twins, sent_bytes) else rest.where(may_be_in(twins.select(F.col("_drop_key").alias("k")), F.col("_key")))
+        rest = left(rest, twins).unionByName(two.join(sent_if_small(twins, sent_bytes), same, "left_semi").dropDuplicates(["_id", "_key", "_points"]))
     return rest.drop("_id", "_key", "_points").toDF(*names)
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, byte_flags, mix64, read_table, release_memory, sent_if_small, slices, span_hashes, stored, text_bytes, word_spans
+from .common import ASCII_LOWER, bounded_batches, byte_flags, is_small, may_be_in, mix64, read_table, release_memory, sent_if_small, slices, span_hashes, stored, text_bytes, without_rows, word_spans
 from .decontaminate import window_hashes
 from .graph import components
 
@@ -337,7 +337,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                         rows.append((key[0], class_name(key), s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["c", "name", "tokens"])
 
-    chosen = docs.join(sent_if_small(wanted, SENT_BYTES), docs["id"].eqNullSafe(wanted["w"]), "left_semi")
+    if is_small(wanted, SENT_BYTES):
+        chosen = docs.join(F.broadcast(wanted), docs["id"].eqNullSafe(wanted["w"]), "left_semi")
+    else:  # a few sets that nothing asks for come too
+        chosen = docs.where(may_be_in(wanted.select(F.xxhash64("w").alias("k")), F.xxhash64("id")))
     return chosen.select("text").mapInArrow(run, "c long, name binary, tokens binary")
 
 
@@ -591,7 +594,7 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     plain = plain.withColumn("_key", F.xxhash64(f"c{names.index(text_col)}"))
     same = [F.col("_key") == F.col("_drop_key"), F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("_drop_id"))]
-    return plain.join(sent_if_small(dropped, SENT_BYTES), same, "left_anti").drop("_key").toDF(*names)
+    return without_rows(plain, F.col("_key"), dropped, F.col("_drop_key"), same, SENT_BYTES).drop("_key").toDF(*names)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
