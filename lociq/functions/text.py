@@ -92,7 +92,7 @@ def six_digits(c: Column) -> Column:
     1e-4 and from 1e6 on."""
     text = F.format_string("%.5e", F.abs(c))
     digits, exponent = F.concat(F.substring(text, 1, 1), F.substring(text, 3, 5)), F.substring_index(text, "e", -1)
-    e = exponent.cast("int")
+    e = exponent.try_cast("int")
     shown = lambda whole, part: F.regexp_replace(F.concat(whole, F.lit("."), part), r"\.?0*$", "")
     plain = F.when(e < 0, shown(F.lit("0"), F.concat(F.repeat(F.lit("0"), -e - 1), digits))).otherwise(shown(F.substr(digits, F.lit(1), e + 1), F.substr(digits, e + 2)))
     scientific = F.concat(shown(F.substring(digits, 1, 1), F.substring(digits, 2, 5)), F.lit("e"), exponent)
