@@ -11,6 +11,7 @@ from ..schema import SIGNALS
 from ..shared import shared_dir
 from ..sources import readers as R
 from ..sources import writers as W
+from ..sources.bed_source import read_beds, write_motif_files
 from .intervals import _BEST, NEAR
 from .registry import registry
 from .sequences import SCAN, matrices, sequences
@@ -167,6 +168,15 @@ def snk1_hits(spark, sf_dir):
     return spark.read.schema(schema).option("header", True).option("sep", "\t").csv(path)
 
 
+@query(f"WITH {LOCI} SELECT chrom, s AS start, e AS \"end\", round(score, 3) AS score, strand, name || '_' || k AS motif FROM loci WHERE chrom IN ('3', '7') AND name = 'click'")
+def snk1_src6_motif_files(spark, sf_dir):
+    """Hits as files named by motif, strand and stretch, of which those of two chromosomes are opened again."""
+    path = shared_dir(spark, "motif-files")
+    rows = loci(spark, sf_dir).where("name IN ('click', 'view')")
+    write_motif_files(rows.withColumn("motif_id", F.col("k").cast("string")), path)
+    return read_beds(spark, path).where("chrom IN ('3', '7') AND motif LIKE 'click%'").select("chrom", "start", "end", F.round("score", 3).alias("score"), "strand", "motif")
+
+
 @query("SELECT event_id, format('{:d}\t{:d}', user_id, event_id) || chr(9) || event_id || chr(9) || event_type || chr(9) || '0' || chr(9) || '+' AS value FROM events")
 def snk2_bed_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("chrom"), F.col("event_id").alias("start"), F.col("event_id").alias("end"), F.col("event_type").alias("gene"), F.lit("+").alias("strand"))
