@@ -4,11 +4,10 @@ The windows of all items become a hash set that every executor gets; each task r
 windows of its texts as numpy vectors, looks their 64-bit hashes up, verifies every hit by its words
 and marks the words hit. Texts are not shuffled.
 
-A set is broadcast only if the items have at most BLOCK_BYTES of text. A larger benchmark is cut into
-pieces that overlap by a window and dealt into blocks of that size. One block at a time is brought to
-the driver, broadcast, searched for and released; what it hit is written to the shared folder. In the
-end the hits of all blocks meet their texts in a join. So driver and executors hold one block at most,
-however large the benchmark is.
+A set is broadcast only if the items have at most BLOCK_BYTES of text. The windows of a larger benchmark are a table,
+and what is broadcast is a bit for each of their hashes, FILTER_BITS bits at most. The texts are searched once,
+however large the benchmark is: windows whose bit is set leave the task with their words, and a join with the table by
+these words says which are hits. What was hit then meets the texts by their hash.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, byte_flags, mix64, read_table, shared_dir, slices, span_hashes, stored, text_bytes, word_spans
+from .common import ASCII_LOWER, bounded_batches, byte_flags, is_small, may_be_in, mix64, read_table, sent_if_small, slices, span_hashes, stored, text_bytes, without_rows, word_spans
 
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ on lower-cased text: digits, a-z and everything beyond ASCII.
 WORD_BYTES = byte_flags([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
@@ -28,8 +27,9 @@ SIZE = 10
 #: Bytes of item texts in one broadcast set. A set takes the words, 32 bytes for each window and SLOTS to
 #: twice as many for its filter: about 60 bytes a window, 120 MB if all words had one letter.
 BLOCK_BYTES, SLOTS = 4 << 20, 8
-#: Windows of an item in one piece, where there are several blocks.
-PIECE_WINDOWS = 2_000
+#: Windows of an item that are written at once, bits for each window in a large benchmark's filter and in all, and
+#: bytes of a table that is sent to all tasks.
+PIECE_WINDOWS, BITS_EACH, FILTER_BITS, SENT_BYTES = 2_000, 32, 29, 32 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -113,32 +113,74 @@ class WindowSet:
         return np.diff(first), hits, starts, ends, first, offsets
 
 
-def _pieces(items: DataFrame, size: int) -> DataFrame:
-    """(item, text) cut into pieces of PIECE_WINDOWS windows; each window is in one piece."""
+def _window_rows(items: DataFrame, size: int) -> DataFrame:
+    """(n, hash, words, item): the windows of all items, PIECE_WINDOWS at a time."""
 
     def run(batches):
         for batch in batches:
-            rows = []
             for item, text in zip(batch.column("item"), batch.column("text").to_pylist()):
                 words = words_of(text)
-                for k in range(0, max(1, len(words) - size + 1), PIECE_WINDOWS):
-                    rows.append((item.as_py(), b" ".join(words[k : k + PIECE_WINDOWS + size - 1]).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field("item").type), pa.array([r[1] for r in rows], pa.string())], names=["item", "text"])
-
-    return bounded_batches(items).mapInArrow(run, f"item {items.schema['item'].dataType.simpleString()}, text string")
-
-
-def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int):
-    """The number of blocks, and a function from a block's number to its WindowSet, which fetches its items.
-    Their total length is known before any is fetched."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    letters = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if letters <= block_bytes:
-        return 1, lambda _: WindowSet([tuple(r) for r in items.collect()], size)
-    blocks = 2 * letters // block_bytes + 1  # about half full, so that none is too full
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    pieces = stored(_pieces(items, size).distinct().withColumn("block", block), "leak-items")
-    return blocks, lambda number: WindowSet([tuple(r) for r in pieces.where(F.col("block") == number).select("item", "text").collect()], size)
+                n = min(len(words), size)
+                for k in range(0, len(words) - n + 1 if n else 0, PIECE_WINDOWS):
+                    windows = list(dict.fromkeys(b" ".join(words[a : a + n]) for a in range(k, min(k + PIECE_WINDOWS, len(words) - n + 1))))
+                    raw = np.frombuffer(b" ".join(windows), np.uint8)
+                    starts, ends, _ = word_spans(raw, np.array([0, len(raw)]), WORD_BYTES)
+                    rolled = window_hashes(span_hashes(raw, starts, ends), n)[::n]
+                    arrays = [pa.array([n] * len(windows), pa.int32()), pa.array(rolled.view(np.int64)), pa.array(windows, pa.binary()), pa.array([item.as_py()] * len(windows), batch.schema.field("item").type)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["n", "hash", "words", "item"])
+
+    return bounded_batches(items).mapInArrow(run, f"n int, hash long, words binary, item {items.schema['item'].dataType.simpleString()}")
+
+
+def _filter(windows: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of its places, as a power of two, and a bit for each place that a window's hash begins with."""
+    bits = max(10, min(FILTER_BITS, int(windows.count() * BITS_EACH).bit_length()))
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    word = windows.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    found = word.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return bits, out
+
+
+def _hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(_hit, words, items): of each text that has hits, by its SHA-256, the words hit and the items."""
+    spark = texts.sparkSession
+    lengths = sorted(r[0] for r in windows.select("n").distinct().collect())  # at most `size`
+    sent = spark.sparkContext.broadcast(_filter(windows))
+
+    def search(batches):
+        bits, table = sent.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = text_bytes(part.column("text"))
+                data = ASCII_LOWER[data]
+                starts, ends, first = word_spans(data, offsets, WORD_BYTES)
+                hashes, raw = span_hashes(data, starts, ends), data.tobytes()
+                keys: dict[int, bytes] = {}
+                out: dict[tuple, bytes] = {}
+                for n in lengths:
+                    if len(hashes) < n:
+                        continue
+                    place = window_hashes(hashes, n) >> np.uint64(64 - bits)
+                    at = np.flatnonzero(table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                    text = np.searchsorted(first, at, side="right") - 1
+                    inside = at + n <= first[text + 1]
+                    for i, t in zip(at[inside].tolist(), text[inside].tolist()):
+                        if t not in keys:
+                            keys[t] = hashlib.sha256(part.column("text")[t].as_py().encode()).digest()
+                        out[keys[t], i - int(first[t]), n] = b" ".join([raw[a:b] for a, b in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist())])
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.binary()), pa.array([k[1] for k in out], pa.int32()), pa.array([k[2] for k in out], pa.int32()), pa.array(list(out.values()), pa.binary())], names=["key", "at", "n", "words"])
+
+    seen = stored(bounded_batches(texts).mapInArrow(search, "key binary, at int, n int, words binary"), "leak-seen")
+    sent.destroy()
+    known = stored(windows.select(F.col("words").alias("w_words")).distinct(), "leak-known")
+    hit = stored(seen.join(sent_if_small(known, SENT_BYTES), F.col("words") == F.col("w_words"), "left_semi").distinct(), "leak-hits")
+    covered = hit.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))))).alias("words"))
+    lists = windows.where("item IS NOT NULL").select(F.col("words").alias("w_words"), "item").distinct()
+    owners = hit.select("key", "words").distinct().join(lists, F.col("words") == F.col("w_words")).groupBy(F.col("key").alias("o_key")).agg(F.collect_set("item").alias("items"))
+    none = F.array().cast(f"array<{windows.schema['item'].dataType.simpleString()}>")
+    return stored(covered.join(owners, F.col("key") == F.col("o_key"), "left").select(F.col("key").alias("_hit"), "words", F.coalesce("items", none).alias("items")), "leak-texts")
 
 
 def _cut(text: str, starts: np.ndarray, ends: np.ndarray, words: list[int]) -> str:
@@ -160,14 +202,15 @@ def _searched(docs: DataFrame, text_at: int, benchmark: DataFrame, item_col: str
     """docs (columns c0, c1, ...) searched for the windows of the benchmark. mode "report": with n_words,
     words, items and without the text; "documents": rows without hits; "spans": texts without the hit runs."""
     spark, text = docs.sparkSession, f"c{text_at}"
-    blocks, block = window_blocks(benchmark, item_col, item_text_col, size, block_bytes)
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= block_bytes
     item_type = benchmark.schema[item_col].dataType.simpleString()
     item_arrow = spark.createDataFrame([], f"x array<{item_type}>").toArrow().schema.field(0).type
     found = f"words array<int>, items array<{item_type}>"
     report = _schema(docs.schema, f"n_words long, {found}", text)
     columns = docs.columns
-    if blocks == 1:
-        sent = spark.sparkContext.broadcast(block(0))
+    if small:
+        sent = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in items.collect()], size))
 
         def run(batches):
             for batch in batches:
@@ -191,26 +234,10 @@ def _searched(docs: DataFrame, text_at: int, benchmark: DataFrame, item_col: str
 
         return bounded_batches(docs).mapInArrow(run, report if mode == "report" else _schema(docs.schema))
 
-    path, texts = shared_dir(spark, "leak-hits"), docs.select(F.col(text).alias("text"))
-    for number in range(blocks):
-        sent = spark.sparkContext.broadcast(block(number))
-
-        def search(batches, sent=sent):
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    _, hits, *_ = sent.value.search(*text_bytes(part.column("text")))
-                    rows = {hashlib.sha256(part.column("text")[i].as_py().encode()).digest(): hit for i, hit in hits.items()}
-                    yield pa.RecordBatch.from_arrays([pa.array([*rows], pa.binary()), pa.array([r[0] for r in rows.values()], pa.list_(pa.int32())), pa.array([r[1] for r in rows.values()], item_arrow)], names=["key", "words", "items"])
-
-        bounded_batches(texts).mapInArrow(search, f"key binary, {found}").write.parquet(f"{path}/block={number}")
-        sent.destroy()
-    hits = spark.read.schema(f"key binary, {found}, block int").parquet(path)
-    once = hits.groupBy("key", "block").agg(F.first("words").alias("words"), F.first("items").alias("items"))
-    whole = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    hits = once.groupBy(F.col("key").alias("_hit")).agg(F.array_sort(whole("words")).alias("words"), whole("items").alias("items"))
-    keyed = docs.withColumn("_key", F.unhex(F.sha2(text, 256)))
+    hits = _hits(docs.select(F.col(text).alias("text")), stored(_window_rows(items, size), "leak-windows"))
+    keyed, same = docs.withColumn("_key", F.unhex(F.sha2(text, 256))), F.col("_key") == F.col("_hit")
     if mode == "documents":
-        return keyed.join(hits, F.col("_key") == F.col("_hit"), "left_anti").drop("_key")
+        return without_rows(keyed, F.xxhash64("_key"), hits.select("_hit"), F.xxhash64("_hit"), same, SENT_BYTES).drop("_key")
 
     def counted(batches):
         for batch in batches:
@@ -231,10 +258,15 @@ def _searched(docs: DataFrame, text_at: int, benchmark: DataFrame, item_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(c).type) if c == text else part.column(c) for c in columns], names=columns)
 
     if mode == "spans":
-        return keyed.join(hits, F.col("_key") == F.col("_hit"), "left").select(*columns, "words").mapInArrow(without, _schema(docs.schema))
+        found, rest = keyed, None
+        if not is_small(hits, SENT_BYTES):  # only texts that a filter lets pass are shuffled
+            may = F.coalesce(may_be_in(hits.select(F.xxhash64("_hit").alias("k")), F.xxhash64("_key")), F.lit(False))
+            found, rest = keyed.where(may), keyed.where(~may).select(*columns)
+        cut = found.join(sent_if_small(hits, SENT_BYTES), same, "left").select(*columns, "words").mapInArrow(without, _schema(docs.schema))
+        return cut.unionByName(rest) if rest else cut
     counts = bounded_batches(keyed).mapInArrow(counted, _schema(keyed.schema, "n_words long", text))
     none = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c)
-    return counts.join(hits, F.col("_key") == F.col("_hit"), "left").select(*(c for c in columns if c != text), "n_words", none("words"), none("items"))
+    return counts.join(sent_if_small(hits, SENT_BYTES), same, "left").select(*(c for c in columns if c != text), "n_words", none("words"), none("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
