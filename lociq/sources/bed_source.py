@@ -38,13 +38,20 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     start: int
     end: int
     motif: str | None
 
 
+@dataclass
+class Share(InputPartition):
+    """What one task reads: a range of a large file, or several small files."""
+
+    ranges: list[Range]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]] = field(default_factory=list)  # temporary and final names
@@ -68,7 +75,7 @@ class BedSource(DataSource):
 
 
 class BedReader(DataSourceReader):
-    """Each task reads a range of bytes: the lines that begin in it. Compressed files are read whole by one task.
+    """Each task reads ranges of bytes: the lines that begin in them. Compressed files are read whole by one task.
 
     Equality with constants on chrom and motif is taken over: files whose name tells another one aren't opened, and
     other lines are left out before they become rows."""
@@ -89,7 +96,7 @@ class BedReader(DataSourceReader):
     def _asked_for(self, column: str, value: str | None) -> bool:
         return column not in self.wanted or value in self.wanted[column]
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Share]:
         files, where = opened(self.path)
         found = files.get_file_info(fs.FileSelector(where, recursive=True)) if files.get_file_info(where).type == fs.FileType.Directory else [files.get_file_info(where)]
         out = []
@@ -100,7 +107,14 @@ class BedReader(DataSourceReader):
                 continue
             step = info.size if info.base_name.endswith(".gz") else self.size
             out += [Range(info.path, a, min(a + step, info.size), motif) for a in range(0, info.size, max(1, step))]
-        return out
+        shares, taken = [], 0
+        for part in out:
+            if not shares or taken + part.end - part.start > self.size:
+                shares.append(Share([]))
+                taken = 0
+            shares[-1].ranges.append(part)
+            taken += part.end - part.start
+        return shares
 
     def _lines(self, part: Range) -> Iterator[bytes]:
         files, _ = opened(self.path)
@@ -125,7 +139,11 @@ class BedReader(DataSourceReader):
                 if not block:
                     return
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        for part in share.ranges:
+            yield from self._batches(part)
+
+    def _batches(self, part: Range) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()]
 
         def batch(rows):
