@@ -16,7 +16,9 @@ The counts are lowered just so far that these rests suffice. So no padding is le
 from __future__ import annotations
 
 import functools
+import itertools
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -39,6 +41,14 @@ MAX_WORDS, MAX_WORD_BYTES = 1_000_000, 24 << 20
 #: Bytes of tables that are sent to all tasks.
 SENT_BYTES = 32 << 20
 CHUNK = 1_000_000
+#: Where a tokenizer puts texts in lower case, capitals matter only in special strings and before combining marks.
+KEEPS_CASE = (b"<|", b"\xcc", b"\xcd")
+#: Western letters in lower case, and what may follow them in a word that is still split there.
+STOPS = ".,;:!?"
+LETTERS = re.compile(f"([a-zß-öø-ÿ]+)([{STOPS}]?)")
+SAMPLE = ["word", "Élan", "straße,", "ÿa", "it's", "a.b", "déjà!", "l'été", "x", "the:", "ﬁn", "...", "été?", "naïve;"]
+#: Other words that are encoded in one text.
+TOGETHER = 500
 #: Places in the stream of cut rests that share a bin; as a power of two, rows that are ordered together.
 STREAM_BITS, ORDER_BITS = 13, 16
 
@@ -50,8 +60,18 @@ class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
         self.tokenizer = Tokenizer.from_file(path)
+        self.lowers = '"Lowercase"' in self.tokenizer.to_str()
+        # Words of Western letters go to the merges directly, without the patterns before them, if the tokenizer is of
+        # that kind: a run of letters is one word, in lower case, its bytes written as letters.
+        whole, self.letters = self.tokenizer.encode_batch_fast(SAMPLE, add_special_tokens=False), {}
+        self.stops = {s: self.tokenizer.encode(s, add_special_tokens=False).ids if s else [] for s in ("", *STOPS)}
+        self.letters = {c: "".join(x for x, _ in BYTES.pre_tokenize_str(chr(c))) for c in [*range(0x61, 0x7B), *range(0xDF, 0x100)]}
+        if not self.lowers or self._ids([w.encode() for w in SAMPLE]) != [e.ids for e in whole]:
+            self.letters = {}
         self.reset()
 
     def reset(self) -> None:
@@ -59,12 +79,43 @@ class WordIds:
         self.size = self.n_ids = 0
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
 
+    def _plain(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.translate(self.letters))]
+
+    def _library(self, words: list[str]) -> list[list[int]]:
+        """Many words in one text, with a mark between them that is a token of its own and in none of them."""
+        if not words:
+            return []
+        mark = self.tokenizer.encode("\1", add_special_tokens=False).ids
+        if len(mark) != 1 or any("\1" in w for w in words):
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        texts = [" \1 ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        out: list[list[int]] = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array([*e.ids, mark[0]])
+            ends = np.flatnonzero(ids == mark[0])
+            out += [ids[a:b].tolist() for a, b in zip([0, *(ends[:-1] + 1)], ends)]
+        return out
+
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        rest = []
+        for k, word in enumerate(w.decode("utf-8", "replace") for w in words):
+            plain = LETTERS.fullmatch(word.lower()) if self.letters else None
+            if plain:
+                out[k] = self._plain(plain[1]) + self.stops[plain[2]]
+            else:
+                rest.append((k, word))
+        for (k, _), ids in zip(rest, self._library([w for _, w in rest])):
+            out[k] = ids
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            found = self._ids(part)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((t for ids in found for t in ids), np.uint32, int(sizes.sum()))
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
             while self.n_ids + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while len(self.places) + len(part) + 1 > len(self.ends):
@@ -83,13 +134,16 @@ class WordIds:
         words: list[bytes] = []
         counts = []
         for text in texts:
+            if self.lowers and not any(mark in text for mark in KEEPS_CASE):
+                text = text.lower()  # of bytes: A to Z only
             own = text.split()  # of bytes: at ASCII white space only
             counts.append(len(own))
             words += own
-        new = set(words).difference(self.places)
+        at = np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = [words[i] for i in np.flatnonzero(at < 0).tolist()]
         if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+            self._learn(list(dict.fromkeys(new)))
+            at[at < 0] = np.fromiter(map(self.places.__getitem__, new), np.int64, len(new))
         sizes = self.ends[at + 1] - self.ends[at]
         before = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.ids[np.repeat(self.ends[at] - before[:-1], sizes) + np.arange(before[-1])]
