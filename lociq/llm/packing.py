@@ -33,9 +33,9 @@ SEQUENCE, END = 4096, 2
 MODEL = "word_bpe_49k.json"
 #: Tokens that sizes are rounded up to.
 UNIT = 16
-#: Patterns are looked for until the program's value is proven to be as near as this to the best.
-NEAR = 2e-4
-MOST_STEPS = 5_000
+#: Patterns are looked for until the program's value is proven to be as near as this to the best, or for so many steps
+#: (a few seconds): what a better solution would place, more rests are cut for then. Steps between fresh inverses.
+NEAR, MOST_STEPS, FRESH = 2e-4, 1_500, 256
 #: Words whose ids a worker keeps, and their bytes; beyond that it starts again from none.
 MAX_WORDS, MAX_WORD_BYTES = 1_000_000, 24 << 20
 #: Bytes of tables that are sent to all tasks.
@@ -212,7 +212,7 @@ def cutting_stock(sizes: np.ndarray, demands: np.ndarray, capacity: int) -> tupl
     columns, cost = np.diag((capacity // sizes).astype(float)), np.ones(m)
     inverse, x = np.diag(1 / np.diag(columns)), demands / np.diag(columns)
     for step in range(MOST_STEPS):
-        price = cost @ inverse
+        price = np.einsum("i,ij", cost, inverse)  # small: not worth several threads
         if price.min() < -1e-9:  # more than demanded of this size: let the rest go
             new, price_of = np.zeros(m), 0.0
             new[price.argmin()] = -1
@@ -222,20 +222,20 @@ def cutting_stock(sizes: np.ndarray, demands: np.ndarray, capacity: int) -> tupl
             if worth <= 1 + NEAR:
                 break
             price_of = 1.0
-        d = inverse @ new
+        d = np.einsum("ij,j", inverse, new)
         ratio = np.full(m, np.inf)
         np.divide(x, d, out=ratio, where=d > 1e-9)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
         columns[:, out], cost[out] = new, price_of
-        if step % 64 == 63:
+        if step % FRESH == FRESH - 1:
             inverse = np.linalg.inv(columns)
         else:
             row = inverse[out] / d[out]
             inverse = inverse - np.outer(d, row)
             inverse[out] = row
-        x = np.maximum(inverse @ demands, 0)
+        x = np.maximum(np.einsum("ij,j", inverse, demands), 0)
     used = cost > 0
     return columns.T[used].astype(np.int64), x[used]
 
