@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regions import location, promoter
-from .range_join import overlap_join
+from .range_join import best_overlaps, overlap_join
 
 
 def longest_transcripts(transcripts: DataFrame, line: str = "line") -> DataFrame:
@@ -29,14 +29,13 @@ def named_regions(genes: DataFrame, regions: DataFrame) -> DataFrame:
     return genes.select("gene").distinct().join(regions, "gene", "left")
 
 
-def best_site_of_gene(genes: DataFrame, promoters: DataFrame, sites: DataFrame, order: list, *, width: int = 10_000) -> DataFrame:
-    """For each gene, the site in one of its promoters (closed) that is first in `order` (columns that
-    end in a unique one). Genes on several chromosomes and genes without a site get nulls."""
+def best_site_of_gene(genes: DataFrame, promoters: DataFrame, sites: DataFrame, rank: Column, columns: list[str]) -> DataFrame:
+    """For each gene, `columns` of the site in one of its promoters (closed) that has the largest `rank` (a struct that
+    ends in a unique field). Genes on several chromosomes and genes without a site get nulls."""
     one = promoters.groupBy("gene").agg(F.count_distinct("chrom").alias("_n")).where("_n = 1")
-    inside = overlap_join(promoters.join(one, "gene", "left_semi").select("gene", "chrom", "start", "end"), sites, kind="closed", width=width, suffix="_site")
-    rank = F.row_number().over(Window.partitionBy("gene").orderBy(*order))
-    best = inside.withColumn("_rank", rank).where("_rank = 1").select("gene", *(c for c in inside.columns if c not in ("gene", "start", "end", "chrom")))
-    return genes.select("gene").distinct().join(best, "gene", "left")
+    best = F.struct(rank.alias("rank"), F.struct(*columns).alias("site"))
+    found = best_overlaps(promoters.join(one, "gene", "left_semi"), sites, best, key="gene")
+    return genes.select("gene").distinct().join(found.select("gene", "best.site.*"), "gene", "left")
 
 
 def local_best(rows: DataFrame, activity: str, tie: str) -> DataFrame:

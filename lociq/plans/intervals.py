@@ -87,8 +87,8 @@ def j6_promoter_flags(spark, sf_dir):
 c AS (SELECT p.gene, l.site_id, l.score, l.k, row_number() OVER (PARTITION BY p.gene ORDER BY l.k DESC, l.score DESC, l.site_id) AS place FROM p JOIN loci l ON p.chrom = l.chrom AND p.ps <= l.e AND l.s <= p.pe)
 SELECT g.gene, c.site_id, c.score FROM (SELECT DISTINCT gene FROM genes) g LEFT JOIN c ON c.gene = g.gene AND c.place = 1""")
 def j7_best_site_of_gene(spark, sf_dir):
-    best = gene_ops.best_site_of_gene(genes(spark, sf_dir), _promoters(spark, sf_dir), loci(spark, sf_dir), [F.desc("k"), F.desc("score"), "site_id"])
-    return best.select("gene", "site_id", "score")
+    rank = F.struct("k", "score", -F.col("site_id"))
+    return gene_ops.best_site_of_gene(genes(spark, sf_dir), _promoters(spark, sf_dir), loci(spark, sf_dir), rank, ["site_id", "score"])
 
 
 @query(f"""WITH {SITES}, o AS (SELECT * FROM sites WHERE name = 'error')
