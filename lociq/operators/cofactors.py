@@ -19,32 +19,32 @@ def _sums(batches, size: int):
     """Adds up, for each pair of blocks in turn, the products of the values that a site has in the one and in the
     other. Rows come ordered by pair, so that one matrix is held at a time."""
     now, total = None, None
-    waiting: list[tuple] = []
-
-    def multiply():
-        x, y = np.zeros((len(waiting), size)), np.zeros((len(waiting), size))
-        for k, (a, v, b, u) in enumerate(waiting):
-            x[k, a], y[k, b] = v, u
-        waiting.clear()
-        return x.T @ y
 
     def out():
         return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["i", "j", "sums"])
 
+    def dense(batch, places, values):
+        """The sites of a batch as rows of a matrix."""
+        offsets, k, v = batch.column(places).offsets.to_numpy(), batch.column(places).flatten().to_numpy(), batch.column(values).flatten().to_numpy()
+        x = np.zeros((len(batch), size))
+        x[np.repeat(np.arange(len(batch)), np.diff(offsets)), k] = v
+        return x
+
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("i", "j", "a", "av", "b", "bv")]
-        for i, j, a, v, b, u in zip(*columns):
-            if (i, j) != now:
+        i, j = (batch.column(c).to_numpy() for c in ("i", "j"))
+        cuts = np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(batch)]) if len(batch) else []:
+            if (int(i[low]), int(j[low])) != now:
                 if now:
-                    total += multiply()
                     yield out()
-                now, total = (i, j), np.zeros((size, size))
-            if a is not None:
-                waiting.append((a, v, b, u))
-                if len(waiting) == ROWS:
-                    total += multiply()
+                now, total = (int(i[low]), int(j[low])), np.zeros((size, size))
+            for at in range(low, high, ROWS):
+                # Copied, so that offsets begin at 0; the row of a pair without sites has nulls.
+                some = pa.Table.from_batches([batch.slice(at, min(ROWS, high - at))])
+                some = some.filter(some["a"].is_valid()).combine_chunks()
+                for part in some.to_batches():
+                    total += dense(part, "a", "av").T @ dense(part, "b", "bv")
     if now:
-        total += multiply()
         yield out()
 
 
@@ -73,8 +73,11 @@ def sparse_correlations(context: DataFrame, sites: int, *, site: str = "site_id"
     # A row for each pair of blocks, so that those which no site has together have their zeros too.
     empty = spark.range(blocks).select(F.col("id").cast("int").alias("i")).select("i", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))).alias("j"))
     empty = empty.select("i", "j", F.lit(0).cast("long").alias("share"), *(F.lit(None).cast(t).alias(c) for c, t in (("a", "array<int>"), ("av", "array<double>"), ("b", "array<int>"), ("bv", "array<double>"))))
-    dealt = rows.unionByName(empty).repartition("i", "j", "share").sortWithinPartitions("i", "j").select("i", "j", "a", "av", "b", "bv")
-    parts = dealt.mapInArrow(lambda batches: _sums(batches, BLOCK), "i int, j int, sums binary")
+    dealt = rows.unionByName(empty)
+    if blocks > 1:  # else there is one pair: each task adds up what it has
+        dealt = dealt.repartition("i", "j", "share").sortWithinPartitions("i", "j")
+    size = min(BLOCK, len(names))
+    parts = dealt.select("i", "j", "a", "av", "b", "bv").mapInArrow(lambda batches: _sums(batches, size), "i int, j int, sums binary")
 
     def finished(batches):
         now, total = None, None
@@ -93,8 +96,8 @@ def sparse_correlations(context: DataFrame, sites: int, *, site: str = "site_id"
                 if (i, j) != now:
                     if now:
                         yield out()
-                    now, total = (i, j), np.zeros((BLOCK, BLOCK))
-                total = total + np.frombuffer(raw).reshape(BLOCK, BLOCK)
+                    now, total = (i, j), np.zeros((size, size))
+                total = total + np.frombuffer(raw).reshape(size, size)
         if now:
             yield out()
 
