@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions import motif as M
@@ -222,10 +224,16 @@ def snk3_context_lines(spark, sf_dir):
     names = sorted(r[0] for r in everything.select("name").distinct().collect())
     motifs = [f"{n}_{i}_bidirect" for n in names for i in range(_MANY)]
     path = shared_dir(spark, "context-lines")
-    lines = W.context_lines(main.select("site_id", "chrom", "start", line.alias("line")), best_hits(main, hits, NEAR), motifs)
-    W.write_context_lines(lines, path, W.context_header("Chr\tStart\tEnd\tName\tScore\tStrand", motifs))
-    read = spark.read.text(path)
-    return read.select(F.get(F.split("value", "\t"), 3).alias("name"), F.md5("value").alias("line"), F.size(F.split("value", "\t")).cast("long").alias("n_fields"))
+    lines = W.context_lines(main.select("site_id", "chrom", "start", line.alias("line")), best_hits(main, hits, NEAR), motifs, ordered=True)
+    W.write_context_lines(lines, path, W.context_header("Chr\tStart\tEnd\tName\tScore\tStrand", motifs), ordered=True)
+    fields = F.arrow_udf(_fields, "long")
+    name = F.substring_index(F.substring_index("value", "\t", 4), "\t", -1)
+    return spark.read.text(path).select(name.alias("name"), F.md5("value").alias("line"), fields("value").alias("n_fields"))
+
+
+def _fields(lines: pa.Array) -> pa.Array:
+    """The number of fields of each line; thousands of them aren't cut out to be counted."""
+    return pc.add(pc.cast(pc.count_substring(lines, "\t"), pa.int64()), 1)
 
 
 @query("SELECT s_suppkey, replace(printf('%.2f', s_acctbal), '.', ',') AS balance FROM supplier")

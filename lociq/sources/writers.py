@@ -54,13 +54,18 @@ def context_header(header: str, motifs: list[str]) -> str:
     return header + "".join(f"\t{short_name(m)}_{c}" for m in motifs for c in ("Shift", "Score", "StrandEqual", "NumInWindow"))
 
 
-def context_lines(lines: DataFrame, context: DataFrame, motifs: list[str]) -> DataFrame:
+def _in_order(lines: DataFrame, *parts: int) -> DataFrame:
+    return lines.repartitionByRange(*parts, "chrom", "start", "site_id").sortWithinPartitions("chrom", "start", "site_id")
+
+
+def context_lines(lines: DataFrame, context: DataFrame, motifs: list[str], *, ordered: bool = False) -> DataFrame:
     """lines (site_id, chrom, start, line) with `value`: the line as it was, then four fields for each motif in the
     order given, NA and 0 where the site has no row of it. context: the long table of best_hits().
 
     A site's hits are gathered in one array ordered by the motif's place; the gaps between them are filled with as
     many empty fields, so that thousands of columns are one text and the plan has no column for them. Hits of
-    motifs that aren't asked for are left out."""
+    motifs that aren't asked for are left out. If `ordered`, rows are put in the order of write_context_lines() while
+    they are still arrays, so that no wide text is shuffled or sorted."""
     places = context.sparkSession.createDataFrame([(m, i) for i, m in enumerate(motifs)], "_motif string, place int")
     fields = F.concat_ws("\t", F.coalesce(F.col("shift").cast("string"), F.lit("NA")), F.coalesce(six_digits(F.col("score")), F.lit("NA")), F.coalesce(F.col("strand_equal").cast("string"), F.lit("NA")), F.col("num_in_window").cast("string"))
     hits = context.join(F.broadcast(places), F.col("motif") == F.col("_motif")).groupBy(F.col("site_id").alias("_site")).agg(F.array_sort(F.collect_list(F.struct("place", fields.alias("fields")))).alias("hits"))
@@ -69,13 +74,15 @@ def context_lines(lines: DataFrame, context: DataFrame, motifs: list[str]) -> Da
     parts = F.transform("hits", lambda hit, i: F.concat(F.repeat(none, hit["place"] - last(i) - 1), F.lit("\t"), hit["fields"]))
     after = F.lit(len(motifs) - 1) - F.coalesce(F.try_element_at("hits", F.lit(-1))["place"], F.lit(-1))
     value = F.concat("line", F.array_join(F.coalesce(parts, F.array().cast("array<string>")), ""), F.repeat(none, after))
-    return lines.join(hits, F.col("site_id") == F.col("_site"), "left").select(*lines.columns, value.alias("value"))
+    gathered = lines.join(hits, F.col("site_id") == F.col("_site"), "left").select(*lines.columns, "hits")
+    parts = 4 * lines.sparkSession.sparkContext.defaultParallelism  # a fixed number: arrays are few bytes, their texts many
+    return (_in_order(gathered, parts) if ordered else gathered).select(*lines.columns, value.alias("value"))
 
 
-def write_context_lines(lines: DataFrame, path: str, header: str | None = None, *, compression: str = "gzip") -> None:
-    """The values of context_lines(), ordered by chromosome (as text), start and site. The files, one after the
-    other by name, are one file with one header."""
-    rows = lines.repartitionByRange("chrom", "start", "site_id").sortWithinPartitions("chrom", "start", "site_id").select("value")
+def write_context_lines(lines: DataFrame, path: str, header: str | None = None, *, compression: str = "gzip", ordered: bool = False) -> None:
+    """The values of context_lines(), ordered by chromosome (as text), start and site, unless they are `ordered`. The
+    files, one after the other by name, are one file with one header."""
+    rows = (lines if ordered else _in_order(lines)).select("value")
     if header is not None:
         rows = lines.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("value")).union(rows)
     rows.write.option("compression", compression).text(path)
